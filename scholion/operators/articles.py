@@ -430,5 +430,5 @@ def parse_articles(raw: DataFrame, id_column: str | None = None) -> DataFrame:
 def reference_rows(parsed: DataFrame) -> DataFrame:
     """One row per reference of each document."""
     return parsed.select(
-        "document_id", F.posexplode("references").alias("ref_ord", "r")
-    ).select("document_id", "ref_ord", "r.*")
+        "document_id", F.posexplode_outer("references").alias("ref_ord", "r")
+    ).where(F.col("ref_ord").isNotNull()).select("document_id", "ref_ord", "r.*")

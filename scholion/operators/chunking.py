@@ -194,8 +194,8 @@ def flatten_sections(docs: DataFrame) -> DataFrame:
     abstract = F.col("abstract") if "abstract" in docs.columns else None
     return docs.select(
         "document_id",
-        F.posexplode(section_list(abstract, F.col("sections"))).alias("section_ord", "s"),
-    ).select(
+        F.posexplode_outer(section_list(abstract, F.col("sections"))).alias("section_ord", "s"),
+    ).where(F.col("section_ord").isNotNull()).select(
         "document_id",
         "section_ord",
         F.col("s.title").alias("section_title"),
@@ -206,8 +206,11 @@ def flatten_sections(docs: DataFrame) -> DataFrame:
 
 def _finish(df: DataFrame) -> DataFrame:
     """Chunk arrays -> rows with dense index, hash, stable id and neighbour ids, no shuffle."""
-    rows = df.select(
-        "document_id", F.size("cs").alias("n"), F.posexplode("cs").alias("chunk_index", "c")
+    # The outer form keeps Spark from adding a size test that would chunk every text twice.
+    rows = (
+        df.select("document_id", "cs", F.size("cs").alias("n"))
+        .select("document_id", "n", F.posexplode_outer("cs").alias("chunk_index", "c"))
+        .where(F.col("chunk_index").isNotNull())
     )
     here = F.col("chunk_index")
     doc = F.col("document_id")

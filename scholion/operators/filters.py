@@ -21,6 +21,15 @@ def visible_documents(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("processing_status") == "completed")
 
 
+def visible_side(docs: DataFrame) -> DataFrame:
+    """Ids and filter columns of the visible documents, broadcast where proven small."""
+    return small_side(
+        visible_documents(docs).select(
+            "document_id", "journal", "article_type", "publication_date"
+        )
+    )
+
+
 def searchable_vectors(chunks: DataFrame) -> DataFrame:
     """Chunks with a vector that has a direction."""
     return chunks.where(

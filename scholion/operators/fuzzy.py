@@ -41,14 +41,14 @@ def title_similarity(
     )
     # Distinct trigrams, bounded by the alphabet.
     frequency = (
-        distinct.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+        distinct.select(F.explode_outer("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
     )
 
     def rarest(df: DataFrame, key: list[str], grams: str, n: str) -> DataFrame:
         keep = F.col(n) - F.ceil(F.lit(threshold) * F.col(n)) + 1
         order = Window.partitionBy(*key).orderBy(F.coalesce("df", F.lit(0)), "gram")
         return (
-            df.select(*key, n, F.explode(grams).alias("gram"))
+            df.select(*key, n, F.explode_outer(grams).alias("gram"))
             .join(frequency, "gram", "left")
             .withColumn("place", F.row_number().over(order))
             .where(F.col("place") <= keep)

@@ -6,15 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholion.functions.present import author_names
+from scholion.operators.asked import Asked, ask, page_of
+from scholion.operators.filters import visible_side
 from scholion.operators.keyword import keyword_matches, keyword_search, keyword_topk
-from scholion.operators.vector_search import (
-    candidates,
-    page_of,
-    query_depth,
-    vector_search,
-    vector_topk,
-)
-from scholion.session import small_side
+from scholion.operators.vector_search import candidates, vector_search, vector_topk
+from scholion.session import BROADCAST_ROWS, persist_shared, small_side
 
 # Fusion weights and constants.
 VECTOR_WEIGHT, KEYWORD_WEIGHT = 0.7, 0.3
@@ -55,7 +51,7 @@ def fuse(
 
 
 def hybrid_search(
-    queries: DataFrame,
+    queries: DataFrame | Asked,
     chunks: DataFrame,
     docs: DataFrame,
     k: int = 10,
@@ -66,6 +62,7 @@ def hybrid_search(
     miss: int = MISSING_RANK,
     fanout: int = FANOUT,
     article_type_filter: bool = False,
+    seen: DataFrame | None = None,
     **keyword_options,
 ) -> DataFrame:
     """Vector and keyword hits fused by rank, one page per query.
@@ -75,34 +72,37 @@ def hybrid_search(
     """
     if not (0 <= wv <= 1 and 0 <= wk <= 1):
         raise ValueError("weights must lie in [0, 1]")
-    asked = queries
-    if not article_type_filter and "article_types" in queries.columns:
-        asked = queries.drop("article_types")
-    depth = query_depth(queries, k, offset)
-    per_query = F.lit(fanout * depth)
-    if "k" in queries.columns:
-        off = F.coalesce("off", F.lit(0)) if "off" in queries.columns else F.lit(0)
-        limits = queries.select("query_id", (fanout * (F.col("k") + off)).alias("_fan"))
-
-        def capped(hits, rank):
-            return hits.join(small_side(limits), "query_id").where(F.col(rank) <= F.col("_fan"))
-    else:
-
-        def capped(hits, rank):
-            return hits.where(F.col(rank) <= per_query)
-
-    v = vector_topk(asked, candidates(chunks, docs), fanout * depth)
-    w = keyword_topk(keyword_matches(asked, chunks, docs, **keyword_options), fanout * depth)
+    asked = ask(queries)
+    if not article_type_filter and "article_types" in asked.queries.columns:
+        asked = asked.without("article_types")
+    seen = visible_side(docs) if seen is None else seen
+    depth = asked.depth(k, offset)
+    v = vector_topk(asked, candidates(chunks, docs, seen), fanout * depth)
+    w = keyword_topk(
+        keyword_matches(asked, chunks, docs, seen=seen, **keyword_options), fanout * depth
+    )
+
+    def capped(hits: DataFrame, rank: str) -> DataFrame:
+        own = fanout * (F.col("_k") + F.col("_off"))
+        return hits.join(asked.limits(k, offset), "query_id").where(F.col(rank) <= own)
+
     fused = fuse(capped(v, "vector_rank"), capped(w, "keyword_rank"), wv, wk, k0, miss)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     ranked = fused.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= depth)
-    return page_of(ranked, queries, "_rank", k, offset).drop("_rank")
+    return page_of(ranked, asked, "_rank", k, offset).drop("_rank")
 
 
 def search(
-    queries: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = 10, offset: int = 0, **options
+    queries: DataFrame | Asked,
+    chunks: DataFrame,
+    docs: DataFrame,
+    k: int = 10,
+    offset: int = 0,
+    **options,
 ) -> DataFrame:
     """Each query by its own search_type; an unknown type runs as hybrid."""
+    asked = ask(queries)
+    seen = visible_side(docs)
     kind = F.coalesce(F.lower("search_type"), F.lit("hybrid"))
     nothing = {
         "vector_rank": F.lit(None).cast("int"),
@@ -111,57 +111,88 @@ def search(
     }
     cols = ["query_id", "rank", "chunk_id", "document_id", "score", *nothing]
 
+    def of(name: str) -> Asked:
+        if name == "hybrid":
+            return asked.only(
+                ~kind.isin("vector", "keyword"),
+                lambda f: ~f["search_type"].str.lower().isin(["vector", "keyword"]),
+            )
+        return asked.only(kind == name, lambda f: f["search_type"].str.lower() == name)
+
     def shaped(df: DataFrame, name: str) -> DataFrame:
         full = df.withColumns({c: e for c, e in nothing.items() if c not in df.columns})
         return full.select(*cols).withColumn("search_type", F.lit(name))
 
-    v = vector_search(queries.where(kind == "vector"), chunks, docs, k, offset)
-    w = keyword_search(queries.where(kind == "keyword"), chunks, docs, k, offset, **options)
-    h = hybrid_search(
-        queries.where(~kind.isin("vector", "keyword")), chunks, docs, k, offset, **options
-    )
+    v = vector_search(of("vector"), chunks, docs, k, offset, seen=seen)
+    w = keyword_search(of("keyword"), chunks, docs, k, offset, seen=seen, **options)
+    h = hybrid_search(of("hybrid"), chunks, docs, k, offset, seen=seen, **options)
     return (
         shaped(v, "vector").unionByName(shaped(w, "keyword")).unionByName(shaped(h, "hybrid"))
     )
 
 
-def enrich(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
+def _few(hits: DataFrame, max_rows: int | None) -> DataFrame:
+    """Hits ready to be broadcast, if there are few of them.
+
+    max_rows is the caller's proof (queries times page size). Without one the hits are written
+    to the shared folder once, so that measuring them does not run the search twice.
+    """
+    if max_rows is not None:
+        return F.broadcast(hits) if max_rows <= BROADCAST_ROWS else hits
+    return small_side(persist_shared(hits, "hits"))
+
+
+def enrich(
+    hits: DataFrame, chunks: DataFrame, docs: DataFrame, max_rows: int | None = None
+) -> DataFrame:
     """Hits with chunk text and document columns, joined only after the top-k.
 
-    The hits are k rows per query; where that is proven small they are broadcast, so neither
-    the chunk texts nor the documents are shuffled.
+    Where the hits are proven few they are broadcast, so the chunk texts are not shuffled.
     """
-    few = small_side(hits)
+    few = _few(hits, max_rows)
     have = [c for c in ("section_title",) if c in chunks.columns]
     text = chunks.select("chunk_id", "content", *have).join(few, "chunk_id")
     meta_cols = ["title", "authors", "journal", "publication_date", "doi", "pmcid"]
     meta = docs.select("document_id", *[c for c in meta_cols if c in docs.columns])
-    asked = small_side(hits.select("document_id").distinct())
-    meta = meta.join(asked, "document_id", "left_semi")
     out = text.join(meta, "document_id")
     if "authors" in meta.columns:
         out = out.withColumn("authors", author_names(F.col("authors")))
     return out
 
 
-def with_context(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Text of the chunk before and after each hit, found by the stored links."""
+def with_context(hits: DataFrame, chunks: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Text of the chunk before and after each hit, found by the stored links.
+
+    Two passes over the chunk table against few rows: first the links of the hits, then the
+    texts of all neighbours at once.
+    """
+    few = _few(hits, max_rows)
+    hint = F.broadcast if max_rows is not None and max_rows <= BROADCAST_ROWS // 2 else (lambda d: d)
     links = chunks.select("chunk_id", "previous_chunk_id", "next_chunk_id").join(
-        small_side(hits.select("chunk_id").distinct()), "chunk_id"
+        hint(few.select("chunk_id").distinct()), "chunk_id"
     )
+    sides = links.select(
+        "chunk_id",
+        F.explode(
+            F.array(
+                F.struct(F.lit("p").alias("side"), F.col("previous_chunk_id").alias("id")),
+                F.struct(F.lit("n").alias("side"), F.col("next_chunk_id").alias("id")),
+            )
+        ).alias("s"),
+    ).select("chunk_id", "s.side", F.col("s.id").alias("_id"))
     text = chunks.select(F.col("chunk_id").alias("_id"), F.col("content").alias("_text"))
-
-    def side(link: str, name: str) -> DataFrame:
-        ids = links.where(F.col(link).isNotNull()).select("chunk_id", link)
-        return text.join(small_side(ids), F.col("_id") == F.col(link)).select(
-            "chunk_id", F.col("_text").alias(name)
+    found = (
+        text.join(hint(sides.where(F.col("_id").isNotNull())), "_id")
+        .groupBy("chunk_id")
+        .agg(
+            F.max(F.when(F.col("side") == "p", F.col("_text"))).alias("previous_chunk"),
+            F.max(F.when(F.col("side") == "n", F.col("_text"))).alias("next_chunk"),
         )
-
-    joined = hits.join(side("previous_chunk_id", "previous_chunk"), "chunk_id", "left").join(
-        side("next_chunk_id", "next_chunk"), "chunk_id", "left"
     )
-    return joined.withColumn("context", F.struct("previous_chunk", "next_chunk")).drop(
-        "previous_chunk", "next_chunk"
+    return (
+        hits.join(found, "chunk_id", "left")
+        .withColumn("context", F.struct("previous_chunk", "next_chunk"))
+        .drop("previous_chunk", "next_chunk")
     )
 
 

@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholion.functions.text import fold, kept_tokens, lexemes
-from scholion.operators.filters import filter_predicate, visible_documents, with_filter_columns
-from scholion.operators.vector_search import page_of, query_depth
-from scholion.session import is_bounded, small_side
+from scholion.operators.asked import Asked, ask, page_of
+from scholion.operators.filters import filter_predicate, visible_side, with_filter_columns
 
 # BM25 parameters (Robertson & Zaragoza 2009).
 K1, B = 1.2, 0.75
@@ -23,7 +22,9 @@ TERM_BUCKETS = 256
 def query_terms(queries: DataFrame, conf: str = "english") -> DataFrame:
     """(query_id, term), distinct; a query without lexemes gives no row and matches nothing."""
     found = F.array_distinct(lexemes(F.coalesce("query_text", F.lit("")), conf))
-    return queries.select("query_id", F.explode(found).alias("term"))
+    return queries.select("query_id", F.explode_outer(found).alias("term")).where(
+        F.col("term").isNotNull()
+    )
 
 
 def term_stream(
@@ -39,8 +40,11 @@ def term_stream(
     if not length_col:
         kept = kept.select(*ids, "kept", F.size("kept").alias("dl"))
     # Folding after the explode keeps it inside generated code.
-    return kept.select(*ids, "dl", F.explode("kept").alias("t")).select(
-        *ids, "dl", fold(F.col("t"), conf).alias("term")
+    # The outer form keeps Spark from adding a size test that would tokenise the text twice.
+    return (
+        kept.select(*ids, "dl", F.explode_outer("kept").alias("t"))
+        .where(F.col("t").isNotNull())
+        .select(*ids, "dl", fold(F.col("t"), conf).alias("term"))
     )
 
 
@@ -74,24 +78,28 @@ def write_postings(postings: DataFrame, path: str, buckets: int = TERM_BUCKETS)
     )
 
 
-def corpus_stats(chunks: DataFrame, docs: DataFrame, conf: str = "english",
-                 text_col: str = "content", length_col: str | None = None) -> DataFrame:
+def corpus_stats(
+    chunks: DataFrame,
+    seen: DataFrame,
+    conf: str = "english",
+    text_col: str = "content",
+    length_col: str | None = None,
+) -> DataFrame:
     """One row: number of visible chunks and their average length."""
     length = (
         F.col(length_col)
         if length_col
         else F.size(kept_tokens(F.coalesce(F.col(text_col), F.lit("")), conf))
     )
-    seen = visible_documents(docs).select("document_id")
     return (
         chunks.select("document_id", length.alias("dl"))
-        .join(small_side(seen), "document_id", "left_semi")
+        .join(seen, "document_id", "left_semi")
         .agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
     )
 
 
 def keyword_matches(
-    queries: DataFrame,
+    queries: DataFrame | Asked,
     chunks: DataFrame,
     docs: DataFrame,
     conf: str = "english",
@@ -100,11 +108,13 @@ def keyword_matches(
     length_col: str | None = None,
     postings: DataFrame | None = None,
     term_buckets: int = TERM_BUCKETS,
+    seen: DataFrame | None = None,
 ) -> DataFrame:
     """Every (query, chunk) where all query terms occur, filters applied, with its rank score."""
-    terms = query_terms(queries, conf)
-    bounded = is_bounded(terms)
-    hint = F.broadcast if bounded else (lambda df: df)
+    asked = ask(queries)
+    hint = asked.hint
+    seen = visible_side(docs) if seen is None else seen
+    terms = query_terms(asked.queries, conf)
     vocabulary = terms.select("term").distinct()
     if postings is None:
         tokens = term_stream(chunks, conf, text_col, length_col)
@@ -114,15 +124,10 @@ def keyword_matches(
         if "term_bucket" in postings.columns:
             keyed = with_term_bucket(vocabulary, term_buckets)
             found = postings.join(hint(keyed), ["term_bucket", "term"], "left_semi")
-    seen = visible_documents(docs).select(
-        "document_id", "journal", "article_type", "publication_date"
-    )
-    found = found.select("chunk_id", "document_id", "dl", "term", "tf").join(
-        small_side(seen), "document_id"
-    )
+    found = found.select("chunk_id", "document_id", "dl", "term", "tf").join(seen, "document_id")
     # tf is read here too, so both uses of `found` share one exchange.
     df = found.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    stats = corpus_stats(chunks, docs, conf, text_col, length_col).select(
+    stats = corpus_stats(chunks, seen, conf, text_col, length_col).select(
         F.struct("n", "avg_dl").alias("s")
     ).scalar()
     idf = F.log(1 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -138,7 +143,7 @@ def keyword_matches(
         .where("missing = 0")
         .drop("missing")
     )
-    filters = with_filter_columns(queries).select(
+    filters = with_filter_columns(asked.queries).select(
         "query_id", "date_from", "date_to", "journals", "article_types"
     )
     plans = plans.join(hint(filters), "query_id")
@@ -183,12 +188,17 @@ def keyword_topk(matches: DataFrame, depth: int) -> DataFrame:
 
 
 def keyword_search(
-    queries: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = 10, offset: int = 0, **options
+    queries: DataFrame | Asked,
+    chunks: DataFrame,
+    docs: DataFrame,
+    k: int = 10,
+    offset: int = 0,
+    **options,
 ) -> DataFrame:
     """One page of keyword hits per query: ids, score and rank only."""
-    depth = query_depth(queries, k, offset)
-    hits = keyword_topk(keyword_matches(queries, chunks, docs, **options), depth)
-    return page_of(hits, queries, "keyword_rank", k, offset).withColumn(
+    asked = ask(queries)
+    hits = keyword_topk(keyword_matches(asked, chunks, docs, **options), asked.depth(k, offset))
+    return page_of(hits, asked, "keyword_rank", k, offset).withColumn(
         "score", F.col("keyword_score")
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scholion.functions.text import lexemes, trigrams
 from scholion.functions.vectors import cosine
 from scholion.operators import filters as flt
+from scholion.operators.asked import ask, page_of
 from scholion.operators import fuzzy, hybrid, keyword
 from scholion.operators import vector_search as vs
 from scholion.plans.base import (
@@ -233,7 +234,10 @@ FROM hyb h JOIN chunks c ON h.chunk_id = c.chunk_id JOIN docs d ON h.document_id
     ),
 )
 def q10(spark, sf):
-    out = hybrid.enrich(hybrid_hits(spark, sf), chunks(spark, sf), titled(documents(spark, sf)))
+    asked = ask(requests(spark, sf))
+    hits = hybrid.hybrid_search(asked, chunks(spark, sf), documents(spark, sf))
+    most = None if asked.frame is None else 5 * len(asked.frame)
+    out = hybrid.enrich(hits, chunks(spark, sf), titled(documents(spark, sf)), most)
     return out.select(
         "query_id", "rank", "chunk_id", "content", "title", "journal",
         F.col("publication_date").cast("string").alias("publication_date"), "doi",
@@ -272,10 +276,10 @@ FROM requests q""",
     ),
 )
 def q13(spark, sf):
-    q, c, d = requests(spark, sf), chunks(spark, sf), documents(spark, sf)
-    m = keyword.keyword_matches(q, c, d)
-    page = vs.page_of(keyword.keyword_topk(m, vs.query_depth(q, 5, 0)), q, "keyword_rank", 5, 0)
-    out = hybrid.page_metadata(q, page, keyword.match_totals(m))
+    asked = ask(requests(spark, sf))
+    m = keyword.keyword_matches(asked, chunks(spark, sf), documents(spark, sf))
+    page = page_of(keyword.keyword_topk(m, asked.depth(5, 0)), asked, "keyword_rank", 5, 0)
+    out = hybrid.page_metadata(asked.queries, page, keyword.match_totals(m))
     return out.select(
         "query_id", "strategy", "result_count", "total_matches",
         F.array_join(F.array_sort(F.map_keys("filters_applied")), ",").alias("filters"),
