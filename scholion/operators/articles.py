@@ -237,10 +237,11 @@ def _whole_date(d: Column) -> Column:
 
 def publication_date_of(meta: Column) -> Column:
     dates = meta["pub-date"]
-    tries = [
-        _first(dates if kind is None else F.filter(dates, lambda d, k=kind: d["_pub-type"] == k))
-        for kind in DATE_PREFERENCE
-    ]
+
+    def of_kind(kind: str | None) -> Column:
+        return dates if kind is None else F.filter(dates, lambda d: d["_pub-type"] == kind)
+
+    tries = [_first(of_kind(kind)) for kind in DATE_PREFERENCE]
     return F.coalesce(*[_whole_date(d) for d in tries])
 
 

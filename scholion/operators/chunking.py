@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholion.functions.text import content_hash, let, stable_id, strip, word_count, words
@@ -275,41 +275,36 @@ def fixed_size_chunks(
     return _finish(docs.select("document_id", cs.cast(f"array<{_CHUNK}>").alias("cs")))
 
 
-def number_chunks(parts: DataFrame) -> DataFrame:
+def number_chunks(parts: DataFrame, block: int = 4096) -> DataFrame:
     """Dense chunk_index over (section_ord, part_ord) rows that were chunked separately.
 
-    Only part counts are ordered per document; the parts themselves are joined by key, so a
-    document with very many parts is not sorted in one task.
+    Only part counts are put in order, in blocks of consecutive sections and then block by
+    block; the parts are joined by key. A document with very many parts is sorted nowhere.
     """
-    counts = parts.groupBy("document_id", "section_ord").agg(F.count("*").alias("n"))
-    later = counts.groupBy("document_id").agg(
-        F.array_sort(F.collect_list(F.struct("section_ord", "n"))).alias("cs")
+    counts = (
+        parts.groupBy("document_id", "section_ord")
+        .agg(F.count("*").alias("n"))
+        .withColumn("_block", F.floor(F.col("section_ord") / block))
+    )
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    in_block = before(Window.partitionBy("document_id", "_block").orderBy("section_ord"))
+    by_block = before(Window.partitionBy("document_id").orderBy("_block"))
+    blocks = (
+        counts.groupBy("document_id", "_block")
+        .agg(F.sum("n").alias("total"))
+        .withColumn("_base", F.coalesce(F.sum("total").over(by_block), F.lit(0)))
+        .drop("total")
+    )
+    bases = (
+        counts.withColumn("_inner", F.coalesce(F.sum("n").over(in_block), F.lit(0)))
+        .join(blocks, ["document_id", "_block"])
+        .select("document_id", "section_ord", (F.col("_base") + F.col("_inner")).alias("_base"))
+    )
+    return (
+        parts.join(bases, ["document_id", "section_ord"])
+        .withColumn("chunk_index", (F.col("_base") + F.col("part_ord")).cast("int"))
+        .drop("_base")
     )
-    state = "struct<seen:bigint,out:array<struct<section_ord:int,base:bigint>>>"
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("seen"),
-        F.array().cast("array<struct<section_ord:int,base:bigint>>").alias("out"),
-    ).cast(state)
-    bases = later.select(
-        "document_id",
-        F.explode(
-            F.aggregate(
-                "cs",
-                start,
-                lambda acc, c: F.struct(
-                    (acc["seen"] + c["n"]).alias("seen"),
-                    F.concat(
-                        acc["out"],
-                        F.array(F.struct(c["section_ord"].cast("int"), acc["seen"])),
-                    ).alias("out"),
-                ).cast(state),
-                lambda acc: acc["out"],
-            )
-        ).alias("b"),
-    ).select("document_id", F.col("b.section_ord").alias("section_ord"), F.col("b.base").alias("base"))
-    return parts.join(bases, ["document_id", "section_ord"]).withColumn(
-        "chunk_index", (F.col("base") + F.col("part_ord")).cast("int")
-    ).drop("base")
 
 
 def link_chunks(chunks: DataFrame) -> DataFrame:

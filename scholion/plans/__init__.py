@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("search",)
+FAMILIES = ("search", "questions", "parsing", "chunks")
 
 
 def collect() -> tuple[dict, dict]:
