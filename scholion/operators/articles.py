@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from scholion.functions.text import let, nullif_empty, stable_id, strip, word_count
 from scholion.schemas import AUTHOR
 
-SECTION_DEPTH = 5
+# Nested sections are unrolled to this depth; the text of deeper ones joins the last level.
+SECTION_DEPTH = 4
 
 # Words in a section title (lower case, first hit in this order) and their type.
 SECTION_TYPES = {
@@ -386,14 +387,20 @@ def parse_articles(raw: DataFrame, id_column: str | None = None) -> DataFrame:
     }
     key = F.col(id_column) if id_column else stable_id(F.col("object_key"))
     carried = [c for c in raw.columns if c != "content"]
-    read = raw.select(
-        *carried, key.alias("document_id"), guarded.alias("_x"),
-        F.substring(xml, 1, 200).alias("preview"),
-    ).select(
-        *carried, *(["document_id"] if "document_id" not in carried else []), "preview",
+    names = [*carried, *(["document_id"] if "document_id" not in carried else []), "preview"]
+    both = F.struct(
         F.from_xml("_x", SHAPE_DDL, options).alias("shape"),
         F.from_xml("_x", TEXT_DDL, options).alias("text"),
     )
+    # Reading through a one-row generator keeps later filters from decoding the text again.
+    read = (
+        raw.select(
+            *carried, key.alias("document_id"), guarded.alias("_x"),
+            F.substring(xml, 1, 200).alias("preview"),
+        )
+        .select(*names, F.explode_outer(F.array(both)).alias("_p"))
+        .select(*names, "_p.shape", "_p.text")
+    )
     front = F.col("shape.front")
     meta = F.col("shape.front")["article-meta"]
     meta_text = F.col("text.front")["article-meta"]
@@ -405,7 +412,7 @@ def parse_articles(raw: DataFrame, id_column: str | None = None) -> DataFrame:
         .when(meta.isNull(), F.lit("No article-meta found"))
     )
     fields = read.select(
-        *carried, *(["document_id"] if "document_id" not in carried else []), "preview",
+        *names,
         reason.alias("reason"),
         title_of(meta).alias("title"),
         abstract_of(meta, meta_text).alias("abstract"),
