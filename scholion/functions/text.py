@@ -12,7 +12,9 @@ WS = (
     r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
-WORD = f"[^{WS}]+"
+# A run of non-whitespace. Printable ASCII is taken by its own short class first, the possessive
+# form keeps the match iterative on very long runs.
+WORD = f"(?:[!-~]++|[^!-~{WS}]++)++"
 LEXEME = r"[\p{L}\p{N}]+"
 
 # The stop words dropped from keyword search.

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholion.functions.text import trigrams
-from scholion.session import small_side
+from scholion.operators.asked import Asked, ask
 
 
 def similarity(a, b):
@@ -16,14 +20,19 @@ def similarity(a, b):
     return F.when(union > 0, F.size(F.array_intersect(ta, tb)) / union)
 
 
+PAIR_SCHEMA = "query_id string, title string, similarity double, documents long"
+# Cells of the 0/1 matrix of one step: titles times trigrams that occur in some query.
+MATRIX_CELLS = 16_000_000
+
+
 def title_similarity(
-    queries: DataFrame, titles: DataFrame, threshold: float = 0.3
+    queries: DataFrame | Asked, titles: DataFrame, threshold: float = 0.3
 ) -> DataFrame:
     """(query_id, title, similarity, documents) for titles at least threshold similar.
 
-    Equal titles are matched once and carry their number of documents. Two sets that similar
-    must share one of their rarest trigrams, so only those are joined (prefix filter), and
-    sizes must be within the threshold of each other; the survivors are compared exactly.
+    Equal titles are matched once and carry their number of documents. Few queries are
+    broadcast and compared with each batch of titles in one matrix product; only similar
+    enough pairs leave the task. Many queries are joined on their rarest trigrams instead.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
@@ -31,9 +40,56 @@ def title_similarity(
         titles.groupBy("title")
         .agg(F.count("*").alias("documents"))
         .withColumn("grams", trigrams(F.col("title")))
-        .withColumn("n", F.size("grams"))
-        .where("n > 0")
     )
+    known = ask(queries)
+    if known.frame is None:
+        return _joined(known.queries, distinct, threshold)
+    wanted = known.queries.select("query_id", trigrams(F.col("query_text")).alias("grams"))
+    return _compared(wanted.toPandas(), distinct, threshold)
+
+
+def _compared(wanted: pd.DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
+    shared = distinct.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = shared.value["query_id"].to_numpy()
+        sets = shared.value["grams"].tolist()
+        vocabulary = {g: i for i, g in enumerate(sorted({g for s in sets for g in s}))}
+        width = max(1, len(vocabulary))
+        q = np.zeros((width, len(ids)), dtype=np.float32)
+        for j, s in enumerate(sets):
+            q[[vocabulary[g] for g in s], j] = 1
+        q_size = np.array([len(s) for s in sets], dtype=np.float64)
+        rows = max(1, MATRIX_CELLS // width)
+        for batch in batches:
+            for start in range(0, len(batch), rows):
+                part = batch.iloc[start : start + rows]
+                size = part["grams"].map(len).to_numpy()
+                at = pd.Series(np.concatenate(part["grams"].tolist())).map(vocabulary).to_numpy()
+                row = np.repeat(np.arange(len(part)), size)
+                t = np.zeros((len(part), width), dtype=np.float32)
+                hit = ~pd.isna(at)
+                t[row[hit], at[hit].astype(np.int64)] = 1
+                common = (t @ q).astype(np.float64)
+                union = size[:, None] + q_size[None, :] - common
+                score = np.divide(common, union, out=np.zeros_like(common), where=union > 0)
+                i, j = np.nonzero((score >= threshold) & (common > 0))
+                yield pd.DataFrame(
+                    {
+                        "query_id": ids[j],
+                        "title": part["title"].to_numpy()[i],
+                        "similarity": score[i, j],
+                        "documents": part["documents"].to_numpy()[i],
+                    }
+                )
+
+    return distinct.mapInPandas(run, PAIR_SCHEMA)
+
+
+def _joined(queries: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
+    """Two sets that similar share one of their rarest trigrams, so only those are joined
+    (prefix filter), and sizes must be close; the survivors are compared exactly."""
+    distinct = distinct.withColumn("n", F.size("grams")).where("n > 0")
     asked = (
         queries.select("query_id", trigrams(F.col("query_text")).alias("q_grams"))
         .withColumn("qn", F.size("q_grams"))
@@ -59,10 +115,10 @@ def title_similarity(
     right = rarest(distinct, ["title"], "grams", "n")
     close = (F.col("qn") >= threshold * F.col("n")) & (F.col("n") >= threshold * F.col("qn"))
     pairs = (
-        right.join(small_side(left), "gram").where(close).select("query_id", "title").distinct()
+        right.join(left, "gram").where(close).select("query_id", "title").distinct()
     )
     scored = (
-        pairs.join(small_side(asked.select("query_id", "q_grams")), "query_id")
+        pairs.join(asked.select("query_id", "q_grams"), "query_id")
         .join(distinct.select("title", "documents", "grams"), "title")
         .withColumn(
             "similarity",

@@ -8,6 +8,7 @@ from scholion.functions.text import content_hash, word_count
 from scholion.functions.vectors import fit_dimensions, normalise
 from scholion.operators import chunking as ch
 from scholion.operators import embedding as em
+from scholion.session import persist_shared
 from scholion.plans.base import (
     CHUNKS,
     Registry,
@@ -39,6 +40,11 @@ def sectioned(spark, sf):
     return d.select(F.col("doc_id").cast("string").alias("document_id"), F.array(section).alias("sections"))
 
 
+def stored(spark, sf):
+    """The packed chunks as a stored table, for plans that read chunks more than once."""
+    return persist_shared(packed(spark, sf), "chunks")
+
+
 def packed(spark, sf):
     return ch.chunk_documents(sectioned(spark, sf), MAX, OVERLAP, sep="\n")
 
@@ -226,7 +232,7 @@ def c8(spark, sf):
     ),
 )
 def c9(spark, sf):
-    return ch.link_chunks(packed(spark, sf)).select(
+    return ch.link_chunks(stored(spark, sf)).select(
         "document_id", "chunk_index", "chunk_id", "previous_chunk_id", "next_chunk_id"
     )
 

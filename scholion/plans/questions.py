@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scholion.operators import chunking as ch
 from scholion.operators import context as cx
 from scholion.operators import hybrid
 from scholion.operators.asked import ask
 from scholion.plans.base import Registry, chunks, documents, hybrid_ctes, requests, rounded, table, with_sql
-from scholion.plans.chunks import pack_sql, packed
+from scholion.plans.chunks import pack_sql, stored
 from scholion.plans.search import TITLE_SQL, titled
 
 R = Registry()
@@ -150,7 +149,7 @@ def r6(spark, sf):
 )
 def q12(spark, sf):
     """Chunks naming a license, with the chunk before and after."""
-    c = packed(spark, sf)
+    c = stored(spark, sf)
     hits = c.where(F.lower("content").contains("license")).select("chunk_id")
     out = hybrid.with_context(hits, c)
     return out.select(

@@ -19,7 +19,7 @@ from scholion.plans.base import (
     with_sql,
     words_sql,
 )
-from scholion.plans.chunks import pack_sql, packed
+from scholion.plans.chunks import pack_sql, stored
 from scholion.functions.text import word_count
 
 R = Registry()
@@ -87,7 +87,7 @@ def g3(spark, sf):
 def titled_chunks(spark, sf):
     """Packed chunks under section titles A, B or none, by turns."""
     i = F.col("chunk_index") % 3
-    return packed(spark, sf).withColumn("section_title", F.when(i == 0, "A").when(i == 1, "B"))
+    return stored(spark, sf).withColumn("section_title", F.when(i == 0, "A").when(i == 1, "B"))
 
 
 SECTION = "CASE chunk_index % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'Content' END"

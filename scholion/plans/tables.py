@@ -8,7 +8,7 @@ from scholion.operators import filters as flt
 from scholion.operators import jobs as jb
 from scholion.operators import stats as st
 from scholion.plans.base import CHUNKS, DOCS, Registry, chunks, documents, table, with_sql
-from scholion.plans.chunks import pack_sql, packed
+from scholion.plans.chunks import pack_sql, packed, stored
 from scholion.session import scratch_path
 from scholion.sources import raw as rw
 from scholion.sources import tables as tb
@@ -144,7 +144,7 @@ def job_rows(spark, sf):
 def s8(spark, sf):
     """Delete the toxic documents with their chunks and jobs."""
     ids = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("document_id"))
-    d, c, j = tb.delete_documents(documents(spark, sf), packed(spark, sf), job_rows(spark, sf), ids)
+    d, c, j = tb.delete_documents(documents(spark, sf), stored(spark, sf), job_rows(spark, sf), ids)
     part = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"))
     return part(c, "chunk", "chunk_id").unionByName(part(d, "document", "document_id")).unionByName(part(j, "job", "job_id"))
 
@@ -233,7 +233,7 @@ def f4(spark, sf):
     ),
 )
 def f5(spark, sf):
-    return flt.get_document_chunks(packed(spark, sf), None, 5, 2).select(
+    return flt.get_document_chunks(stored(spark, sf), None, 5, 2).select(
         "document_id", "chunk_index", "total", F.md5("content").alias("digest")
     )
 
