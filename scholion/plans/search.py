@@ -370,19 +370,22 @@ FROM requests q JOIN docs d ON {FILTER_SQL} AND {TYPE_FILTER_SQL} GROUP BY q.que
 def f1(spark, sf):
     """How many documents each request's filters let through.
 
-    Documents are counted once per distinct filter value combination before any request is
-    looked at, so the join is between two small summaries on the distinct journals and types.
+    Documents are first counted per day, journal and type; a request then meets the counts of
+    its own journals, or those over all journals if it names none. An equi-join of summaries.
     """
     d = documents(spark, sf)
     cells = d.groupBy("publication_date", "journal", "article_type").agg(F.count("*").alias("n"))
+    anywhere = d.groupBy("publication_date", "article_type").agg(F.count("*").alias("n"))
+    keyed = cells.withColumn("key", F.col("journal")).unionByName(
+        anywhere.withColumns({"journal": F.lit(None).cast("string"), "key": F.lit("*")})
+    )
     q = requests(spark, sf).select("query_id", *flt.FILTER_COLUMNS)
-    journals = d.select("journal").distinct().agg(F.collect_set("journal").alias("all")).select("all").scalar()
-    keyed = q.withColumn("j", F.explode(F.coalesce("journals", journals)))
+    asked = q.withColumn("key", F.explode(F.coalesce("journals", F.array(F.lit("*")))))
     hit = flt.filter_predicate(
         F.col("date_from"), F.col("date_to"), F.col("journals"), F.col("article_types")
     )
     return (
-        cells.join(keyed, F.col("journal") == F.col("j"))
+        keyed.join(asked, "key")
         .where(hit)
         .groupBy("query_id")
         .agg(
