@@ -21,7 +21,7 @@ def similarity(a, b):
 
 
 PAIR_SCHEMA = "query_id string, title string, similarity double, documents long"
-# Cells of the 0/1 matrix of one step: titles times trigrams that occur in some query.
+# Cells of each 0/1 matrix of one step: titles, or queries, times the queries' trigrams.
 MATRIX_CELLS = 16_000_000
 
 
@@ -56,32 +56,40 @@ def _compared(wanted: pd.DataFrame, distinct: DataFrame, threshold: float) -> Da
         sets = shared.value["grams"].tolist()
         vocabulary = {g: i for i, g in enumerate(sorted({g for s in sets for g in s}))}
         width = max(1, len(vocabulary))
-        q = np.zeros((width, len(ids)), dtype=np.float32)
-        for j, s in enumerate(sets):
-            q[[vocabulary[g] for g in s], j] = 1
+        step = max(1, MATRIX_CELLS // width)
         q_size = np.array([len(s) for s in sets], dtype=np.float64)
-        rows = max(1, MATRIX_CELLS // width)
+
+        def query_block(first: int) -> np.ndarray:
+            block = sets[first : first + step]
+            q = np.zeros((width, len(block)), dtype=np.float32)
+            for j, s in enumerate(block):
+                q[[vocabulary[g] for g in s], j] = 1
+            return q
+
+        only = query_block(0) if len(sets) <= step else None
         for batch in batches:
-            for start in range(0, len(batch), rows):
-                part = batch.iloc[start : start + rows]
+            for start in range(0, len(batch), step):
+                part = batch.iloc[start : start + step]
                 size = part["grams"].map(len).to_numpy()
                 at = pd.Series(np.concatenate(part["grams"].tolist())).map(vocabulary).to_numpy()
                 row = np.repeat(np.arange(len(part)), size)
                 t = np.zeros((len(part), width), dtype=np.float32)
                 hit = ~pd.isna(at)
                 t[row[hit], at[hit].astype(np.int64)] = 1
-                common = (t @ q).astype(np.float64)
-                union = size[:, None] + q_size[None, :] - common
-                score = np.divide(common, union, out=np.zeros_like(common), where=union > 0)
-                i, j = np.nonzero((score >= threshold) & (common > 0))
-                yield pd.DataFrame(
-                    {
-                        "query_id": ids[j],
-                        "title": part["title"].to_numpy()[i],
-                        "similarity": score[i, j],
-                        "documents": part["documents"].to_numpy()[i],
-                    }
-                )
+                for first in range(0, len(sets), step):
+                    q = query_block(first) if only is None else only
+                    common = (t @ q).astype(np.float64)
+                    union = size[:, None] + q_size[None, first : first + step] - common
+                    score = np.divide(common, union, out=np.zeros_like(common), where=union > 0)
+                    i, j = np.nonzero((score >= threshold) & (common > 0))
+                    yield pd.DataFrame(
+                        {
+                            "query_id": ids[first + j],
+                            "title": part["title"].to_numpy()[i],
+                            "similarity": score[i, j],
+                            "documents": part["documents"].to_numpy()[i],
+                        }
+                    )
 
     return distinct.mapInPandas(run, PAIR_SCHEMA)
 

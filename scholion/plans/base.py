@@ -40,13 +40,20 @@ class Registry:
         return keep
 
 
+_SPLITS: dict[tuple[str, str], int] = {}
 TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A given table; the ones holding text are spread over all cores if they are one small file."""
-    df = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
-    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
+    path = f"{sf.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if name not in TEXT_KEYS:
+        return df
+    seen = (spark.sparkContext.applicationId, path)
+    if seen not in _SPLITS:
+        _SPLITS[seen] = df.rdd.getNumPartitions()
+    return spread(df, TEXT_KEYS[name], splits=_SPLITS[seen])
 
 
 def rounded(column: str, digits: int = 6):

@@ -64,14 +64,15 @@ def persist_shared(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, splits: int | None = None) -> DataFrame:
     """Give CPU-heavy work on a small input all cores.
 
     An input with fewer splits than cores (one small file) is repartitioned by its key; a large
-    input has more splits than cores and is left as it is.
+    input has more splits than cores and is left as it is. splits is their number, if known.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    n = df.rdd.getNumPartitions() if splits is None else splits
+    return df if n >= cores else df.repartition(cores, *keys)
 
 
 def _row_bytes(df: DataFrame):
