@@ -300,6 +300,16 @@ def e1(spark, sf):
     return out.select("doc_id", "embedding_error", F.array_join(ints, ",").alias("vector"))
 
 
+@R.add(
+    "e4_failed_embeddings",
+    """SELECT doc_id, 'unsupported character' AS embedding_error FROM documents WHERE contains(substring(text, 1, 30000), '%')""",
+)
+def e4(spark, sf):
+    """Texts the model fails on; the others of their batches keep their vectors."""
+    out = em.embed(table(spark, sf, "documents").select("doc_id", "text"), "text", LetterProvider())
+    return out.where(F.col("embedding").isNull()).select("doc_id", "embedding_error")
+
+
 @R.add("e2_query_embedding")
 def e2(spark, sf):
     """Every benchmark passage through the default provider, the same as the chunks use."""
