@@ -15,17 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def worker_cache(key, make):
-    """make()'s value, kept by the reused Python worker between tasks.
+def worker_cache(key: str, version: str, make):
+    """make()'s value, kept by the reused Python worker between tasks until the version changes.
 
     Task functions travel by value, so their own module's globals would start empty in each task.
     """
     module = sys.modules.setdefault(CACHE_MODULE, types.ModuleType(CACHE_MODULE))
-    if not hasattr(module, "kept"):
-        module.kept = {}
-    if key not in module.kept:
-        module.kept[key] = make()
-    return module.kept[key]
+    held = getattr(module, key, None)
+    if held is None or held[0] != version:
+        held = (version, make())
+        setattr(module, key, held)
+    return held[1]
 
 
 def bucket(column: str, modulus: int, salt: str = ""):

@@ -75,7 +75,7 @@ def token_pieces(
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = worker_cache(("word-ids", vocabulary), lambda: WordIds(vocabulary))
+        known = worker_cache("word_ids", vocabulary, lambda: WordIds(vocabulary))
         for frame in frames:
             rows = []
             for at in range(0, len(frame), 500):

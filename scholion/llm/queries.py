@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scholion.llm.common import table
+from scholion.llm import language_id, quality
+from scholion.llm.common import bucket, table
+from scholion.llm.embedding_dedup import link_embeddings
+from scholion.llm.minhash_dedup import near_duplicates
 from scholion.llm.packing import pack_documents
 from scholion.llm.token_counts import token_report
 
@@ -20,7 +23,38 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(table(spark, sf_dir, "documents"), vocabulary)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts)}
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = table(spark, sf_dir, "labels").where(bucket("doc_id", 5) != 0)
+    scored = quality.score(docs, quality.fit(docs, learn), quality.THRESHOLD)
+    return scored.select("doc_id", (bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs.select("doc_id", "text"), docs.where(bucket("doc_id", 3) != 1))
+    return found.select("doc_id", (bucket("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_embeddings(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_token_counts,
+        op3_quality_classifier,
+        op6_language_id,
+        op7_minhash_dedup,
+        op10_embedding_dedup,
+    )
+}
 ORACLES: dict[str, str] = {}
 
 

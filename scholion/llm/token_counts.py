@@ -126,7 +126,7 @@ def count_tokens(
     fields = T.StructType([*kept.schema.fields, T.StructField(out, T.LongType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = worker_cache(("token-counter", vocabulary), lambda: Counter(vocabulary))
+        count = worker_cache("token_counter", vocabulary, lambda: Counter(vocabulary))
         for frame in frames:
             yield frame.assign(**{out: [count(t) if t else 0 for t in frame[text]]})
 
@@ -139,7 +139,7 @@ def token_report(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
     fields = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = worker_cache(("token-counter", vocabulary), lambda: Counter(vocabulary))
+        count = worker_cache("token_counter", vocabulary, lambda: Counter(vocabulary))
         for frame in frames:
             tokens = [count(t) for t in frame["text"]]
             yield pd.DataFrame(
