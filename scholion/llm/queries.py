@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scholion.llm import language_id, quality
 from scholion.llm.common import bucket, table
 from scholion.llm.embedding_dedup import link_embeddings
+from scholion.llm.html_text import extract
 from scholion.llm.minhash_dedup import near_duplicates
 from scholion.llm.packing import pack_documents
 from scholion.llm.token_counts import token_report
@@ -40,6 +41,10 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(table(spark, sf_dir, "embeddings"), 0.93)
 
@@ -52,6 +57,7 @@ QUERIES = {
         op3_quality_classifier,
         op6_language_id,
         op7_minhash_dedup,
+        op9_html_extraction,
         op10_embedding_dedup,
     )
 }
