@@ -11,6 +11,7 @@ from scholion.llm.embedding_dedup import link_embeddings
 from scholion.llm.html_text import extract
 from scholion.llm.minhash_dedup import near_duplicates
 from scholion.llm.packing import pack_documents
+from scholion.llm.suffix_dedup import span_report
 from scholion.llm.token_counts import token_report
 
 
@@ -41,6 +42,10 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_report(table(spark, sf_dir, "documents"), length=50)
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -57,6 +62,7 @@ QUERIES = {
         op3_quality_classifier,
         op6_language_id,
         op7_minhash_dedup,
+        op8_suffix_array_dedup,
         op9_html_extraction,
         op10_embedding_dedup,
     )
