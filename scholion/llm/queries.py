@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scholion.llm import language_id, quality
+from scholion.llm import language_id, license_scan, quality
 from scholion.llm.common import bucket, table
+from scholion.llm.decontamination import find_leaks
 from scholion.llm.embedding_dedup import link_embeddings
 from scholion.llm.html_text import extract
 from scholion.llm.minhash_dedup import near_duplicates
@@ -32,6 +33,14 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language_id.identify(docs.select("doc_id", "text"), docs.where(bucket("doc_id", 3) != 1))
@@ -60,6 +69,8 @@ QUERIES = {
         op1_best_fit_packing,
         op2_token_counts,
         op3_quality_classifier,
+        op4_decontamination,
+        op5_license_scan,
         op6_language_id,
         op7_minhash_dedup,
         op8_suffix_array_dedup,
@@ -67,7 +78,7 @@ QUERIES = {
         op10_embedding_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_license_scan": license_scan.oracle()}
 
 
 def queries() -> dict:
