@@ -4,9 +4,10 @@ A document's shingles are hashed once; the hash range is cut into bins and the l
 bin is its entry. An empty bin borrows the entry of the first non-empty bin in its own random probe
 order, so borrowed entries collide as rarely as own ones. Bands of entries give bucket keys. Within a
 bucket only star-shaped edges to its smallest document are candidates; they are confirmed on the full
-shingle sets. Buckets whose members are then still in several components are looked at again: members
-of different components whose signatures allow a link are compared, the best partner of each first,
-until no such pair is left. Equal sets are one node from the start.
+shingle sets. Buckets whose members are then still in several components are looked at again, in blocks
+of bounded size: members of different components whose signatures allow a link are compared by their
+full sets where they are, and a spanning forest of the links comes back, never the pairs. Equal sets
+are one node from the start.
 """
 
 from __future__ import annotations
@@ -177,13 +178,10 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(run, "u bigint, v bigint")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The stored pairs whose full sets reach the threshold."""
-    ids = persist_shared(
-        pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "candidates"
-    )
+def _full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The full shingle sets of the documents in ids (doc_id)."""
 
-    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = worker_cache("word_hashes", "xxh64", WordHashes)
         for frame in frames:
             for at in range(0, len(frame), 500):
@@ -191,13 +189,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
                 made = [shingles(t, width, known).tobytes() for t in part["text"]]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "members": made})
 
-    full = persist_shared(
-        docs.select("doc_id", "text")
-        .join(small_side(ids), "doc_id", "left_semi")
-        .mapInPandas(sets, "doc_id bigint, members binary")
-        .dropDuplicates(["doc_id"]),
-        "sets",
-    )
+    ids = persist_shared(ids.distinct(), "candidates")
+    texts = docs.select("doc_id", "text").join(small_side(ids), "doc_id", "left_semi")
+    sets = texts.mapInPandas(run, "doc_id bigint, members binary").dropDuplicates(["doc_id"])
+    return persist_shared(sets, "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The stored pairs whose full sets reach the threshold."""
+    full = _full_sets(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")), docs, width)
     both = pairs.join(
         full.select(F.col("doc_id").alias("u"), F.col("members").alias("mu")), "u"
     ).join(full.select(F.col("doc_id").alias("v"), F.col("members").alias("mv")), "v")
@@ -214,42 +214,78 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     return persist_shared(both.mapInPandas(run, "u bigint, v bigint"), "links")
 
 
-def _open_pairs(percent: int, best_only: bool):
-    """Within a block pair of a bucket: possible links between members of different components."""
+def _open_partners(frame: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row with the rows that may link with it, of another component, in a block pair.
+
+    A pair that shares several buckets is looked at in the first of them.
+    """
+    sig = np.frombuffer(b"".join(frame["signature"]), dtype=np.uint32).reshape(-1, BINS)
+    n, group, part, band = (frame[c].to_numpy() for c in ("n", "component", "part", "band"))
+    left, right = int(frame["left"].iat[0]), int(frame["right"].iat[0])
+    rows, cols = np.flatnonzero(part == left), np.flatnonzero(part == right)
+    for i in rows:
+        others = cols[cols > i] if left == right else cols
+        least = np.minimum(n[others], n[i])
+        fits = (group[others] != group[i]) & (100 * least >= percent * np.maximum(n[others], n[i]))
+        others, least = others[fits], least[fits]
+        if len(others):
+            equal = sig[others] == sig[i]
+            first = equal.reshape(len(others), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            near = equal.mean(axis=1) >= percent / 100 - slack(least, percent)
+            others = others[near & (first == band[i])]
+            if len(others):
+                yield i, others
+
+
+def _open_members(percent: int):
+    """The rows of a block pair that may still have a link to another component."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("doc_id", ignore_index=True)
-        sig = np.frombuffer(b"".join(frame["signature"]), dtype=np.uint32).reshape(-1, BINS)
-        ids, n, group, part, band = (
-            frame[c].to_numpy() for c in ("doc_id", "n", "component", "part", "band")
-        )
-        left, right = int(frame["left"].iat[0]), int(frame["right"].iat[0])
-        rows, cols = np.flatnonzero(part == left), np.flatnonzero(part == right)
+        wanted = np.zeros(len(frame), dtype=bool)
+        for i, others in _open_partners(frame, percent):
+            wanted[i] = wanted[others] = True
+        return frame[wanted]
+
+    return run
+
+
+def _forest(percent: int):
+    """A spanning forest of the links between a block pair's rows, by their full sets."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("doc_id", ignore_index=True)
+        sets = [np.frombuffer(m, dtype=np.uint64) for m in frame["members"]]
+        sizes = np.array([len(s) for s in sets])
+        begin = np.cumsum(sizes) - sizes
+        distinct, element = np.unique(np.concatenate(sets), return_inverse=True)
+        ids, n = frame["doc_id"].to_numpy(), frame["n"].to_numpy()
+        root = np.unique(frame["component"].to_numpy(), return_inverse=True)[1]
+        mine = np.zeros(len(distinct), dtype=np.int64)
         us, vs = [], []
-        for i in rows:
-            others = cols[cols > i] if left == right else cols
-            others = others[
-                (group[others] != group[i])
-                & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
-            ]
+        for i, others in _open_partners(frame, percent):
+            others = others[root[others] != root[i]]
             if not len(others):
                 continue
-            equal = sig[others] == sig[i]
-            score = equal.mean(axis=1)
-            # A pair that shares several buckets is looked at in the first of them.
-            first = equal.reshape(len(others), BANDS, ROWS).all(axis=2).argmax(axis=1)
-            ok = (score >= percent / 100 - slack(np.minimum(n[others], n[i]), percent)) & (first == band[i])
-            if best_only and ok.any():
-                ok = np.arange(len(others)) == np.where(ok, score, -1).argmax()
-            us.extend([ids[i]] * int(ok.sum()))
-            vs.extend(ids[others[ok]])
+            own = element[begin[i] : begin[i] + sizes[i]]
+            mine[own] = 1
+            held = [int(mine[element[begin[j] : begin[j] + sizes[j]]].sum()) for j in others]
+            mine[own] = 0
+            same = np.array(held)
+            for j in others[100 * same >= percent * (n[i] + n[others] - same)]:
+                if root[i] != root[j]:
+                    us.append(ids[i])
+                    vs.append(ids[j])
+                    root[root == root[j]] = root[i]
         return pd.DataFrame({"u": np.array(us, dtype=np.int64), "v": np.array(vs, dtype=np.int64)})
 
     return run
 
 
-def _residual(members: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int, best_only: bool):
-    """Candidate pairs in the buckets that still hold several components."""
+def _residual(
+    members: DataFrame, nodes: DataFrame, groups: DataFrame, docs: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """Links between components, found in the buckets that hold several of them."""
     marked = (
         members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .withColumn("component", F.coalesce("component_id", "doc_id"))
@@ -270,10 +306,14 @@ def _residual(members: DataFrame, nodes: DataFrame, groups: DataFrame, percent:
         .withColumn("right", F.greatest("part", "other"))
         .drop("parts", "other")
     )
-    return (
-        rows.groupBy("key", "left", "right")
-        .applyInPandas(_open_pairs(percent, best_only), "u bigint, v bigint")
-        .distinct()
+    block = ["key", "left", "right"]
+    opened = persist_shared(
+        rows.groupBy(*block).applyInPandas(_open_members(percent), rows.schema), "open"
+    )
+    sets = _full_sets(opened.select("doc_id"), docs, width)
+    return persist_shared(
+        opened.join(sets, "doc_id").groupBy(*block).applyInPandas(_forest(percent), "u bigint, v bigint"),
+        "links",
     )
 
 
@@ -310,12 +350,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = _confirmed(persist_shared(_plausible(star, nodes, percent), "pairs"), docs, width, percent)
     groups = persist_shared(components(links), "groups")
     slim = members.select("doc_id", "n", "band", "key")
-    for best_only in (True, True, False):
-        more = persist_shared(_residual(slim, nodes, groups, percent, best_only), "pairs")
-        if more.isEmpty():
-            break
-        links = links.unionByName(_confirmed(more, docs, width, percent))
-        groups = persist_shared(components(links), "groups")
+    more = _residual(slim, nodes, groups, docs, width, percent)
+    if not more.isEmpty():
+        groups = persist_shared(components(links.unionByName(more)), "groups")
     named = nodes.select("d1", "d2", "doc_id").join(
         groups.withColumnRenamed("node", "doc_id"), "doc_id", "left"
     )
