@@ -205,11 +205,11 @@ def link_embeddings(
     """ids, n_links, component_id and kept of every row.
 
     Rows link when their labels are equal and their cosine is at least threshold. A vector that is
-    null, empty, zero or holds a null or non-finite component, a null label, or another length than
+    null, empty, zero or holds a null or non-finite component, a null label or id, or another length than
     its partner links with nothing and stays alone. Repeated ids keep their rows; equal vectors are
     linked with each other. An empty table gives an empty result; other columns are ignored.
     """
-    usable = _usable(vec, label)
+    usable = _usable(vec, label) & F.col(f"`{ids}`").isNotNull()
     fit = vectors.where(usable).select(
         F.col(f"`{ids}`").alias("id"),
         F.col(f"`{label}`").alias("label"),
@@ -261,5 +261,5 @@ def link_embeddings(
         F.col("id").alias(ids),
         "n_links",
         "component_id",
-        (F.col("id") == F.col("component_id")).alias("kept"),
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
     )

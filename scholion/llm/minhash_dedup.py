@@ -322,13 +322,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Documents link when 100 * |A & B| >= percent * |A | B| for their full shingle sets. component_id
     is the smallest doc_id reachable by links, itself included. Null, empty and white-space texts
-    have no shingles and stay alone; repeated rows share a component; an empty table gives an empty
+    have no shingles and stay alone, as does a row with a null doc_id; repeated rows share a component; an empty table gives an empty
     result; other columns are ignored.
     """
     signed = persist_shared(signed_documents(docs, width), "signed")
     # Equal sets are one node: its smallest document.
+    named = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     nodes = persist_shared(
-        signed.where("n > 0")
+        signed.where(named)
         .groupBy("d1", "d2")
         .agg(F.min(F.struct("doc_id", "n", "keys", "signature")).alias("r"))
         .select("d1", "d2", "r.*"),
@@ -353,19 +354,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     more = _residual(slim, nodes, groups, docs, width, percent)
     if not more.isEmpty():
         groups = persist_shared(components(links.unionByName(more)), "groups")
-    named = nodes.select("d1", "d2", "doc_id").join(
-        groups.withColumnRenamed("node", "doc_id"), "doc_id", "left"
-    )
-    named = named.select("d1", "d2", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = signed.where("n > 0").select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"])
-    alone = signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    groups = groups.withColumnRenamed("node", "doc_id")
+    classes = nodes.select("d1", "d2", "doc_id").join(groups, "doc_id", "left")
+    classes = classes.select("d1", "d2", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = signed.where(named).select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"])
+    alone = signed.where(~named).select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return (
-        out.select("doc_id", "n", "component_id")
+        linked.select("doc_id", "n", "component_id")
         .unionByName(alone)
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),
             "component_id",
-            (F.col("doc_id") == F.col("component_id")).alias("kept"),
+            F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
         )
     )
