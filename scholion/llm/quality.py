@@ -23,7 +23,7 @@ from scholion.llm.sampling import stratified
 
 PASSAGE_BYTES = 400
 #: The bound of the training sample: rows of each label value and passages of a sampled row.
-SAMPLE_PER_LABEL = 1500
+SAMPLE_PER_LABEL = 1000
 SAMPLE_PASSAGES = 40
 HIDDEN = 16
 ATTENTION = 8
@@ -181,8 +181,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"))
     )
+    # The sample's ids are bounded by two times per_label, so they are broadcast and no text moves.
     chosen = stratified(known, "doc_id", "quality", per_label)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(
+        F.broadcast(chosen), "doc_id"
+    )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
