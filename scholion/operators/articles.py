@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from scholion.functions.text import let, nullif_empty, stable_id, strip, word_count
 from scholion.schemas import AUTHOR
 
-# Nested sections are unrolled to this depth; the text of deeper ones joins the last level.
-SECTION_DEPTH = 4
+# Nested sections are unrolled to this depth; a deeper article goes to the quarantine, whole.
+SECTION_DEPTH = 6
 
 # Words in a section title (lower case, first hit in this order) and their type.
 SECTION_TYPES = {
@@ -95,6 +95,20 @@ def article_elements(xml: Column) -> Column:
     return F.regexp_extract_all(xml, F.lit(r"(?s)<article(?=[\s>]).*?</article>"), F.lit(0))
 
 
+def plain_cdata(xml: Column) -> Column:
+    """CDATA sections as escaped text, so that none of it can be taken for markup."""
+
+    def opened(part: Column, i: Column) -> Column:
+        inner = F.substring_index(part, "]]>", 1)
+        rest = F.substr(part, F.length(inner) + F.lit(4))
+        escaped = F.replace(F.replace(inner, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit(_LT))
+        text = F.replace(escaped, F.lit(">"), F.lit("&gt;"))
+        return F.when(i == 0, part).otherwise(F.concat(text, rest))
+
+    parts = F.transform(F.split(xml, r"<!\[CDATA\["), opened)
+    return F.when(xml.contains("<![CDATA["), F.array_join(parts, "")).otherwise(xml)
+
+
 def text_content(markup: Column) -> Column:
     """All descendant text nodes joined by one blank and trimmed."""
     plain = strip(F.regexp_replace(markup, "(<[^>]+>)+", " "))
@@ -132,9 +146,17 @@ def abstract_of(meta: Column, meta_text: Column) -> Column:
         )
         return F.when(heading != "", F.concat(heading, F.lit(": "), body)).otherwise(body)
 
-    secs = _first(meta["abstract"])["sec"]
-    return F.when(F.size(secs) > 0, F.array_join(F.transform(secs, piece), " ")).otherwise(
-        text_content(_first(meta_text["abstract"]))
+    def one(shape: Column, markup: Column) -> Column:
+        secs = shape["sec"]
+        return F.when(F.size(secs) > 0, F.array_join(F.transform(secs, piece), " ")).otherwise(
+            text_content(markup)
+        )
+
+    # Several abstracts (a plain and a graphical one, say) follow each other.
+    found = F.zip_with(meta["abstract"], meta_text["abstract"], one)
+    return let(
+        F.filter(found, lambda a: a.isNotNull()),
+        lambda a: F.when(F.size(a) > 0, F.array_join(a, " ")),
     )
 
 
@@ -198,9 +220,13 @@ def authors_of(meta: Column, meta_text: Column) -> Column:
 
         return build
 
+    everyone = F.flatten(
+        F.filter(
+            F.transform(meta["contrib-group"], lambda g: g["contrib"]), lambda c: c.isNotNull()
+        )
+    )
     people = F.filter(
-        _first(meta["contrib-group"])["contrib"],
-        lambda c: (c["_contrib-type"] == "author") & c["name"].isNotNull(),
+        everyone, lambda c: (c["_contrib-type"] == "author") & c["name"].isNotNull()
     )
     built = let(affiliations, lambda known: F.transform(people, author(known)))
     return F.coalesce(built.cast(f"array<{AUTHOR}>"), F.array().cast(f"array<{AUTHOR}>"))
@@ -276,8 +302,6 @@ def _flat_sections(secs: Column, level: int, parent: Column | None) -> Column:
         full = title if parent is None else F.concat(parent, F.lit(" > "), title)
         paragraphs = F.coalesce(sec["p"], F.array().cast("array<string>"))
         if level + 1 == SECTION_DEPTH:
-            deeper = F.coalesce(sec["sec"], F.array().cast("array<string>"))
-            paragraphs = F.concat(paragraphs, deeper)
             below = lambda _: empty
         else:
             below = lambda f: _flat_sections(sec["sec"], level + 1, f)
@@ -343,7 +367,11 @@ def references_of(back: Column, back_text: Column) -> Column:
             text_content(markup).alias("raw"),
         )
 
-    refs = F.zip_with(_first(back["ref-list"])["ref"], _first(back_text["ref-list"])["ref"], build)
+    def listed(part: Column) -> Column:
+        lists = F.transform(part["ref-list"], lambda r: r["ref"])
+        return F.flatten(F.filter(lists, lambda r: r.isNotNull()))
+
+    refs = F.zip_with(listed(back), listed(back_text), build)
     return F.coalesce(
         refs.cast(f"array<{REFERENCE}>"), F.array().cast(f"array<{REFERENCE}>")
     )
@@ -372,20 +400,36 @@ def with_indicators(df: DataFrame) -> DataFrame:
     )
 
 
+def _too_deep(body: Column) -> Column:
+    """True if some section lies below the last level that is read."""
+
+    def below(secs: Column, level: int) -> Column:
+        if level == SECTION_DEPTH:
+            return F.size(secs) > 0
+        return F.exists(secs, lambda s: below(s["sec"], level + 1))
+
+    return F.coalesce(below(body["sec"], 0), F.lit(False))
+
+
 def parse_articles(raw: DataFrame, id_column: str | None = None) -> DataFrame:
-    """Rows (object_key, content) -> one parsed row per file, reason set where it was rejected.
+    """Rows (object_key, content) -> one parsed row per article, reason set where it was rejected.
 
+    A file's second and later articles get ids of their own, from the file's key and "#1", "#2", ...
     The whole parse is one projection: no shuffle, the file's row stays in its partition.
     """
     xml = F.make_valid_utf8(F.col("content").cast("string"))
-    element = F.coalesce(_first(article_elements(xml)), xml)
-    guarded = F.regexp_replace(element, "(?i)&lt;|&#0*60;|&#x0*3c;", _LT)
+    elements = let(
+        article_elements(xml), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(xml))
+    )
+    guarded = F.regexp_replace(plain_cdata(F.col("_element")), "(?i)&lt;|&#0*60;|&#x0*3c;", _LT)
     options = {
         "rowTag": "article",
         "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": "_broken",
     }
-    key = F.col(id_column) if id_column else stable_id(F.col("object_key"))
+    name = F.col(id_column or "object_key").cast("string")
+    numbered = F.when(F.col("_n") > 0, F.concat(name, F.lit("#"), F.col("_n"))).otherwise(name)
+    key = numbered if id_column else stable_id(numbered)
     carried = [c for c in raw.columns if c != "content"]
     names = [*carried, *(["document_id"] if "document_id" not in carried else []), "preview"]
     both = F.struct(
@@ -395,8 +439,12 @@ def parse_articles(raw: DataFrame, id_column: str | None = None) -> DataFrame:
     # Reading through a one-row generator keeps later filters from decoding the text again.
     read = (
         raw.select(
-            *carried, key.alias("document_id"), guarded.alias("_x"),
-            F.substring(xml, 1, 200).alias("preview"),
+            *carried, F.substring(xml, 1, 200).alias("preview"),
+            F.posexplode(elements).alias("_n", "_element"),
+        )
+        .select(
+            *[c for c in carried if c != "document_id"], "preview",
+            key.alias("document_id"), guarded.alias("_x"),
         )
         .select(*names, F.explode_outer(F.array(both)).alias("_p"))
         .select(*names, "_p.shape", "_p.text")
@@ -410,6 +458,10 @@ def parse_articles(raw: DataFrame, id_column: str | None = None) -> DataFrame:
         )
         .when(front.isNull(), F.lit("No front matter found in article"))
         .when(meta.isNull(), F.lit("No article-meta found"))
+        .when(
+            _too_deep(F.col("shape.body")),
+            F.lit(f"Sections are nested more than {SECTION_DEPTH} levels deep"),
+        )
     )
     fields = read.select(
         *names,

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from scholion.functions.vectors import fit_dimensions, normalise
 
-# Default batch size, longest text handed to a model, stored vector width.
-BATCH_SIZE, MAX_CHARS, WIDTH = 32, 30_000, 1536
+# Default batch size and stored vector width.
+BATCH_SIZE, WIDTH = 32, 1536
 
 
 class Provider(Protocol):
@@ -25,12 +25,17 @@ class Provider(Protocol):
     def load(self) -> Callable[[list[str]], list[list[float]]]: ...
 
 
-def cut(text: Column) -> Column:
-    return F.substring(text, 1, MAX_CHARS)
+def cut(text: Column, max_chars: int | None = None) -> Column:
+    """The text as a model takes it: whole, unless the model has a limit."""
+    return text if max_chars is None else F.substring(text, 1, max_chars)
 
 
 def embed(
-    df: DataFrame, text_col: str, provider: Provider, batch_size: int = BATCH_SIZE
+    df: DataFrame,
+    text_col: str,
+    provider: Provider,
+    batch_size: int = BATCH_SIZE,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Add embedding and embedding_error; rows and their order are kept.
 
@@ -38,7 +43,7 @@ def embed(
     by one and keep their vectors.
     """
     cut_col = "_embed_text"
-    source = df.withColumn(cut_col, cut(F.col(text_col)))
+    source = df.withColumn(cut_col, cut(F.col(text_col), max_chars))
     schema = T.StructType(
         [f for f in df.schema.fields if f.name not in ("embedding", "embedding_error")]
         + [
@@ -103,7 +108,7 @@ def hashing_embed(
 
     from scholion.functions.text import lexemes
 
-    words = df.withColumn("_w", lexemes(cut(F.coalesce(F.col(text_col), F.lit(""))), "simple"))
+    words = df.withColumn("_w", lexemes(F.coalesce(F.col(text_col), F.lit("")), "simple"))
     counted = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=dimensions).transform(words)
     vector = normalise(vector_to_array("_tf"))
     if width is not None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -50,6 +51,7 @@ def title_similarity(
 
 def _compared(wanted: pd.DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
     shared = distinct.sparkSession.sparkContext.broadcast(wanted)
+    bound = Fraction(str(threshold))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = shared.value["query_id"].to_numpy()
@@ -81,7 +83,7 @@ def _compared(wanted: pd.DataFrame, distinct: DataFrame, threshold: float) -> Da
                     common = (t @ q).astype(np.float64)
                     union = size[:, None] + q_size[None, first : first + step] - common
                     score = np.divide(common, union, out=np.zeros_like(common), where=union > 0)
-                    i, j = np.nonzero((score >= threshold) & (common > 0))
+                    i, j = np.nonzero((common * bound.denominator >= union * bound.numerator) & (common > 0))
                     yield pd.DataFrame(
                         {
                             "query_id": ids[first + j],
@@ -96,7 +98,10 @@ def _compared(wanted: pd.DataFrame, distinct: DataFrame, threshold: float) -> Da
 
 def _joined(queries: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
     """Two sets that similar share one of their rarest trigrams, so only those are joined
-    (prefix filter), and sizes must be close; the survivors are compared exactly."""
+    (prefix filter), and sizes must be close; the survivors are compared exactly. All tests are
+    between integers, as ceil(0.55 * 100) in floating point is 56."""
+    bound = Fraction(str(threshold))
+    top, low = F.lit(bound.numerator), F.lit(bound.denominator)
     distinct = distinct.withColumn("n", F.size("grams")).where("n > 0")
     asked = (
         queries.select("query_id", trigrams(F.col("query_text")).alias("q_grams"))
@@ -109,7 +114,7 @@ def _joined(queries: DataFrame, distinct: DataFrame, threshold: float) -> DataFr
     )
 
     def rarest(df: DataFrame, key: list[str], grams: str, n: str) -> DataFrame:
-        keep = F.col(n) - F.ceil(F.lit(threshold) * F.col(n)) + 1
+        keep = F.col(n) - F.floor((top * F.col(n) + low - 1) / low) + 1
         order = Window.partitionBy(*key).orderBy(F.coalesce("df", F.lit(0)), "gram")
         return (
             df.select(*key, n, F.explode_outer(grams).alias("gram"))
@@ -121,18 +126,16 @@ def _joined(queries: DataFrame, distinct: DataFrame, threshold: float) -> DataFr
 
     left = rarest(asked, ["query_id"], "q_grams", "qn")
     right = rarest(distinct, ["title"], "grams", "n")
-    close = (F.col("qn") >= threshold * F.col("n")) & (F.col("n") >= threshold * F.col("qn"))
+    close = (low * F.col("qn") >= top * F.col("n")) & (low * F.col("n") >= top * F.col("qn"))
     pairs = (
         right.join(left, "gram").where(close).select("query_id", "title").distinct()
     )
     scored = (
         pairs.join(asked.select("query_id", "q_grams"), "query_id")
         .join(distinct.select("title", "documents", "grams"), "title")
-        .withColumn(
-            "similarity",
-            F.size(F.array_intersect("q_grams", "grams")) / F.size(F.array_union("q_grams", "grams")),
-        )
+        .withColumn("common", F.size(F.array_intersect("q_grams", "grams")))
+        .withColumn("all", F.size("q_grams") + F.size("grams") - F.col("common"))
     )
-    return scored.where(F.col("similarity") >= threshold).select(
-        "query_id", "title", "similarity", "documents"
+    return scored.where(low * F.col("common") >= top * F.col("all")).select(
+        "query_id", "title", (F.col("common") / F.col("all")).alias("similarity"), "documents"
     )

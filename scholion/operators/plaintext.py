@@ -25,10 +25,9 @@ HEADINGS = {
     "acknowledgments": r"^(acknowledgm?ents?)\s*$",
     "supplementary": r"^(supplementary|supporting)\s*(materials?|information)?\s*$",
 }
-# Patterns and limits of the text heuristics.
+# Patterns of the text heuristics.
 ABSTRACT_START = r"^abstract\s*:?\s*$"
 ABSTRACT_END = r"^(introduction|background|keywords?|methods?|1\.?\s*introduction)\s*:?\s*$"
-ABSTRACT_LINES = 30
 DOI = r"(?i)(?:doi[:\s]*|https?://(?:dx\.)?doi\.org/)?(10\.\d{4,}/[^\s]+)"
 PMID = r"(?i)PMID[:\s]*(\d{7,8})"
 PMCID = r"(?i)PMC\s*ID?[:\s]*(PMC\d+)|(?:^|\s)(PMC\d+)"
@@ -45,7 +44,6 @@ NAME_SPLIT = r"\s*[,;&]\s*|\s+and\s+"
 NOT_A_NAME_LINE = r"^(abstract|introduction|keywords?|doi|http|received|accepted|published)"
 INSTITUTION_WORDS = ["university", "institute", "department", "hospital"]
 AUTHOR_SEPARATORS = [";", ",", " and ", "&"]
-HEADER_CHARS, HEADER_LINES, IDENTIFIER_CHARS, REFERENCE_LIMIT = 2000, 20, 5000, 100
 
 PAGES_PER_BLOCK = 512
 
@@ -105,8 +103,8 @@ def title_from_text(text: Column, meta_title: Column | None = None) -> Column:
     return F.when(F.length(meta_title) > 0, strip(meta_title)).otherwise(fallback)
 
 
-def abstract_from_text(text: Column) -> Column:
-    """Lines below an abstract heading up to the next heading or the line limit."""
+def abstract_from_text(text: Column, max_lines: int | None = None) -> Column:
+    """Lines below an abstract heading up to the next heading (or to max_lines, if given)."""
     state = "struct<mode:int,taken:array<string>>"
 
     def step(acc: Column, line: Column) -> Column:
@@ -117,14 +115,11 @@ def abstract_from_text(text: Column) -> Column:
             .when((F.size(taken) > 0) & (F.element_at(taken, -1) != ""), F.concat(taken, F.array(line)))
             .otherwise(taken)
         )
-        grown = F.when(F.size(taken) > ABSTRACT_LINES, acc).otherwise(
-            F.struct(F.lit(1).alias("mode"), more.alias("taken")).cast(state)
-        )
+        full = F.lit(False) if max_lines is None else F.size(taken) > max_lines
+        grown = F.struct(F.lit(1).alias("mode"), more.alias("taken")).cast(state)
         done = F.struct(F.lit(2).alias("mode"), taken.alias("taken")).cast(state)
         return (
-            F.when(
-                (acc["mode"] == 2) | (F.size(taken) > ABSTRACT_LINES), acc
-            )
+            F.when((acc["mode"] == 2) | full, acc)
             .when(
                 low.rlike(ABSTRACT_START),
                 F.struct(F.lit(1).alias("mode"), taken.alias("taken")).cast(state),
@@ -207,8 +202,8 @@ def authors_from_metadata(text: Column) -> Column:
     return F.coalesce(F.transform(names, _person), F.array().cast(f"array<{AUTHOR}>"))
 
 
-def authors_from_text(text: Column) -> Column:
-    """Names on the first header line that looks like an author line."""
+def authors_from_text(text: Column, max_lines: int | None = None) -> Column:
+    """Names on the first line (of the first max_lines, if given) that looks like an author line."""
 
     def people(line: Column) -> Column:
         names = F.transform(
@@ -230,15 +225,14 @@ def authors_from_text(text: Column) -> Column:
             & line.rlike(NAME_LINE)
         )
 
-    header = F.transform(
-        F.slice(lines(F.substring(text, 1, HEADER_CHARS)), 1, HEADER_LINES), strip
-    )
+    read = lines(text) if max_lines is None else F.slice(lines(text), 1, max_lines)
+    header = F.transform(read, strip)
     found = F.filter(F.transform(F.filter(header, usable), people), lambda p: F.size(p) > 0)
     return F.coalesce(F.get(found, F.lit(0)), F.array().cast(f"array<{AUTHOR}>"))
 
 
-def references_from_text(text: Column, limit: int = REFERENCE_LIMIT) -> Column:
-    """Numbered entries below the references heading, with DOI and year picked out."""
+def references_from_text(text: Column, limit: int | None = None) -> Column:
+    """Numbered entries (at most limit, if given) below the references heading, with DOI and year."""
 
     def entries(all_lines: Column) -> Column:
         at = F.get(
@@ -259,9 +253,8 @@ def references_from_text(text: Column, limit: int = REFERENCE_LIMIT) -> Column:
             ),
         )
 
-    raw = F.slice(
-        F.regexp_extract_all(let(lines(text), entries), F.lit(REFERENCE_ENTRY), F.lit(1)), 1, limit
-    )
+    raw = F.regexp_extract_all(let(lines(text), entries), F.lit(REFERENCE_ENTRY), F.lit(1))
+    raw = raw if limit is None else F.slice(raw, 1, limit)
     return F.coalesce(
         F.transform(
             F.transform(raw, squeeze),
@@ -277,20 +270,18 @@ def references_from_text(text: Column, limit: int = REFERENCE_LIMIT) -> Column:
 
 
 def doi_of(text: Column) -> Column:
-    found = F.regexp_extract(F.substring(text, 1, IDENTIFIER_CHARS), DOI, 1)
+    found = F.regexp_extract(text, DOI, 1)
     return nullif_empty(F.regexp_replace(found, r"[.,;)]+\z", ""))
 
 
 def pmcid_of(text: Column) -> Column:
-    head = F.substring(text, 1, IDENTIFIER_CHARS)
     return F.coalesce(
-        nullif_empty(F.regexp_extract(head, PMCID, 1)),
-        nullif_empty(F.regexp_extract(head, PMCID, 2)),
+        nullif_empty(F.regexp_extract(text, PMCID, 1)), nullif_empty(F.regexp_extract(text, PMCID, 2))
     )
 
 
 def pmid_of(text: Column) -> Column:
-    return nullif_empty(F.regexp_extract(F.substring(text, 1, IDENTIFIER_CHARS), PMID, 1))
+    return nullif_empty(F.regexp_extract(text, PMID, 1))
 
 
 def keywords_of(text: Column) -> Column:

@@ -8,8 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values of the format test.
-SNIFF_BYTES = 2000
 PREVIEW_BYTES = 200
 
 
@@ -18,8 +16,9 @@ def _head(content: Column, n: int) -> Column:
 
 
 def is_article_xml(content: Column, filename: Column | None = None) -> Column:
-    head = F.lower(_head(content, SNIFF_BYTES))
-    return head.contains("<?xml") & (head.contains("pmc-articleset") | head.contains("<article"))
+    # The whole object is looked at: a long prolog or comment may stand before the root.
+    text = F.lower(F.make_valid_utf8(content.cast("string")))
+    return text.contains("<?xml") & (text.contains("pmc-articleset") | text.contains("<article"))
 
 
 def is_pdf(content: Column, filename: Column | None = None) -> Column:

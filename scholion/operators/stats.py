@@ -95,9 +95,9 @@ def ingestion_metrics(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def chunks_by_section(chunks: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page of each document's chunks, grouped by section in order of appearance."""
-    page = get_document_chunks(chunks, None, limit, offset)
+def chunks_by_section(chunks: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Each document's chunks, or one page of them, grouped by section in order of appearance."""
+    page = chunks if limit is None else get_document_chunks(chunks, None, limit, offset)
     section = F.coalesce(F.nullif("section_title", F.lit("")), F.lit("Content"))
     return (
         page.groupBy("document_id", section.alias("section"))

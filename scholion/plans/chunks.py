@@ -292,7 +292,7 @@ LETTERS_SQL = "[" + ", ".join(f"(length(t) - length(replace(t, '{a}', '')))" for
     "e1_embed_batches",
     f"""SELECT doc_id, CASE WHEN contains(t, '%') THEN 'unsupported character' END AS embedding_error,
       CASE WHEN NOT contains(t, '%') THEN array_to_string({LETTERS_SQL}, ',') END AS vector
-    FROM (SELECT doc_id, lower(substring(text, 1, 30000)) AS t FROM documents)""",
+    FROM (SELECT doc_id, lower(text) AS t FROM documents)""",
 )
 def e1(spark, sf):
     out = em.embed(table(spark, sf, "documents").select("doc_id", "text"), "text", LetterProvider())
@@ -302,7 +302,7 @@ def e1(spark, sf):
 
 @R.add(
     "e4_failed_embeddings",
-    """SELECT doc_id, 'unsupported character' AS embedding_error FROM documents WHERE contains(substring(text, 1, 30000), '%')""",
+    """SELECT doc_id, 'unsupported character' AS embedding_error FROM documents WHERE contains(text, '%')""",
 )
 def e4(spark, sf):
     """Texts the model fails on; the others of their batches keep their vectors."""
@@ -319,12 +319,14 @@ def e2(spark, sf):
 
 @R.add(
     "e3_cut_texts",
-    "SELECT doc_id, sha256(substring(text, 1, 30000)) AS digest, length(substring(text, 1, 30000)) AS n FROM documents",
+    "SELECT doc_id, sha256(text) AS digest, length(text) AS n, sha256(substring(text, 1, 1000)) AS short FROM documents",
 )
 def e3(spark, sf):
-    cut = em.cut(F.col("text"))
+    """The text a model is handed: whole by default, cut where the model has a limit."""
+    whole = em.cut(F.col("text"))
     return table(spark, sf, "documents").select(
-        "doc_id", F.sha2(cut, 256).alias("digest"), F.length(cut).cast("long").alias("n")
+        "doc_id", F.sha2(whole, 256).alias("digest"), F.length(whole).cast("long").alias("n"),
+        F.sha2(em.cut(F.col("text"), 1000), 256).alias("short"),
     )
 
 

@@ -6,7 +6,7 @@ the same fields straight from the documents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from scholion.functions import present as pr
@@ -24,6 +24,11 @@ QUERIES, ORACLES = R.queries, R.oracles
 
 HEADINGS = ["Background", "Materials and Methods", "Experimental results", "Discussion", "Notes"]
 HEADINGS_SQL = "[" + ",".join(f"'{h}'" for h in HEADINGS) + "]"
+# A section below the others, nested five levels deep; texts stand on the second and the fifth.
+NESTED = ["Supplementary", "Inner results", "L3", "L4", "L5"]
+NESTED_SQL = "[" + ",".join(f"'{h}'" for h in NESTED) + "]"
+NESTED_TYPES_SQL = "['supplementary', 'results', NULL, NULL, NULL]"
+NESTED_TEXT_SQL = "['', CAST(doc_id AS VARCHAR), '', '', CAST(doc_id AS VARCHAR)]"
 TYPES_SQL = "['introduction', 'methods', 'methods', 'discussion', NULL]"
 
 
@@ -40,7 +45,9 @@ def _tag(name: str, *inner, attrs: str = "") -> Column:
 def article_xml(spark, sf):
     """object_key and content: first line title, second abstract, every further line a section.
 
-    Keys ending in 7 miss their closing tag, keys ending in 8 their front matter.
+    Keys ending in 7 miss their closing tag, keys ending in 8 their front matter; files of keys
+    ending in 5 hold their article twice. Each article has two author groups, two abstracts, two
+    reference lists, a journal title in a CDATA section and a section nested five levels deep.
     """
     d = table(spark, sf, "documents").withColumn(
         "ls", F.filter(F.transform(lines(F.col("text")), strip), lambda x: x != "")
@@ -52,10 +59,21 @@ def article_xml(spark, sf):
         "sec", _tag("title", F.get(heading, j % 5)), _tag("p", F.lit("<italic>"), _esc(x), F.lit("</italic>"))
     )
     body = F.array_join(F.transform(F.slice("ls", 3, F.greatest(F.size("ls"), F.lit(1))), section), "")
-    abstract = F.when(F.size("ls") > 1, _tag("abstract", _tag("p", _esc(F.get("ls", F.lit(1)))))).otherwise("")
+    nested = F.lit("")
+    for level in reversed(range(len(NESTED))):
+        said = _tag("p", num) if level in (1, 4) else F.lit("")
+        nested = _tag("sec", _tag("title", F.lit(NESTED[level])), said, nested)
+    body = F.concat(body, nested)
+    abstract = F.when(
+        F.size("ls") > 1,
+        F.concat(
+            _tag("abstract", _tag("p", _esc(F.get("ls", F.lit(1))))),
+            _tag("abstract", _tag("p", F.lit("Shown")), attrs=' abstract-type="graphical"'),
+        ),
+    ).otherwise("")
     front = _tag(
         "front",
-        _tag("journal-meta", _tag("journal-title-group", _tag("journal-title", F.col("source")))),
+        _tag("journal-meta", _tag("journal-title-group", _tag("journal-title", F.lit("<![CDATA["), F.col("source"), F.lit(" <J & K>]]>")))),
         _tag(
             "article-meta",
             _tag("article-id", F.lit("PMC"), num, attrs=' pub-id-type="pmcid"'),
@@ -73,6 +91,14 @@ def article_xml(spark, sf):
                 _tag("contrib", _tag("collab", F.lit("Group")), attrs=' contrib-type="author"'),
                 _tag("contrib", _tag("name", _tag("surname", F.lit("E"))), attrs=' contrib-type="editor"'),
             ),
+            _tag(
+                "contrib-group",
+                _tag(
+                    "contrib",
+                    _tag("name", _tag("surname", F.lit("T"), num), _tag("given-names", F.lit("Second"))),
+                    attrs=' contrib-type="author"',
+                ),
+            ),
             _tag("aff", _tag("label", F.lit("1")), F.lit("Dept "), F.col("source"), attrs=' id="a1"'),
             _tag("pub-date", _tag("year", F.lit("2020")), attrs=' pub-type="collection"'),
             F.when(
@@ -98,13 +124,26 @@ def article_xml(spark, sf):
         ),
         F.lit('</ref><ref id="r2"><mixed-citation>Plain '), num, F.lit("</mixed-citation></ref>"),
     )
-    xml = F.concat(
-        F.lit('<?xml version="1.0"?><!DOCTYPE article PUBLIC "-//X//DTD//EN" "https://example.org/x.dtd"><article article-type="'),
-        F.col("lang"), F.lit('">'),
+    more = _tag(
+        "ref-list",
+        F.lit('<ref id="r3">'),
+        _tag("element-citation", _tag("article-title", F.lit("Third")), _tag("year", F.lit("2001"))),
+        F.lit("</ref>"),
+    )
+    article = F.concat(
+        F.lit('<article article-type="'), F.col("lang"), F.lit('">'),
         F.when(i % 10 == 8, F.lit("")).otherwise(front),
-        _tag("body", body), _tag("back", ref),
+        _tag("body", body), _tag("back", ref, more),
         F.when(i % 10 == 7, F.lit("")).otherwise("</article>"),
     )
+    xml = F.concat(
+        F.lit('<?xml version="1.0"?>'),
+        F.when(i % 10 == 5, _tag("pmc-articleset", article, article)).otherwise(
+            F.concat(
+                F.lit('<!DOCTYPE article PUBLIC "-//X//DTD//EN" "https://example.org/x.dtd">'), article
+            )
+        ),
+    )
     return d.select(num.alias("object_key"), xml.cast("binary").alias("content"))
 
 
@@ -112,9 +151,10 @@ def parsed(spark, sf):
     return ar.parse_articles(article_xml(spark, sf), "object_key")
 
 
-GOOD = f"""art AS (SELECT *, CAST(doc_id AS VARCHAR) AS document_id, coalesce(ls[3:], []) AS rest,
-    CASE WHEN len(ls) > 1 THEN ls[2] END AS abstract
-  FROM (SELECT doc_id, source, lang, list_filter(list_transform({lines_sql('text')}, lambda x: {strip_sql('x')}), lambda x: x <> '') AS ls
+GOOD = f"""art AS (SELECT *, CAST(doc_id AS VARCHAR) || nth AS document_id, coalesce(ls[3:], []) AS rest,
+    CASE WHEN len(ls) > 1 THEN ls[2] || ' Shown' END AS abstract
+  FROM (SELECT doc_id, source, lang, unnest(CASE WHEN doc_id % 10 = 5 THEN ['', '#1'] ELSE [''] END) AS nth,
+      list_filter(list_transform({lines_sql('text')}, lambda x: {strip_sql('x')}), lambda x: x <> '') AS ls
     FROM documents) WHERE doc_id % 10 NOT IN (7, 8))"""
 
 
@@ -130,7 +170,7 @@ def good(spark, sf):
     "p1_sniff_format",
     """SELECT key, CASE WHEN contains(head, '<?xml') AND (contains(head, 'pmc-articleset') OR contains(head, '<article'))
         THEN 'article_xml' WHEN starts_with(t, '%PDF') OR ends_with(lower(key), '.pdf') THEN 'pdf' END AS format
-    FROM (SELECT key, t, lower(substring(t, 1, 1900)) AS head FROM (
+    FROM (SELECT key, t, lower(t) AS head FROM (
       SELECT url AS key, html AS t FROM pages
       UNION ALL SELECT 'd' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.PDF' ELSE '.txt' END,
         CASE WHEN doc_id % 4 = 1 THEN '%PDF-1.7 ' WHEN doc_id % 4 = 2 THEN '<?xml version="1.0"?><ARTICLE>' ELSE '' END || text
@@ -173,7 +213,7 @@ def p2_pages(spark, sf):
 
 @R.add(
     "p3_required_structure",
-    "SELECT CAST(doc_id AS VARCHAR) AS document_id FROM documents WHERE doc_id % 10 NOT IN (7, 8)",
+    art("SELECT document_id FROM art"),
 )
 def p3(spark, sf):
     return good(spark, sf).select("document_id")
@@ -181,13 +221,12 @@ def p3(spark, sf):
 
 @R.add(
     "p4_text_content",
-    f"""SELECT doc_id, coalesce({strip_sql("replace(replace(text, '<', ' '), chr(10), '  ')")}, '') AS txt FROM documents""",
+    f"""SELECT doc_id, {strip_sql("replace(text, chr(10), '   ')")} AS txt FROM documents""",
 )
 def p4(spark, sf):
     """Every line wrapped in inline markup; the markup is one blank afterwards."""
     marked = F.concat(F.lit("<p>"), F.replace("text", F.lit("\n"), F.lit(" </b><i> ")), F.lit("</p>"))
-    text = F.regexp_replace(ar.text_content(marked), " {3}", "  ")
-    return table(spark, sf, "documents").select("doc_id", text.alias("txt"))
+    return table(spark, sf, "documents").select("doc_id", ar.text_content(marked).alias("txt"))
 
 
 @R.add("p5_title", art("SELECT document_id, ls[1] AS title FROM art"))
@@ -202,18 +241,18 @@ def p6(spark, sf):
 
 @R.add(
     "p7_authors",
-    art("""SELECT document_id, 1 AS n, lang AS given_names, 'S' || doc_id AS surname, 's' || doc_id || '@example.org' AS email,
+    art("""SELECT document_id, 2 AS n, 'T' || doc_id AS second, lang AS given_names, 'S' || doc_id AS surname, 's' || doc_id || '@example.org' AS email,
       '1 Dept ' || source AS affiliations FROM art"""),
 )
 def p7(spark, sf):
     a = F.col("authors")[0]
     return good(spark, sf).select(
-        "document_id", F.size("authors").alias("n"), a["given_names"].alias("given_names"), a["surname"].alias("surname"),
+        "document_id", F.size("authors").alias("n"), F.col("authors")[1]["surname"].alias("second"), a["given_names"].alias("given_names"), a["surname"].alias("surname"),
         a["email"].alias("email"), F.array_join(a["affiliations"], ";").alias("affiliations"),
     )
 
 
-@R.add("p8_journal", art("SELECT document_id, source AS journal FROM art"))
+@R.add("p8_journal", art("SELECT document_id, source || ' <J & K>' AS journal FROM art"))
 def p8(spark, sf):
     return good(spark, sf).select("document_id", "journal")
 
@@ -250,25 +289,32 @@ def p12(spark, sf):
     return good(spark, sf).select("document_id", "article_type")
 
 
-SECS = f"""secs AS (SELECT document_id, unnest(rest) AS content, generate_subscripts(rest, 1) - 1 AS j FROM art)"""
+SECS = f"""secs AS (SELECT document_id, unnest(rest) AS content, generate_subscripts(rest, 1) - 1 AS j,
+    unnest(list_transform(rest, lambda x, i: {HEADINGS_SQL}[(i - 1) % 5 + 1])) AS title,
+    unnest(list_transform(rest, lambda x, i: {TYPES_SQL}[(i - 1) % 5 + 1])) AS type FROM art
+  UNION ALL SELECT document_id, unnest({NESTED_TEXT_SQL}), len(rest) + generate_subscripts({NESTED_SQL}, 1) - 1,
+    unnest({NESTED_SQL}), unnest({NESTED_TYPES_SQL}) FROM art)"""
 
 
 @R.add(
     "p13_sections",
-    f"""WITH {GOOD}, {SECS} SELECT document_id, CAST(j AS INTEGER) AS ord, {HEADINGS_SQL}[j % 5 + 1] AS title, content FROM secs""",
+    f"""WITH {GOOD}, {SECS} SELECT document_id, CAST(j AS INTEGER) AS ord, title, type, content FROM secs""",
 )
 def p13(spark, sf):
     return (
         good(spark, sf)
         .select("document_id", F.posexplode_outer("sections").alias("ord", "s"))
         .where(F.col("ord").isNotNull())
-        .select("document_id", "ord", F.col("s.title").alias("title"), F.col("s.content").alias("content"))
+        .select(
+            "document_id", "ord", F.col("s.title").alias("title"), F.col("s.type").alias("type"),
+            F.col("s.content").alias("content"),
+        )
     )
 
 
 @R.add(
     "p14_section_type",
-    f"""WITH {GOOD}, {SECS} SELECT {TYPES_SQL}[j % 5 + 1] AS type, count(*) AS sections FROM secs GROUP BY 1""",
+    f"""WITH {GOOD}, {SECS} SELECT type, count(*) AS sections FROM secs GROUP BY 1""",
 )
 def p14(spark, sf):
     return (
@@ -284,7 +330,8 @@ def p14(spark, sf):
     "p15_references",
     art("""SELECT document_id, 0 AS ref_ord, 'r1' AS id, 'journal' AS type, 'Work  ' || doc_id || '  again' AS title,
       source, '1999' AS year, '10.1/' || doc_id AS doi FROM art
-    UNION ALL SELECT document_id, 1, 'r2', NULL, NULL, NULL, NULL, NULL FROM art"""),
+    UNION ALL SELECT document_id, 1, 'r2', NULL, NULL, NULL, NULL, NULL FROM art
+    UNION ALL SELECT document_id, 2, 'r3', NULL, 'Third', NULL, '2001', NULL FROM art"""),
 )
 def p15(spark, sf):
     return ar.reference_rows(good(spark, sf)).select(
@@ -293,7 +340,8 @@ def p15(spark, sf):
 
 
 FULL_SQL = f"""array_to_string(list_concat([ls[1]], CASE WHEN abstract IS NULL THEN [] ELSE [abstract] END,
-  flatten(list_transform(rest, lambda x, i: [{HEADINGS_SQL}[(i - 1) % 5 + 1], x]))), chr(10) || chr(10))"""
+  flatten(list_transform(rest, lambda x, i: [{HEADINGS_SQL}[(i - 1) % 5 + 1], x])),
+  list_filter(flatten(list_transform({NESTED_SQL}, lambda x, i: [x, {NESTED_TEXT_SQL}[i]])), lambda x: x <> '')), chr(10) || chr(10))"""
 
 
 @R.add("p16_full_text", art(f"SELECT document_id, md5({FULL_SQL}) AS digest FROM art"))
@@ -303,9 +351,9 @@ def p16(spark, sf):
 
 @R.add(
     "p17_indicators",
-    art(f"""SELECT document_id, abstract IS NOT NULL AS has_abstract, len(rest) > 0 AS has_full_text,
-      CAST(len(rest) AS INTEGER) AS section_count, CAST(len({words_sql(FULL_SQL)}) AS INTEGER) AS word_count,
-      2 AS reference_count FROM art"""),
+    art(f"""SELECT document_id, abstract IS NOT NULL AS has_abstract, true AS has_full_text,
+      CAST(len(rest) + 1 AS INTEGER) AS section_count, CAST(len({words_sql(FULL_SQL)}) AS INTEGER) AS word_count,
+      3 AS reference_count FROM art"""),
 )
 def p17(spark, sf):
     return good(spark, sf).select(
@@ -352,10 +400,16 @@ PAPER_SQL = """('A heading that is long enough' || chr(10) || 'John Q. Smith, Ja
 
 @R.add(
     "p20_abstract_from_text",
-    f"""SELECT doc_id, {strip_sql('l1')} || '  More.' AS abstract FROM (SELECT doc_id, {lines_sql('text')}[1] AS l1 FROM documents)""",
+    f"""SELECT doc_id, md5({strip_sql('l1')} || '  More.' || repeat(' line', 60) || ' ' || doc_id || ' end') AS digest
+    FROM (SELECT doc_id, {lines_sql('text')}[1] AS l1 FROM documents)""",
 )
 def p20(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", pt.abstract_from_text(paper_text()).alias("abstract"))
+    """An abstract of 64 lines, up to the heading that ends it."""
+    text = F.concat(
+        F.lit("Abstract\n"), F.get(lines(F.col("text")), F.lit(0)), F.lit("\n\nMore.\n"), F.repeat(F.lit("line\n"), 60),
+        F.col("doc_id").cast("string"), F.lit(" end\nKeywords\nnone\nMethods\n"), F.col("text"),
+    )
+    return table(spark, sf, "documents").select("doc_id", F.md5(pt.abstract_from_text(text)).alias("digest"))
 
 
 @R.add(
@@ -400,33 +454,55 @@ def p22(spark, sf):
 
 @R.add(
     "p23_authors_from_text",
-    "SELECT doc_id, 'John Q. Smith|Jane A. Doe' AS authors FROM documents",
+    "SELECT doc_id, 'Anna B. ' || upper(lang[1]) || lang[2:] || '|Jane A. Doe' AS authors FROM documents",
 )
 def p23(spark, sf):
-    names = pr.author_names(pt.authors_from_text(paper_text()))
+    """The author line stands behind 150 other lines."""
+    text = F.concat(
+        F.repeat(F.lit("a line of no names at all\n"), 150), F.lit("Anna B. "), F.initcap("lang"),
+        F.lit(", Jane A. Doe\nAbstract\n"), F.col("source"),
+    )
+    names = pr.author_names(pt.authors_from_text(text))
     return table(spark, sf, "documents").select("doc_id", F.array_join(names, "|").alias("authors"))
 
 
 @R.add(
     "p24_references_from_text",
-    """SELECT doc_id, '1' AS id, 'Doudna J, 2014. A. doi:10.1126/s.1' AS raw, '10.1126/s.1' AS doi, '2014' AS year FROM documents
-    UNION ALL SELECT doc_id, '2', 'Second work 1987 still second', NULL, '1987' FROM documents
-    UNION ALL SELECT doc_id, '3', 'Third', NULL, NULL FROM documents""",
+    """SELECT doc_id, CAST(k AS VARCHAR) AS id, 'Work ' || doc_id || ' of ' || k || ' ' || (1900 + k % 100) AS raw,
+      NULL::VARCHAR AS doi, CAST(1900 + k % 100 AS VARCHAR) AS year FROM documents, range(1, 121) AS g(k)
+    UNION ALL SELECT doc_id, '121', 'Doudna J, 2014. ' || source || ' doi:10.1126/s.' || doc_id, '10.1126/s.' || doc_id, '2014' FROM documents
+    UNION ALL SELECT doc_id, '122', 'Last work 1987 still last', NULL, '1987' FROM documents""",
 )
 def p24(spark, sf):
+    """More references than a hundred, of three ways of numbering."""
+    num = F.col("doc_id").cast("string")
+    entry = lambda k: F.concat(
+        k.cast("string"), F.lit(". Work "), num, F.lit(" of "), k.cast("string"), F.lit(" "), (1900 + k % 100).cast("string")
+    )
+    text = F.concat(
+        F.lit("Discussion\nReferences\n"),
+        F.array_join(F.transform(F.sequence(F.lit(1), F.lit(120)), entry), "\n"),
+        F.lit("\n[121] Doudna J, 2014. "), F.col("source"), F.lit("\n  doi:10.1126/s."), num,
+        F.lit("\n(122) Last work 1987\nstill last"),
+    )
     return (
         table(spark, sf, "documents")
-        .select("doc_id", F.explode(pt.references_from_text(paper_text())).alias("r"))
+        .select("doc_id", F.explode(pt.references_from_text(text)).alias("r"))
         .select("doc_id", "r.id", "r.raw", "r.doi", "r.year")
     )
 
 
 @R.add(
     "p25_identifiers_from_text",
-    "SELECT doc_id, '10.1038/x.' || doc_id AS doi, 'PMC' || doc_id AS pmcid, '1234567' AS pmid FROM documents",
+    "SELECT doc_id, '10.1038/' || source || '.' || doc_id AS doi, 'PMC' || doc_id AS pmcid, CAST(1000000 + doc_id AS VARCHAR) AS pmid FROM documents",
 )
 def p25(spark, sf):
-    t = paper_text()
+    """The identifiers stand behind 6000 other letters."""
+    num = F.col("doc_id").cast("string")
+    t = F.concat(
+        F.repeat(F.lit("a line of no ids\n"), 360), F.lit("DOI: 10.1038/"), F.col("source"), F.lit("."), num,
+        F.lit(".\nPMID: "), (F.col("doc_id") + 1_000_000).cast("string"), F.lit(" PMC ID: PMC"), num, F.lit("\n"), F.col("text"),
+    )
     return table(spark, sf, "documents").select(
         "doc_id", pt.doi_of(t).alias("doi"), pt.pmcid_of(t).alias("pmcid"), pt.pmid_of(t).alias("pmid")
     )
@@ -460,7 +536,7 @@ def p27(spark, sf):
     return table(spark, sf, "events").select("event_id", day.cast("string").alias("day"))
 
 
-MAN_ABS = "CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || '...' ELSE text END"
+MAN_ABS = "text"
 
 
 @R.add(
@@ -527,8 +603,10 @@ def f7(spark, sf):
 def f8(spark, sf):
     return (
         table(spark, sf, "conversations")
+        .withColumn("nth", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
         .groupBy("conv_id")
-        .agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("a"))
+        # The summary names three authors at most; a fourth stands for all further ones.
+        .agg(F.array_sort(F.collect_list(F.when(F.col("nth") <= 4, F.struct("turn", "role")))).alias("a"))
         .select(
             "conv_id",
             pr.author_summary(F.transform("a", lambda r: F.concat(r["role"], r["turn"].cast("string")))).alias("summary"),

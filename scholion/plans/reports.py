@@ -97,7 +97,7 @@ SECTION = "CASE chunk_index % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'Content' E
     "g5_chunks_by_section",
     pack_sql(
         f"""SELECT document_id, {SECTION} AS section, CAST(min(chunk_index) AS INTEGER) AS first_index,
-      string_agg(CAST(chunk_index AS VARCHAR), ',' ORDER BY chunk_index) AS members FROM chunked WHERE chunk_index < 50 GROUP BY ALL"""
+      string_agg(CAST(chunk_index AS VARCHAR), ',' ORDER BY chunk_index) AS members FROM chunked GROUP BY ALL"""
     ),
 )
 def g5(spark, sf):

@@ -23,9 +23,10 @@ QUERIES, ORACLES = R.queries, R.oracles
     "SELECT sum(strlen(text) + 1)::BIGINT AS bytes, sum(len(string_split(text, chr(10))))::BIGINT AS lines FROM documents",
 )
 def s1_scan(spark, sf):
-    """Texts written out as files and scanned back as raw objects."""
+    """Texts written out as files of a bounded number of lines and scanned back as raw objects."""
     path = scratch_path(spark, "raw")
-    table(spark, sf, "documents").select("text").write.text(path)
+    rows = table(spark, sf, "documents").select("text")
+    rows.write.option("maxRecordsPerFile", 1000).text(path)
     objects = rw.read_raw(spark, path, "*.txt")
     newlines = F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit("")))
     return objects.select("length", F.col("content").cast("string").alias("t")).agg(
@@ -33,13 +34,18 @@ def s1_scan(spark, sf):
     )
 
 
-@R.add("s2_list_objects")
+@R.add(
+    "s2_list_objects",
+    "SELECT source || '/' || doc_id || '.txt' AS object_key, strlen(text) AS length FROM documents WHERE starts_with(source, 'src1')",
+)
 def s2(spark, sf):
-    """Keys and sizes of the given tables' own files; contents stay unread."""
-    raw = rw.read_raw(spark, sf, "*.parquet")
-    prefix = raw.select(F.min("object_key")).first()[0].rsplit("/", 1)[0]
-    listed = rw.list_objects(raw, prefix)
-    return listed.select(F.element_at(F.split("object_key", "/"), -1).alias("name"), "length")
+    """Keys below a prefix in a table of objects: one per document, in its source's folder."""
+    raw = table(spark, sf, "documents").select(
+        F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("object_key"),
+        F.lit(None).cast("timestamp").alias("modified_at"),
+        F.octet_length("text").cast("long").alias("length"),
+    )
+    return rw.list_objects(raw, "src1").select("object_key", "length")
 
 
 @R.add(
@@ -156,8 +162,8 @@ def _versions(spark, sf, offset):
     return d.select(
         i.cast("string").alias("document_id"),
         F.concat(F.lit(f"v{offset} "), i.cast("string")).alias("title"),
-        F.concat(F.lit("10.1/"), (i % 900).cast("string")).alias("doi"),
-        F.concat(F.lit("PMC"), i.cast("string")).alias("pmcid"),
+        F.when(i % 5 != 0, F.concat(F.lit("10.1/"), (i % 150).cast("string"))).alias("doi"),
+        F.when(i % 7 != 0, F.concat(F.lit("PMC"), (i % 120).cast("string"))).alias("pmcid"),
         F.lit(offset).alias("processing_attempts"),
         at.alias("created_at"),
         at.alias("updated_at"),
@@ -171,7 +177,11 @@ UPSERT_SQL = """WITH e AS (SELECT doc_id, 'v0 ' || doc_id AS title, 0 AS a, doc_
         CASE WHEN n.doc_id IS NULL THEN e.a WHEN e.doc_id IS NULL THEN n.a ELSE e.a + 1 END AS attempts,
         e.doc_id IS NULL AS is_new, coalesce(e.created, n.created) AS created
       FROM e FULL OUTER JOIN n ON e.doc_id = n.doc_id),
-    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id % 900 ORDER BY is_new, created, CAST(doc_id AS VARCHAR)) AS rn FROM m)"""
+    r AS (SELECT *, CASE WHEN doc_id % 5 <> 0 THEN '10.1/' || doc_id % 150 END AS doi, CASE WHEN doc_id % 7 <> 0 THEN 'PMC' || doc_id % 120 END AS pmcid,
+        CASE WHEN doc_id % 5 = 0 THEN 1 ELSE row_number() OVER (PARTITION BY doc_id % 5 = 0, doc_id % 150
+          ORDER BY is_new, created, CAST(doc_id AS VARCHAR)) END AS rn FROM m),
+    q AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE row_number() OVER (PARTITION BY doc_id % 7 = 0, doc_id % 120
+          ORDER BY is_new, created, CAST(doc_id AS VARCHAR)) END AS pn FROM r WHERE rn = 1)"""
 
 
 def _upserted(spark, sf):
@@ -183,19 +193,22 @@ def _upserted(spark, sf):
 
 @R.add(
     "s9_upsert",
-    UPSERT_SQL + " SELECT CAST(doc_id AS VARCHAR) AS document_id, title, CAST(attempts AS INTEGER) AS processing_attempts FROM r WHERE rn = 1",
+    UPSERT_SQL + " SELECT CAST(doc_id AS VARCHAR) AS document_id, title, CAST(attempts AS INTEGER) AS processing_attempts, is_new OR attempts = 1 AS touched FROM q WHERE pn = 1",
 )
 def s9(spark, sf):
-    """Stored documents meet newer versions; 900 dois are shared by more documents than that."""
-    return _upserted(spark, sf)[0].select("document_id", "title", "processing_attempts")
+    """Stored documents meet newer versions; dois and pmcids are shared by many or missing."""
+    return _upserted(spark, sf)[0].select(
+        "document_id", "title", "processing_attempts", (F.col("updated_at") > "2024-06-01").alias("touched")
+    )
 
 
 @R.add(
     "s9_upsert_conflicts",
-    UPSERT_SQL + " SELECT CAST(doc_id AS VARCHAR) AS document_id, '10.1/' || doc_id % 900 AS doi, 'duplicate doi' AS reason FROM r WHERE rn > 1",
+    UPSERT_SQL + """ SELECT CAST(doc_id AS VARCHAR) AS document_id, doi, pmcid, 'duplicate doi' AS reason FROM r WHERE rn > 1
+      UNION ALL SELECT CAST(doc_id AS VARCHAR), doi, pmcid, 'duplicate pmcid' FROM q WHERE pn > 1""",
 )
 def s9_conflicts(spark, sf):
-    return _upserted(spark, sf)[1].select("document_id", "doi", "reason")
+    return _upserted(spark, sf)[1].select("document_id", "doi", "pmcid", "reason")
 
 
 @R.add(

@@ -40,11 +40,13 @@ def build_session(app: str = "scholion", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the cluster.
 
-    Only where the session names none (single-machine tests) a fresh local folder is used.
+    Only where the session names none and runs on one machine a fresh local folder is used.
     """
     sc = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_KEY, None) or sc.getCheckpointDir()
     if configured is None:
+        if not sc.master.startswith("local["):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="scholion-")
         spark.conf.set(CHECKPOINT_KEY, configured)
     if sc.getCheckpointDir() is None:

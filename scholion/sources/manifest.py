@@ -10,8 +10,6 @@ PAPER = (
     "journal:STRING,pub_date:STRING,abstract:STRING>"
 )
 MANIFEST = f"download_date STRING, source STRING, papers ARRAY<{PAPER}>"
-# Fixed value: length an abstract is cut to in the manifest.
-ABSTRACT_CHARS = 500
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -35,14 +33,17 @@ def date_parts(year: Column, month: Column, day: Column) -> Column:
     return F.concat_ws("-", part(year, False), part(month, True), part(day, True))
 
 
-def cut_abstract(text: Column) -> Column:
+def cut_abstract(text: Column, max_chars: int | None = None) -> Column:
+    """The abstract, cut with dots behind it only if a length is asked for."""
+    whole = F.coalesce(text, F.lit(""))
+    if max_chars is None:
+        return whole
     return F.when(
-        F.length(text) > ABSTRACT_CHARS,
-        F.concat(F.substring(text, 1, ABSTRACT_CHARS), F.lit("...")),
-    ).otherwise(F.coalesce(text, F.lit("")))
+        F.length(text) > max_chars, F.concat(F.substring(text, 1, max_chars), F.lit("..."))
+    ).otherwise(whole)
 
 
-def manifest_rows(parsed: DataFrame) -> DataFrame:
+def manifest_rows(parsed: DataFrame, abstract_chars: int | None = None) -> DataFrame:
     """Parsed documents as manifest papers."""
     from scholion.functions.present import author_names
 
@@ -57,5 +58,5 @@ def manifest_rows(parsed: DataFrame) -> DataFrame:
         date_parts(
             F.year(d).cast("string"), F.month(d).cast("string"), F.dayofmonth(d).cast("string")
         ).alias("pub_date"),
-        cut_abstract(F.col("abstract")).alias("abstract"),
+        cut_abstract(F.col("abstract"), abstract_chars).alias("abstract"),
     )

@@ -21,14 +21,12 @@ def read_raw(spark: SparkSession, path: str, glob: str | None = None) -> DataFra
     )
 
 
-def list_objects(raw: DataFrame, prefix: str = "", max_keys: int = 1000) -> DataFrame:
-    """First keys below a prefix in key order; content is never read for it."""
-    return (
-        raw.select("object_key", "modified_at", "length")
-        .where(F.col("object_key").startswith(prefix))
-        .orderBy("object_key")
-        .limit(max_keys)
+def list_objects(raw: DataFrame, prefix: str = "", max_keys: int | None = None) -> DataFrame:
+    """Keys below a prefix, or the first max_keys of them in key order; content is never read."""
+    found = raw.select("object_key", "modified_at", "length").where(
+        F.col("object_key").startswith(prefix)
     )
+    return found if max_keys is None else found.orderBy("object_key").limit(max_keys)
 
 
 def object_exists(raw: DataFrame, keys: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholion.session import small_side
@@ -30,21 +30,36 @@ def newest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("_rn", rank).where("_rn = 1").drop("_rn")
 
 
-def _holders(df: DataFrame, column: str) -> DataFrame:
-    return (
-        df.where(F.col(column).isNotNull())
-        .groupBy(column)
+def _without_duplicates(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that hold their identifier (or have none), and the others with a reason.
+
+    Rows without an identifier, which may be most, take no part in the join.
+    """
+    named = df.where(F.col(column).isNotNull())
+    holders = (
+        named.groupBy(column)
         .agg(F.min(F.struct("_new", "created_at", "document_id")).alias("_h"))
-        .select(column, F.col("_h.document_id").alias(f"_{column}_holder"))
+        .select(column, F.col("_h.document_id").alias("_holder"))
+    )
+    checked = named.join(holders, column)
+    kept = checked.where(F.col("_holder") == F.col("document_id")).select(*df.columns)
+    lost = checked.where(F.col("_holder") != F.col("document_id")).select(*df.columns)
+    return (
+        kept.unionByName(df.where(F.col(column).isNull())),
+        lost.withColumn("reason", F.lit(f"duplicate {column}")),
     )
 
 
-def upsert_documents(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+def upsert_documents(
+    existing: DataFrame, incoming: DataFrame, now: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Merge by document_id; a doi or pmcid held by another document is a conflict.
 
-    An update keeps created_at, adds one attempt and refreshes updated_at; every other column
-    is taken from the incoming row. Of documents sharing an identifier the stored one stays,
-    then the older, then the smaller id; the others are returned as conflicts.
+    An update keeps created_at, adds one attempt and sets updated_at to the time given or else to
+    the current one; every other column is taken from the incoming row. Of documents sharing an
+    identifier the stored one stays, then the older, then the smaller id; the others are returned
+    as conflicts. Pmcids are compared among the documents that dois have left, so that no document
+    has to give way to one that is not stored.
     """
     order = "updated_at"
     new = newest_per_key(incoming, "document_id", order)
@@ -67,21 +82,19 @@ def upsert_documents(existing: DataFrame, incoming: DataFrame) -> tuple[DataFram
                 .cast("int")
                 .alias(c)
             )
+        if c == "updated_at":
+            return F.when(changed, F.current_timestamp() if now is None else now).otherwise(
+                F.col(f"e.{c}")
+            ).cast(existing.schema[c].dataType).alias(c)
         return F.when(changed, F.col(f"n.{c}")).otherwise(F.col(f"e.{c}")).alias(c)
 
     joined = e.join(n, F.col("e.document_id") == F.col("n.document_id"), "full_outer").select(
         *[merged(c) for c in existing.columns], is_new.alias("_new")
     )
-    checked = joined.join(_holders(joined, "doi"), "doi", "left").join(
-        _holders(joined, "pmcid"), "pmcid", "left"
-    )
-    clash = F.when(
-        F.col("_doi_holder") != F.col("document_id"), F.lit("duplicate doi")
-    ).when(F.col("_pmcid_holder") != F.col("document_id"), F.lit("duplicate pmcid"))
-    marked = checked.withColumn("reason", clash)
-    good = marked.where("reason IS NULL").select(*existing.columns)
-    bad = marked.where("reason IS NOT NULL").select("document_id", "doi", "pmcid", "reason")
-    return good, bad
+    left, no_doi = _without_duplicates(joined, "doi")
+    good, no_pmcid = _without_duplicates(left, "pmcid")
+    bad = no_doi.unionByName(no_pmcid).select("document_id", "doi", "pmcid", "reason")
+    return good.select(*existing.columns), bad
 
 
 def replace_chunks(existing: DataFrame, new: DataFrame, documents: DataFrame | None = None) -> DataFrame:
