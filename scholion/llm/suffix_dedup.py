@@ -2,8 +2,9 @@
 
 Every stretch of `length` bytes holds a smallest 24-byte string by hash, its anchor, and equal
 stretches have equal anchors. A run of stretches with one anchor is a fragment of the text. Only
-anchors seen in several documents matter; their fragments go to the task of the anchor, equal ones as
-one string with its smallest document. There the strings are dealt over shards, each shard's
+anchors seen in several documents matter (anchors travel as packed 40-bit values, dealt by their other
+bits; two that are equal by chance only cost work). Their fragments go to the task of the anchor, equal
+ones as one string with its smallest document. There the strings are dealt over shards, each shard's
 Burrows-Wheeler transform is built, and the transforms are merged by interleave refinement; intervals
 with a common prefix of `length` bytes are the repeated strings, and each hands its smallest document
 back to the places it stands at. A string without another one under its anchor needs no merge: its own
@@ -31,7 +32,9 @@ ANCHOR = 24
 CHUNK_BITS = 9
 SEGMENT_BYTES = 2_000_000
 RUN_STRETCHES = 256
+BUCKET_BYTES = 16_000_000
 GROUP_BYTES = 2_000_000
+PACKED = "chunk bigint, bucket bigint, packed binary"
 SHARD_BYTES = 700_000
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -110,26 +113,87 @@ def _segment_runs(held: list, length: int, size: int) -> tuple[np.ndarray, ...]:
     first = start[again] + nth * RUN_STRETCHES
     docs = np.array([d for d, _, _ in held])[part[again]]
     offset = np.array([a for _, a, _ in held]) - begins
-    return docs, first + offset[part[again]], taken, least[first].view(np.int64)
+    # A least hash is a small number, so its bits are mixed once more.
+    anchor = least[first] * M3
+    anchor ^= anchor >> np.uint64(31)
+    return docs, first + offset[part[again]], taken, (anchor * M1).view(np.int64)
 
 
-def _anchors(length: int):
-    """Anchors of a batch's documents with the smallest and largest document of each chunk."""
+def _dealt(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each anchor, in the order of the anchors."""
+    high = anchor.view(np.uint64) >> np.uint64(32)
+    return ((high * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _pack(anchor: np.ndarray) -> bytes:
+    """The low 40 bits of each anchor."""
+    return anchor.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 5)
+    return out.view(np.int64)[:, 0]
+
+
+def _anchors(length: int, buckets: int):
+    """Packed anchors by chunk and bucket; an anchor of several documents of a chunk comes twice."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            frame = frame.sort_values("doc_id", ignore_index=True)
             ids = frame["doc_id"].to_numpy()
-            for doc, _, _, anchor in runs([t.encode() for t in frame["text"]], length):
-                seen = pd.DataFrame(
-                    {"anchor": anchor, "doc": ids[doc], "chunk": ids[doc] >> CHUNK_BITS}
+            for chunk, part in frame.groupby(ids >> CHUNK_BITS, sort=False):
+                raws = [t.encode() for t in part["text"]]
+                found = list(runs(raws, length))
+                if not found:
+                    continue
+                anchor = np.concatenate([f[3] for f in found])
+                doc = np.concatenate([f[0] for f in found])
+                order = np.argsort(anchor.view(np.uint64), kind="stable")
+                anchor, doc = anchor[order], doc[order]
+                fresh = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+                # Documents ascend within an anchor, so every change is another one.
+                again = ~fresh & np.concatenate([[False], doc[1:] != doc[:-1]])
+                anchor = anchor[fresh | again]
+                bucket = _dealt(anchor, buckets)
+                cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                ends = np.append(cut[1:], len(anchor))
+                yield pd.DataFrame(
+                    {
+                        "chunk": np.full(len(cut), chunk),
+                        "bucket": bucket[cut],
+                        "packed": [_pack(anchor[a:b]) for a, b in zip(cut, ends, strict=True)],
+                    }
                 )
-                found = seen.groupby(["anchor", "chunk"], sort=False)["doc"].agg(["min", "max"])
-                yield found.reset_index()
 
     return run
 
 
-def _fragments(length: int):
+def _repeated(frame: pd.DataFrame) -> pd.DataFrame:
+    """The anchors of one bucket that come at least twice, for each chunk that has them."""
+    sizes = np.array([len(p) // 5 for p in frame["packed"]])
+    anchor = _unpack(b"".join(frame["packed"]))
+    chunk = np.repeat(frame["chunk"].to_numpy(), sizes)
+    order = np.argsort(anchor, kind="stable")
+    anchor, chunk = anchor[order], chunk[order]
+    same = anchor[1:] == anchor[:-1]
+    twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    anchor, chunk = anchor[twice], chunk[twice]
+    order = np.argsort(chunk, kind="stable")
+    anchor, chunk = anchor[order], chunk[order]
+    cut = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])[: len(chunk)])
+    ends = np.append(cut[1:], len(chunk))
+    return pd.DataFrame(
+        {
+            "chunk": chunk[cut],
+            "bucket": np.full(len(cut), frame["bucket"].iat[0]),
+            "packed": [_pack(anchor[a:b]) for a, b in zip(cut, ends, strict=True)],
+        }
+    )
+
+
+def _fragments(length: int, buckets: int):
     """Fragments of one chunk's documents whose anchor is in the chunk's list."""
     import xxhash
 
@@ -138,13 +202,17 @@ def _fragments(length: int):
     def run(docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(docs) and len(wanted):
-            known = np.sort(wanted["anchor"].to_numpy())
+            known = np.sort(
+                np.concatenate(
+                    [(b << 40) | _unpack(p) for b, p in zip(wanted["bucket"], wanted["packed"], strict=True)]
+                )
+            )
             docs = docs.sort_values(["doc_id", "copy"], ignore_index=True)
             raws = [t.encode() for t in docs["text"]]
             ids, copies = docs["doc_id"].to_numpy(), docs["copy"].to_numpy()
             for doc, start, count, anchor in runs(raws, length):
-                at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
-                hit = known[at] == anchor
+                code = (_dealt(anchor, buckets) << 40) | (anchor & ((1 << 40) - 1))
+                hit = known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
                 for d, s, c, a in zip(doc[hit], start[hit], count[hit], anchor[hit], strict=True):
                     cut = raws[d][s : s + c + length - 1]
                     mark = xxhash.xxh64_intdigest(cut) - 2**63
@@ -225,26 +293,23 @@ def _representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def repeated_spans(hashed: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc, copy, spans: for each text (doc_id, copy, text) the places that an earlier one covers.
 
-    spans is an array of (begin, past) byte positions, in no order and perhaps overlapping.
+    spans is an array of (begin, past) byte positions, apart from each other and in no order.
     """
     long_enough = hashed.where(F.octet_length("text") >= length).select("doc_id", "copy", "text")
-    anchors = even(long_enough.select("doc_id", "text")).mapInPandas(
-        _anchors(length), "anchor bigint, chunk bigint, min bigint, max bigint"
-    )
-    # A window and not a join: the anchors, the largest table of all, are shuffled once.
-    each = Window.partitionBy("anchor")
+    size = F.octet_length("text")
+    buckets = max(1, math.ceil((long_enough.agg(F.sum(size)).first()[0] or 0) / BUCKET_BYTES))
     wanted = (
-        anchors.withColumn("lo", F.min("min").over(each))
-        .withColumn("hi", F.max("max").over(each))
-        .where("lo < hi")
-        .select("anchor", "chunk")
+        even(long_enough.select("doc_id", "text"))
+        .mapInPandas(_anchors(length, buckets), PACKED)
+        .groupBy("bucket")
+        .applyInPandas(_repeated, PACKED)
     )
     chunks = long_enough.withColumn("chunk", F.shiftright("doc_id", CHUNK_BITS))
     places = persist_shared(
         chunks.groupBy("chunk")
         .cogroup(wanted.groupBy("chunk"))
         .applyInPandas(
-            _fragments(length),
+            _fragments(length, buckets),
             "anchor bigint, mark bigint, doc bigint, copy bigint, start bigint, fragment binary",
         ),
         "fragments",
@@ -297,31 +362,34 @@ def repeated_spans(hashed: DataFrame, length: int = LENGTH) -> DataFrame:
         "least",
     )
     least = least.join(crowds.select("anchor"), "anchor", "left_anti").unionByName(back)
-    return (
+    covered = (
         places.select("anchor", "mark", "doc", "copy", "start")
         .join(least, ["anchor", "mark"])
         .where("least < doc")
-        .groupBy("doc", "copy")
-        .agg(
-            F.collect_list(
-                F.struct(
-                    (F.col("start") + F.col("first")).alias("begin"),
-                    (F.col("start") + F.col("past")).alias("past"),
-                )
-            ).alias("spans")
+        .select(
+            "doc",
+            "copy",
+            (F.col("start") + F.col("first")).alias("begin"),
+            (F.col("start") + F.col("past")).alias("past"),
         )
     )
+    return _united(covered).groupBy("doc", "copy").agg(
+        F.collect_list(F.struct("begin", "past")).alias("spans")
+    )
 
 
-def _covered(spans, size: int) -> list[tuple[int, int]]:
-    """The union of spans as maximal runs."""
-    out: list[tuple[int, int]] = []
-    for begin, past in sorted((s["begin"], s["past"]) for s in spans):
-        if out and begin <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], past))
-        else:
-            out.append((begin, past))
-    return [(b, min(p, size)) for b, p in out]
+def _united(covered: DataFrame) -> DataFrame:
+    """Overlapping and touching spans of a document as one."""
+    each = Window.partitionBy("doc", "copy").orderBy("begin", "past")
+    before = F.max("past").over(each.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(before.isNull() | (F.col("begin") > before), 1).otherwise(0)
+    run = F.sum("opens").over(each.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        covered.withColumn("opens", opens)
+        .withColumn("run", run)
+        .groupBy("doc", "copy", "run")
+        .agg(F.min("begin").alias("begin"), F.max("past").alias("past"))
+    )
 
 
 def _kept(raw: bytes, removed: list[tuple[int, int]]) -> bytes:
@@ -348,7 +416,7 @@ def _with_spans(docs: DataFrame, length: int) -> DataFrame:
 def _removed(raw: bytes, spans, whole: bool) -> list[tuple[int, int]]:
     if whole:
         return [(0, len(raw))]
-    return _covered(spans, len(raw)) if spans is not None and len(spans) else []
+    return sorted((s["begin"], s["past"]) for s in spans) if spans is not None else []
 
 
 def span_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
