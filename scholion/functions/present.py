@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from scholion.functions.text import nullif_empty, quote_regex, strip
 
-# Link prefixes and the highlight tag.
+# Link prefixes.
 DOI_URL = "https://doi.org/"
 PMC_URL = "https://www.ncbi.nlm.nih.gov/pmc/articles/"
-MARK_OPEN = '<mark class="bg-accent/30 text-text-primary">'
-MARK_CLOSE = "</mark>"
 
 
 def author_names(authors: Column) -> Column:
@@ -42,11 +40,13 @@ def snippet(text: Column, limit: int = 300) -> Column:
     )
 
 
-def highlight(text: Column, query: Column) -> Column:
-    """Wrap each case-insensitive literal occurrence of the query in a mark tag."""
+def highlight(
+    text: Column, query: Column, opening: str = "<mark>", closing: str = "</mark>"
+) -> Column:
+    """Wrap each case-insensitive literal occurrence of the query in a tag."""
     pattern = F.concat(F.lit("(?iu)("), quote_regex(query), F.lit(")"))
     return F.when(F.length(strip(query)) == 0, text).otherwise(
-        F.regexp_replace(text, pattern, F.lit(f"{MARK_OPEN}$1{MARK_CLOSE}"))
+        F.regexp_replace(text, pattern, F.lit(f"{opening}$1{closing}"))
     )
 
 

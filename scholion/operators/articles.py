@@ -454,10 +454,10 @@ def parse_articles(raw: DataFrame, id_column: str | None = None) -> DataFrame:
     meta_text = F.col("text.front")["article-meta"]
     reason = (
         F.when(
-            F.col("shape._broken").isNotNull() | F.col("shape").isNull(), F.lit("Invalid XML")
+            F.col("shape._broken").isNotNull() | F.col("shape").isNull(), F.lit("not well-formed XML")
         )
-        .when(front.isNull(), F.lit("No front matter found in article"))
-        .when(meta.isNull(), F.lit("No article-meta found"))
+        .when(front.isNull(), F.lit("article has no front element"))
+        .when(meta.isNull(), F.lit("front has no article-meta element"))
         .when(
             _too_deep(F.col("shape.body")),
             F.lit(f"Sections are nested more than {SECTION_DEPTH} levels deep"),

@@ -77,7 +77,7 @@ def empty_documents(pages: DataFrame, texts: DataFrame) -> DataFrame:
         pages.select("document_id")
         .distinct()
         .join(texts.select("document_id"), "document_id", "left_anti")
-        .withColumn("reason", F.lit("PDF contains no extractable text"))
+        .withColumn("reason", F.lit("no page holds any text"))
     )
 
 

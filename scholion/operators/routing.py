@@ -86,7 +86,7 @@ def route(raw: DataFrame, parsers: list[Parser]) -> tuple[dict[str, DataFrame],
     _, bad = split_valid(
         unmatched.select(
             "object_key",
-            F.lit("No suitable parser found for document").alias("reason"),
+            F.lit("no parser takes this object").alias("reason"),
             preview(F.col("content")).alias("preview"),
         )
     )

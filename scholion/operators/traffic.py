@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,24 +26,35 @@ def client_key(forwarded: Column, real_ip: Column, direct: Column, path: Column
     return who if path is None else F.concat(who, F.lit(":"), path)
 
 
-def decide(times: list[int], held: list[int], limit: int, window: int) -> list[tuple]:
-    """Decisions for requests in time order; held are the admitted times still in the window.
+def decide(
+    times: list[int], held: list[int], limit: int, window: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """allowed, remaining and reset_seconds of requests in time order (microseconds).
 
-    Times and window are microseconds. held is changed in place and never exceeds limit.
+    The k-th admission has to lie a window behind the one limit places before it, so after a full
+    window the next one is searched for and all requests before it are skipped at once: the loop
+    runs over admissions. held are the last admitted times, at most limit; it is brought up to date.
     """
-    out = []
-    for now in times:
-        gone = 0
-        while gone < len(held) and held[gone] <= now - window:
-            gone += 1
-        del held[:gone]
-        if len(held) >= limit:
-            wait = (held[0] + window - now) // 1_000_000
-            out.append((False, 0, max(int(wait), 1)))
-        else:
-            held.append(now)
-            out.append((True, limit - len(held), window // 1_000_000))
-    return out
+    admitted, places, at = list(held), [], 0
+    while at < len(times):
+        if len(admitted) >= limit:
+            at = bisect_left(times, admitted[-limit] + window, at)
+            if at == len(times):
+                break
+        admitted.append(times[at])
+        places.append(at)
+        at += 1
+    now, known = np.asarray(times, dtype=np.int64), np.asarray(admitted, dtype=np.int64)
+    allowed = np.zeros(len(now), dtype=bool)
+    allowed[places] = True
+    before = len(held) + np.cumsum(allowed) - allowed
+    gone = np.searchsorted(known, now - window, side="right")
+    remaining = np.where(allowed, limit - 1 - (before - gone), 0)
+    reset = np.full(len(now), window // 1_000_000)
+    late = ~allowed
+    reset[late] = np.maximum((known[before[late] - limit] + window - now[late]) // 1_000_000, 1)
+    held[:] = admitted[-limit:]
+    return allowed, remaining, reset
 
 
 def rate_limit(
@@ -99,13 +112,12 @@ def rate_limit(
                 if i == len(ids) or ids[i] != ids[start]:
                     if ids[start] != current:
                         current, held = ids[start], []
-                    out += decide(times[start:i], held, limit, micros)
+                    out.append(decide(times[start:i], held, limit, micros))
                     start = i
-            frame = frame.assign(
-                allowed=[o[0] for o in out],
-                remaining=[o[1] for o in out],
-                reset_seconds=[o[2] for o in out],
-            )
+            if not out:
+                continue
+            allowed, remaining, reset = (np.concatenate(part) for part in zip(*out, strict=True))
+            frame = frame.assign(allowed=allowed, remaining=remaining, reset_seconds=reset)
             yield frame[~frame["_warm"]][[*names, "allowed", "remaining", "reset_seconds"]]
 
     ordered = rows.repartition("key", "_run").sortWithinPartitions("key", "_run", "_t", "request_id")

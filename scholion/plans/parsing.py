@@ -193,8 +193,8 @@ def p1(spark, sf):
 
 @R.add(
     "p2_quarantine",
-    """SELECT CAST(doc_id AS VARCHAR) AS object_key, 1 AS attempts, CASE WHEN doc_id % 10 = 7 THEN 'Invalid XML'
-      ELSE 'No front matter found in article' END AS reason FROM documents WHERE doc_id % 10 IN (7, 8)""",
+    """SELECT CAST(doc_id AS VARCHAR) AS object_key, 1 AS attempts, CASE WHEN doc_id % 10 = 7 THEN 'not well-formed XML'
+      ELSE 'article has no front element' END AS reason FROM documents WHERE doc_id % 10 IN (7, 8)""",
 )
 def p2(spark, sf):
     return rt.split_valid(parsed(spark, sf))[1].select("object_key", "attempts", "reason")
@@ -202,7 +202,7 @@ def p2(spark, sf):
 
 @R.add(
     "p2_unmatched_pages",
-    """SELECT url AS object_key, 'No suitable parser found for document' AS reason FROM pages""",
+    """SELECT url AS object_key, 'no parser takes this object' AS reason FROM pages""",
 )
 def p2_pages(spark, sf):
     """Web pages match no parser and are quarantined whole."""
@@ -625,7 +625,7 @@ def f9(spark, sf):
 @R.add(
     "f10_highlight",
     """SELECT doc_id, md5(regexp_replace(text, '(' || lang || '|' || upper(lang) || '|' || upper(lang[1]) || lang[2] || '|' || lang[1] || upper(lang[2]) || ')',
-      '<mark class="bg-accent/30 text-text-primary">\\1</mark>', 'g')) AS digest FROM documents""",
+      '<mark>\\1</mark>', 'g')) AS digest FROM documents""",
 )
 def f10(spark, sf):
     """Each text with every occurrence of its language code marked."""

@@ -52,7 +52,7 @@ def ingest_batch(
     good, bad = rt.split_valid(parsed)
     unmatched = tagged.where(~F.col("format").eqNullSafe("article_xml")).select(
         "object_key",
-        F.lit("No suitable parser found for document").alias("reason"),
+        F.lit("no parser takes this object").alias("reason"),
         rt.preview(F.col("content")).alias("preview"),
     )
     _, unread = rt.split_valid(unmatched)

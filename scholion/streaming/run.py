@@ -7,13 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from scholion.session import scratch_path
 
 
-def read_table_stream(spark: SparkSession, folder: str, file: str) -> DataFrame:
-    """A given Parquet table as a stream of its files."""
+def read_table_stream(
+    spark: SparkSession, folder: str, file: str, files_per_batch: int = 64
+) -> DataFrame:
+    """A given Parquet table as a stream of its files, a bounded number in each micro-batch."""
     schema = spark.read.parquet(f"{folder.rstrip('/')}/{file}").schema
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", file)
         .option("recursiveFileLookup", "false")
+        .option("maxFilesPerTrigger", files_per_batch)
         .parquet(folder)
     )
 

@@ -45,14 +45,13 @@ def rate_limit_stream(
         batch = batch.sort_values(["ts", "request_id"], kind="stable")
         held = list(state.get[0]) if state.exists else []
         times = (batch["ts"].astype("datetime64[us]").astype("int64")).tolist()
-        made = decide(times, held, limit, micros)
+        allowed, remaining, reset = decide(times, held, limit, micros)
         state.update((held,))
         idle = times[-1] // 1000 + max(EVICT_SECONDS, window_s) * 1000
         state.setTimeoutTimestamp(max(idle, state.getCurrentWatermarkMs() + 1))
-        yield batch.assign(
-            allowed=[m[0] for m in made], remaining=[m[1] for m in made],
-            reset_seconds=[m[2] for m in made],
-        )[[*names, "allowed", "remaining", "reset_seconds"]]
+        yield batch.assign(allowed=allowed, remaining=remaining, reset_seconds=reset)[
+            [*names, "allowed", "remaining", "reset_seconds"]
+        ]
 
     timed = requests.withWatermark("ts", delay)
     return timed.groupBy("key").applyInPandasWithState(
@@ -61,8 +60,9 @@ def rate_limit_stream(
 
 
 def pair_stream(log: DataFrame, delay: str = "10 minutes", longest: str = "5 minutes") -> DataFrame:
-    """Starts joined with their completion within the longest duration; unanswered starts are
-    given once the watermark has passed. Repeated lines of an id count once."""
+    """Starts joined with their completion within the longest duration, and both kinds of orphans,
+    given once the watermark has passed: starts without a completion and completions without a start
+    in that time. Repeated lines of an id count once."""
     seen = log.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["correlation_id", "event"])
     start = seen.where(F.col("event") == "request_started").select(
         "correlation_id", F.col("ts").alias("started_at"), "method", "path"
@@ -75,4 +75,12 @@ def pair_stream(log: DataFrame, delay: str = "10 minutes", longest: str = "5 min
         & (F.col("completed_at") >= F.col("started_at"))
         & (F.col("completed_at") <= F.col("started_at") + F.expr(f"INTERVAL {longest}"))
     )
-    return start.join(end, within, "left_outer").drop("_cid")
+    outcome = (
+        F.when(F.col("completed_at").isNull(), "not completed")
+        .when(F.col("started_at").isNull(), "not started")
+        .otherwise("paired")
+    )
+    return start.join(end, within, "full_outer").select(
+        F.coalesce("correlation_id", "_cid").alias("correlation_id"),
+        "started_at", "method", "path", "completed_at", "status_code", outcome.alias("outcome"),
+    )

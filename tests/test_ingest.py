@@ -29,7 +29,7 @@ def test_files_are_ingested_once_and_replaced_by_newer_versions(spark, tmp_path)
     docs = ingest.current_documents(spark, base).collect()
     assert [(d.title, d.processing_attempts, d.quality_score) for d in docs] == [("First", 1, 0.34)]
     bad = ingest.read_versions(spark, base, "quarantine").collect()
-    assert len(bad) == 1 and bad[0].reason == "No suitable parser found for document"
+    assert len(bad) == 1 and bad[0].reason == "no parser takes this object"
     assert bad[0].details["content_preview"].startswith('{"error"')
 
     (inbox / "again").mkdir()

@@ -304,7 +304,7 @@ def test_article_fields(spark):
     ]
     assert r.sections[0].type == "methods" and r.sections[0].content == "p1\n\np2" and r.section_count == 1
     assert r.references[0].raw == "plain text" and r.has_full_text and r.reference_count == 1
-    assert rows["json"].reason == "Invalid XML" and rows["nofront"].reason.startswith("No front")
+    assert rows["json"].reason == "not well-formed XML" and rows["nofront"].reason == "article has no front element"
     assert [(s.title, s.content) for s in rows["nosec"].sections] == [("Main Text", "just text")]
 
 
