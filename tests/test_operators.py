@@ -37,38 +37,37 @@ def test_bad_sizes_are_rejected(sizes):
         ch.check_sizes(*sizes)
 
 
-def pack_by_hand(sizes, cap, overlap):
-    pieces, cur = [], []
-    for i, n in enumerate(sizes):
-        if n > cap:
-            if cur:
-                pieces.append((cur[0] + 1, len(cur), False))
-            pieces.append((i + 1, 1, True))
-            cur = []
-            continue
-        if cur and sum(sizes[j] for j in cur) + n > cap:
-            pieces.append((cur[0] + 1, len(cur), False))
-            tail, total = [], 0
-            for j in reversed(cur):
-                if total + sizes[j] > overlap:
-                    break
-                tail.insert(0, j)
-                total += sizes[j]
-            cur = tail
-        cur.append(i)
-    if cur:
-        pieces.append((cur[0] + 1, len(cur), False))
-    return pieces
-
-
-def test_packing_equals_a_plain_loop(spark):
+def check_plan(sizes, plan, cap, overlap):
+    """What makes a plan the greedy one, stated of its pieces instead of computed anew."""
+    spans = [(p.lo - 1, p.lo - 1 + p.n) for p in plan]
+    total = lambda a, b: sum(sizes[a:b])
+    assert {i for a, b in spans for i in range(a, b)} == set(range(len(sizes)))
+    assert [a for (a, b), p in zip(spans, plan, strict=True) if p.split] == [i for i, n in enumerate(sizes) if n > cap]
+    assert all(b == a + 1 for (a, b), p in zip(spans, plan, strict=True) if p.split)
+    for k, (a, b) in enumerate(spans):
+        carried = spans[k - 1][1] - a if k else 0
+        # Carried paragraphs fit the overlap and one more would not; none cross a split paragraph.
+        assert carried >= 0 and total(a, a + carried) <= overlap
+        if k and not plan[k].split and not plan[k - 1].split:
+            before = spans[k - 1][0]
+            assert a == before or total(a - 1, a + carried) > overlap
+            assert total(before, spans[k - 1][1] + 1) > cap
+        else:
+            assert carried == 0
+        # Past the first new paragraph, each one still fitted.
+        if not plan[k].split:
+            assert all(total(a, end) <= cap for end in range(a + carried + 2, b + 1))
+
+
+def test_packing_is_greedy(spark):
     rng = random.Random(7)
     lists = [[300, 200, 100, 600, 50], [500, 150, 400], []]
     lists += [[rng.choice([1, 5, 60, 200, 512, 513, 700]) for _ in range(rng.randrange(1, 30))] for _ in range(200)]
     df = spark.createDataFrame(list(enumerate(lists)), "id int, s array<int>")
     got = df.select("id", ch.packing_plan(F.col("s"), 512, 200).alias("p")).collect()
     for r in got:
-        assert [(p.lo, p.n, p.split) for p in r.p] == pack_by_hand(lists[r.id], 512, 200)
+        check_plan(lists[r.id], r.p, 512, 200)
+    assert [(p.lo, p.n, p.split) for p in got[0].p] == [(1, 2, False), (2, 2, False), (4, 1, True), (5, 1, False)]
 
 
 def test_zero_overlap_is_honoured_and_links_are_inverse(spark):
