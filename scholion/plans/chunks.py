@@ -10,6 +10,7 @@ from scholion.operators import chunking as ch
 from scholion.operators import embedding as em
 from scholion.session import persist_shared
 from scholion.plans.base import (
+    lexemes_sql,
     CHUNKS,
     Registry,
     chunks,
@@ -310,11 +311,20 @@ def e4(spark, sf):
     return out.where(F.col("embedding").isNull()).select("doc_id", "embedding_error")
 
 
-@R.add("e2_query_embedding")
+@R.add(
+    "e2_query_embedding",
+    f"""SELECT item_id, CASE WHEN len(w) > 0 THEN 256 END AS dims, CASE WHEN len(w) > 0 THEN 1.0::DOUBLE END AS length
+    FROM (SELECT item_id, {lexemes_sql('text', 'simple')} AS w FROM benchmark)""",
+)
 def e2(spark, sf):
     """Every benchmark passage through the default provider, the same as the chunks use."""
+    from scholion.functions.vectors import norm
+
     q = em.hashing_embed(table(spark, sf, "benchmark"), "text", 256)
-    return q.select("item_id", F.size("embedding").alias("dims"), F.round(F.array_max("embedding"), 6).alias("top"))
+    return q.select(
+        "item_id", F.size("embedding").alias("dims"),
+        F.round(norm(F.col("embedding").cast("array<double>")), 4).alias("length"),
+    )
 
 
 @R.add(
@@ -386,7 +396,11 @@ def e7(spark, sf):
     return em.stale_embeddings(made, "m0", 2).select("chunk_id")
 
 
-@R.add("e1_hashing_embed")
+@R.add(
+    "e1_hashing_embed",
+    f"""SELECT doc_id, CASE WHEN len(w) > 0 THEN 256 END AS dims, CASE WHEN len(w) > 0 THEN 1.0::DOUBLE END AS length
+    FROM (SELECT doc_id, {lexemes_sql('text', 'simple')} AS w FROM documents)""",
+)
 def e1_hashing(spark, sf):
     """The offline default over all texts: width and unit length."""
     from scholion.functions.vectors import norm
