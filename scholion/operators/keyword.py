@@ -6,12 +6,13 @@ expanded unless every term of the query is that common.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholion.functions.text import fold, kept_tokens, lexemes
 from scholion.operators.asked import Asked, ask, page_of
 from scholion.operators.filters import filter_predicate, visible_side, with_filter_columns
+from scholion.session import persist_shared
 
 # BM25 parameters (Robertson & Zaragoza 2009).
 K1, B = 1.2, 0.75
@@ -63,6 +64,31 @@ def with_term_bucket(df: DataFrame, buckets: int = TERM_BUCKETS) -> DataFrame:
     return df.withColumn("term_bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
 
 
+def build_lengths(
+    chunks: DataFrame, conf: str = "english", text_col: str = "content", length_col: str | None = None
+) -> DataFrame:
+    """chunk_id, document_id, dl of every chunk: what ranking needs beside the postings."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    length = F.col(length_col) if length_col else F.size(kept_tokens(text, conf))
+    return chunks.select("chunk_id", "document_id", length.alias("dl"))
+
+
+def write_index(
+    chunks: DataFrame, path: str, conf: str = "english", buckets: int = TERM_BUCKETS
+) -> None:
+    """Postings and lengths below path; read_index gives them to any number of searches."""
+    write_postings(build_postings(chunks, conf), f"{path}/postings", buckets)
+    build_lengths(chunks, conf).write.parquet(f"{path}/lengths")
+
+
+def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The stored index, as options of keyword_search and hybrid_search."""
+    return {
+        "postings": spark.read.parquet(f"{path}/postings"),
+        "lengths": spark.read.parquet(f"{path}/lengths"),
+    }
+
+
 def write_postings(postings: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> None:
     """Postings partitioned by a hash of the term, sorted by term inside each file.
 
@@ -78,26 +104,35 @@ def write_postings(postings: DataFrame, path: str, buckets: int = TERM_BUCKETS)
     )
 
 
-def corpus_stats(
-    chunks: DataFrame,
-    seen: DataFrame,
-    conf: str = "english",
-    text_col: str = "content",
-    length_col: str | None = None,
-) -> DataFrame:
+def corpus_stats(lengths: DataFrame, seen: DataFrame) -> DataFrame:
     """One row: number of visible chunks and their average length."""
-    length = (
-        F.col(length_col)
-        if length_col
-        else F.size(kept_tokens(F.coalesce(F.col(text_col), F.lit("")), conf))
-    )
     return (
-        chunks.select("document_id", length.alias("dl"))
+        lengths.select("document_id", "dl")
         .join(seen, "document_id", "left_semi")
         .agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
     )
 
 
+def _scanned(
+    chunks: DataFrame, vocabulary: DataFrame, conf: str, text_col: str, length_col: str | None
+) -> tuple[DataFrame, DataFrame]:
+    """Postings of the vocabulary and lengths of all chunks from one reading of the texts.
+
+    An empty term stands for each chunk itself, so both are rows of one stored table.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    kept = chunks.select("chunk_id", "document_id", kept_tokens(text, conf).alias("kept"),
+                         *([F.col(length_col).alias("dl")] if length_col else []))
+    if not length_col:
+        kept = kept.withColumn("dl", F.size("kept"))
+    tokens = kept.select(
+        "chunk_id", "document_id", "dl", F.explode(F.concat(F.array(F.lit("")), "kept")).alias("t")
+    ).select("chunk_id", "document_id", "dl", fold(F.col("t"), conf).alias("term"))
+    wanted = vocabulary.unionByName(vocabulary.sparkSession.createDataFrame([("",)], "term string"))
+    stored = persist_shared(_counted(tokens.join(F.broadcast(wanted), "term", "left_semi")), "postings")
+    return stored.where("term != ''"), stored.where("term = ''").select("chunk_id", "document_id", "dl")
+
+
 def keyword_matches(
     queries: DataFrame | Asked,
     chunks: DataFrame,
@@ -109,16 +144,23 @@ def keyword_matches(
     postings: DataFrame | None = None,
     term_buckets: int = TERM_BUCKETS,
     seen: DataFrame | None = None,
+    lengths: DataFrame | None = None,
 ) -> DataFrame:
-    """Every (query, chunk) where all query terms occur, filters applied, with its rank score."""
+    """Every (query, chunk) where all query terms occur, filters applied, with its rank score.
+
+    With a stored index (postings and lengths) no text is read; without one, texts are read and
+    tokenised once, and what the queries' terms need of them is stored.
+    """
     asked = ask(queries)
     hint = asked.hint
     seen = visible_side(docs) if seen is None else seen
     terms = query_terms(asked.queries, conf)
     vocabulary = terms.select("term").distinct()
-    if postings is None:
+    if postings is None and asked.frame is not None:
+        found, lengths = _scanned(chunks, vocabulary, conf, text_col, length_col)
+    elif postings is None:
         tokens = term_stream(chunks, conf, text_col, length_col)
-        found = _counted(tokens.join(hint(vocabulary), "term", "left_semi"))
+        found = _counted(tokens.join(vocabulary, "term", "left_semi"))
     else:
         found = postings.join(hint(vocabulary), "term", "left_semi")
         if "term_bucket" in postings.columns:
@@ -127,9 +169,9 @@ def keyword_matches(
     found = found.select("chunk_id", "document_id", "dl", "term", "tf").join(seen, "document_id")
     # tf is read here too, so both uses of `found` share one exchange.
     df = found.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    stats = corpus_stats(chunks, seen, conf, text_col, length_col).select(
-        F.struct("n", "avg_dl").alias("s")
-    ).scalar()
+    if lengths is None:
+        lengths = build_lengths(chunks, conf, text_col, length_col)
+    stats = corpus_stats(lengths, seen).select(F.struct("n", "avg_dl").alias("s")).scalar()
     idf = F.log(1 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     plans = (
         terms.join(df, "term", "left")

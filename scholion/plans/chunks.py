@@ -10,7 +10,6 @@ from scholion.operators import chunking as ch
 from scholion.operators import embedding as em
 from scholion.session import persist_shared
 from scholion.plans.base import (
-    lexemes_sql,
     CHUNKS,
     Registry,
     chunks,
@@ -20,6 +19,7 @@ from scholion.plans.base import (
     table,
     with_sql,
     words_sql,
+    lexemes_sql,
 )
 
 R = Registry()

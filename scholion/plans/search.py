@@ -32,6 +32,7 @@ from scholion.plans.base import (
     with_sql,
 )
 from scholion.operators.plaintext import title_from_text
+from scholion.session import scratch_path
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -198,6 +199,17 @@ def q8(spark, sf):
     return hits.select("query_id", "rank", "chunk_id", "document_id", rounded("score"))
 
 
+@R.add("q8_stored_index", with_sql(DOCS, CHUNKS, REQUESTS, keyword_sql(), select=PAGE_KW))
+def q8_stored(spark, sf):
+    """The same search over a stored index; its own plan reads no text."""
+    c, path = chunks(spark, sf), scratch_path(spark, "index")
+    keyword.write_index(c, path)
+    hits = keyword.keyword_search(
+        requests(spark, sf), c, documents(spark, sf), **keyword.read_index(spark, path)
+    )
+    return hits.select("query_id", "rank", "chunk_id", "document_id", rounded("score"))
+
+
 def hybrid_hits(spark, sf):
     return hybrid.hybrid_search(requests(spark, sf), chunks(spark, sf), documents(spark, sf))
 

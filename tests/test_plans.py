@@ -47,3 +47,9 @@ def test_filters_and_columns_reach_the_scan(spark):
     scan = next(line for line in text.splitlines() if "FileScan" in line and "documents" in line)
     assert re.search(r"PushedFilters: \[.*In\(lang|PushedFilters: \[.*source", scan)
     assert "text" not in scan.split("ReadSchema")[1]
+
+
+def test_a_stored_index_is_searched_without_reading_texts(spark):
+    text = plan_text(QUERIES["q8_stored_index"](spark, SF))
+    scans = [line for line in text.splitlines() if "FileScan" in line and "documents" in line]
+    assert scans and all("text" not in line.split("ReadSchema")[1] for line in scans)
