@@ -445,6 +445,26 @@ def f2(spark, sf):
     return vs.candidates(chunks(spark, sf), documents(spark, sf)).select("chunk_id", "journal")
 
 
+@R.add(
+    "f3_validated_chats",
+    """SELECT CAST(conv_id AS VARCHAR) || ':' || turn AS query_id,
+      CASE WHEN length(text) = 0 THEN 'empty query' WHEN length(text) > 10000 THEN 'query too long'
+        WHEN length(text) > 2000 THEN 'query longer than the request model allows'
+        WHEN turn * 4 < 1 OR turn * 4 > 20 THEN 'limit out of range' ELSE 'ok' END AS outcome
+    FROM conversations""",
+)
+def f3_chats(spark, sf):
+    """Every turn as a chat request; chats may be longer and ask for fewer chunks."""
+    q = table(spark, sf, "conversations").select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"),
+        F.col("text").alias("query_text"), (F.col("turn") * 4).alias("k"),
+    )
+    good, bad = flt.validate_queries(q, chat=True)
+    return good.select("query_id", F.lit("ok").alias("outcome")).unionByName(
+        bad.select("query_id", F.col("reason").alias("outcome"))
+    )
+
+
 @R.add(
     "f3_validated_queries",
     """SELECT CAST(conv_id AS VARCHAR) || ':' || turn AS query_id,

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from scholion.operators import traffic as tr
 from scholion.plans.activity import LIMIT, PERIOD_S, PERIODS_SQL, RATE_SQL, WINDOW_S
-from scholion.plans.base import Registry, rounded
+from scholion.operators.jobs import job_state
+from scholion.plans.base import Registry, rounded, strip_sql, table, words_sql
 from scholion.plans.parsing import GOOD, article_xml
+from scholion.plans.search import TITLE_SQL
 from scholion.session import scratch_path
 from scholion.streaming import ingest
 from scholion.streaming import traffic as stt
@@ -65,12 +67,14 @@ def j10_stream(spark, sf):
 
 @R.add(
     "j1_ingest_stream",
-    f"""WITH {GOOD} SELECT document_id, 'completed' AS outcome, ls[1] AS title, 1 AS attempts FROM art
-    UNION ALL SELECT CAST(doc_id AS VARCHAR), CASE WHEN doc_id % 10 = 7 THEN 'not well-formed XML' ELSE 'article has no front element' END, NULL, 1
-    FROM documents WHERE doc_id % 10 IN (7, 8)""",
+    f"""WITH {GOOD} SELECT document_id, CASE nth WHEN '' THEN 'completed' ELSE 'duplicate doi' END AS outcome,
+      CASE nth WHEN '' THEN ls[1] END AS title, 1 AS attempts, 'completed' AS job, 5 AS steps, 7 AS events, nth = '' AS archived FROM art
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), CASE WHEN doc_id % 10 = 7 THEN 'not well-formed XML' ELSE 'article has no front element' END, NULL, 1,
+      'failed', 1, 4, false FROM documents WHERE doc_id % 10 IN (7, 8)""",
 )
 def j1(spark, sf):
-    """Article XML arriving as table files: parsed, chunked, embedded, stored, then read back."""
+    """Article XML arriving as table files: parsed, chunked, embedded, archived, stored, then read
+    back with the jobs' states. A file's second article holds the doi of the first."""
     arrived, base = scratch_path(spark, "arrived"), scratch_path(spark, "ingested")
     article_xml(spark, sf).write.parquet(arrived)
     schema = spark.read.parquet(arrived).schema
@@ -94,4 +98,51 @@ def j1(spark, sf):
     bad = ingest.read_versions(spark, base, "quarantine").select(
         F.col("object_key").alias("document_id"), F.col("reason").alias("outcome"), F.lit(None).cast("string").alias("title"), "attempts"
     )
-    return docs.unionByName(bad)
+    twice = ingest.document_conflicts(spark, base).select(
+        "document_id", F.col("reason").alias("outcome"), F.lit(None).cast("string").alias("title"), F.lit(1).alias("attempts")
+    )
+    events = ingest.read_versions(spark, base, "job_events")
+    jobs = job_state(events).join(events.groupBy("job_id").agg(F.count("*").cast("int").alias("events")), "job_id")
+    kept = ingest.read_versions(spark, base, "archive").select(
+        F.element_at("metadata", "document_id").alias("document_id"), F.lit(True).alias("archived")
+    )
+    return (
+        docs.unionByName(bad)
+        .unionByName(twice)
+        .join(jobs.withColumnRenamed("job_id", "document_id"), "document_id", "left")
+        .join(kept, "document_id", "left")
+        .select(
+            "document_id", "outcome", "title", "attempts", F.col("status").alias("job"),
+            F.col("completed_steps").alias("steps"), "events", F.coalesce("archived", F.lit(False)).alias("archived"),
+        )
+    )
+
+
+@R.add(
+    "j1_ingest_pages",
+    f"""WITH p AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, turn, {strip_sql("CASE WHEN conv_id % 9 = 0 THEN ' ' ELSE text END")} AS t FROM conversations),
+    d AS (SELECT document_id, string_agg(t, chr(10) || chr(10) ORDER BY turn) AS text FROM p WHERE t <> '' GROUP BY document_id)
+    SELECT document_id, 'completed' AS outcome, {TITLE_SQL} AS title, CAST(len({words_sql('text')}) AS INTEGER) AS words, 'completed' AS job FROM d
+    UNION ALL SELECT DISTINCT document_id, 'no page holds any text', NULL, NULL::INTEGER, 'failed' FROM p
+    WHERE document_id NOT IN (SELECT document_id FROM d)""",
+)
+def j1_pages(spark, sf):
+    """Conversations as documents of page texts, one page a turn, every ninth one blank."""
+    base = scratch_path(spark, "ingested")
+    c = F.col("conv_id")
+    pages = table(spark, sf, "conversations").select(
+        c.cast("string").alias("document_id"), F.col("turn").alias("page_no"),
+        F.when(c % 9 == 0, F.lit(" ")).otherwise(F.col("text")).alias("text"),
+    )
+    ingest.ingest_pages(pages, base, 0)
+    docs = ingest.current_documents(spark, base).select(
+        "document_id", F.col("processing_status").alias("outcome"), "title", F.col("word_count").alias("words")
+    )
+    bad = ingest.read_versions(spark, base, "quarantine").select(
+        F.col("object_key").alias("document_id"), F.col("reason").alias("outcome"),
+        F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("words"),
+    )
+    jobs = job_state(ingest.read_versions(spark, base, "job_events")).select(
+        F.col("job_id").alias("document_id"), F.col("status").alias("job")
+    )
+    return docs.unionByName(bad).join(jobs, "document_id", "left")

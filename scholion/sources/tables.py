@@ -50,6 +50,18 @@ def _without_duplicates(df: DataFrame, column: str) -> tuple[DataFrame, DataFram
     )
 
 
+def unique_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents of which no other holds the doi or pmcid, and the others with the reason.
+
+    The stored one (where _new tells) goes before the new one, then the older, then the smaller id.
+    """
+    marked = docs if "_new" in docs.columns else docs.withColumn("_new", F.lit(False))
+    left, no_doi = _without_duplicates(marked, "doi")
+    good, no_pmcid = _without_duplicates(left, "pmcid")
+    bad = no_doi.unionByName(no_pmcid).select("document_id", "doi", "pmcid", "reason")
+    return good.drop("_new"), bad
+
+
 def upsert_documents(
     existing: DataFrame, incoming: DataFrame, now: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -91,9 +103,7 @@ def upsert_documents(
     joined = e.join(n, F.col("e.document_id") == F.col("n.document_id"), "full_outer").select(
         *[merged(c) for c in existing.columns], is_new.alias("_new")
     )
-    left, no_doi = _without_duplicates(joined, "doi")
-    good, no_pmcid = _without_duplicates(left, "pmcid")
-    bad = no_doi.unionByName(no_pmcid).select("document_id", "doi", "pmcid", "reason")
+    good, bad = unique_documents(joined)
     return good.select(*existing.columns), bad
 
 
