@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from scholion.plans import collect  # noqa: E402
-from scholion.session import build_session  # noqa: E402
+from scholion.session import build_session, release_scratch  # noqa: E402
 
 HEADLINE = [
     "q2_vector_topk", "q2_vector_knn_all", "q8_keyword_topk", "q9_hybrid_rrf", "q10_enriched_hits",
@@ -43,6 +43,7 @@ def main() -> None:
         start = time.perf_counter()
         queries[name](spark, sf).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        release_scratch(spark)
     print(
         json.dumps(
             {

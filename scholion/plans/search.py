@@ -75,18 +75,27 @@ def q2(spark, sf):
 
 
 @R.add(
-    "q2_vector_knn_all",
+    "q2_vector_many_queries",
     """SELECT query_id, chunk_id, CAST(rk AS INTEGER) AS vector_rank, round(s, 6) AS vector_similarity FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rk FROM (
-        SELECT CAST(a.vec_id AS VARCHAR) AS query_id, CAST(b.vec_id AS VARCHAR) AS chunk_id,
+        SELECT CAST(ev.event_id AS VARCHAR) AS query_id, CAST(b.vec_id AS VARCHAR) AS chunk_id,
           round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS s
-        FROM embeddings a, embeddings b)) WHERE rk <= 5""",
+        FROM events ev JOIN embeddings a ON a.vec_id = ev.event_id % 400, embeddings b)) WHERE rk <= 2""",
 )
-def q2_all(spark, sf):
-    """Five nearest vectors of every vector."""
+def q2_many(spark, sf):
+    """Two nearest vectors for a query of every event: more queries than are held in one piece."""
     e = table(spark, sf, "embeddings")
-    q = e.select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    c = e.select(
+    asking = table(spark, sf, "events").select("event_id", (F.col("event_id") % 400).alias("vec_id"))
+    q = asking.join(e, "vec_id").select(
+        F.col("event_id").cast("string").alias("query_id"), F.col("embedding").alias("query_embedding")
+    )
+    return vs.vector_topk(q, vectors_as_chunks(e), 2).select(
+        "query_id", "chunk_id", "vector_rank", rounded("vector_similarity")
+    )
+
+
+def vectors_as_chunks(e):
+    return e.select(
         F.col("vec_id").cast("string").alias("chunk_id"),
         F.col("vec_id").cast("string").alias("document_id"),
         "embedding",
@@ -94,7 +103,21 @@ def q2_all(spark, sf):
         F.lit("vector").alias("article_type"),
         F.lit("2024-01-01").cast("date").alias("publication_date"),
     )
-    return vs.vector_topk(q, c, 5).select(
+
+
+@R.add(
+    "q2_vector_knn_all",
+    """SELECT query_id, chunk_id, CAST(rk AS INTEGER) AS vector_rank, round(s, 6) AS vector_similarity FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rk FROM (
+        SELECT CAST(a.vec_id AS VARCHAR) AS query_id, CAST(b.vec_id AS VARCHAR) AS chunk_id,
+          round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS s
+        FROM embeddings a, embeddings b)) WHERE rk <= 5""",
+)
+def q2_all(spark, sf):
+    """Five nearest vectors of every vector."""
+    e = table(spark, sf, "embeddings")
+    q = e.select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    return vs.vector_topk(q, vectors_as_chunks(e), 5).select(
         "query_id", "chunk_id", "vector_rank", rounded("vector_similarity")
     )
 

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from scholion.session import build_session  # noqa: E402
+from scholion.session import build_session, release_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -22,4 +22,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release_scratch(session)
     session.stop()

@@ -158,7 +158,7 @@ def test_vector_topk_broadcast_and_blocks_equal_brute_force(spark, corpus):
     want = brute_vector(corpus, 7)
     cand = vs.candidates(chunks, docs)
     assert by_query(vs.vector_topk(queries, cand, 7), "vector_rank") == want
-    blocks = vs.vector_topk(Asked(queries, None), cand, 7, per_query=2, per_chunk=10)
+    blocks = vs.vector_topk(Asked(queries, None), cand, 7, per_query=2)
     assert by_query(blocks, "vector_rank") == want
 
 
