@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scholion.llm import language_id, license_scan, quality
+from scholion.llm import language_id, license_scan, oracles as sql, quality
 from scholion.llm.common import bucket, table
 from scholion.llm.decontamination import find_leaks
 from scholion.llm.embedding_dedup import link_embeddings
@@ -78,7 +78,12 @@ QUERIES = {
         op10_embedding_dedup,
     )
 }
-ORACLES: dict[str, str] = {"op5_license_scan": license_scan.oracle()}
+ORACLES: dict[str, str] = {
+    "op5_license_scan": license_scan.oracle(),
+    "op7_minhash_dedup": sql.near_duplicates(width=3, percent=85),
+    "op8_suffix_array_dedup": sql.repeated_spans(length=50),
+    "op10_embedding_dedup": sql.embedding_links(0.93),
+}
 
 
 def queries() -> dict:
