@@ -25,7 +25,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     if model is None:
         return docs
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    # The row travels as one column, so that columns named like the classifier's own stay as they are.
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    return quality.score(rows, model).where("predicted = 1").select("row.*")
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -277,6 +277,10 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    clashing = docs.selectExpr("*", "'x' AS score", "1 AS spans", "2 AS copy", "3 AS n", "4 AS quality")
+    assert clashing.columns == corpus_pipeline.keep_good(spark, clashing, sf).columns
+    assert {r.score for r in corpus_pipeline.keep_good(spark, clashing, sf).collect()} == {"x"}
+    assert clashing.columns == corpus_pipeline.strip_repeated(spark, clashing, sf).columns
     kept = []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, sf)
