@@ -426,3 +426,23 @@ def test_display_columns(spark):
     ).first()
     assert r.h.count("<mark") == 2 and r.c == "User" and r.a == "x, y, and z" and r.s == "Use a..."
     assert r.l == ["study", "gene", "buse", "glass"]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.55, 0.6])
+def test_titles_match_alike_on_both_paths(spark, threshold):
+    """Also where a share times a size is a whole number, which floating point may miss."""
+    rng = random.Random(11)
+    letters = "abcdefgh"
+    titles = ["".join(rng.choices(letters, k=rng.randint(3, 40))) for _ in range(60)]
+    # 20 trigrams each, 11 of them in common, is 11 of 29; prefixes give shares like 11 of 20.
+    for n in (10, 20, 40, 99):
+        word = "".join(rng.choices(letters, k=n))
+        titles += [word, *(word[: k * n // 20] for k in range(9, 20))]
+    frame = spark.createDataFrame([(t,) for t in titles], "title string")
+    queries = spark.createDataFrame([(str(i), t) for i, t in enumerate(titles)], "query_id string, query_text string")
+
+    def found(asked):
+        out = fuzzy.title_similarity(asked, frame, threshold).collect()
+        return sorted((r.query_id, r.title, round(r.similarity, 9), r.documents) for r in out)
+
+    assert found(ask(queries)) == found(Asked(queries, None))
