@@ -284,6 +284,34 @@ def q10(spark, sf):
     )
 
 
+@R.add(
+    "q12_hits_with_neighbours",
+    with_sql(
+        *hybrid_ctes(),
+        select="""SELECT h.query_id, CAST(h.rank AS INTEGER) AS rank, h.chunk_id, md5(p.content) AS before, md5(n.content) AS after
+FROM hyb h LEFT JOIN chunks p ON p.chunk_id = 'c' || (CAST(h.document_id AS BIGINT) - 1)
+  LEFT JOIN chunks n ON n.chunk_id = 'c' || (CAST(h.document_id AS BIGINT) + 1)""",
+    ),
+)
+def q12_hits(spark, sf):
+    """Search hits with the texts before and after them; documents follow each other by their ids."""
+    asked = ask(requests(spark, sf))
+    c = chunks(spark, sf)
+    hits = hybrid.hybrid_search(asked, c, documents(spark, sf))
+    at = F.col("document_id").cast("long")
+    linked = c.select(
+        "chunk_id", "content",
+        F.concat(F.lit("c"), (at - 1).cast("string")).alias("previous_chunk_id"),
+        F.concat(F.lit("c"), (at + 1).cast("string")).alias("next_chunk_id"),
+    )
+    most = None if asked.frame is None else 5 * len(asked.frame)
+    out = hybrid.with_context(hits, linked, most)
+    return out.select(
+        "query_id", "rank", "chunk_id", F.md5("context.previous_chunk").alias("before"),
+        F.md5("context.next_chunk").alias("after"),
+    )
+
+
 @R.add(
     "q11_paging",
     with_sql(
