@@ -145,67 +145,55 @@ def batch_errors(results: DataFrame) -> DataFrame:
 def audit(documents: DataFrame, chunks: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
     """Rows that break a constraint of the data model: table, constraint, key.
 
-    Uniqueness is a pre-combined count; the foreign key is an anti join on document ids.
+    Each table is read once for all constraints on single rows and once for all unique columns,
+    which are counted in one pre-combined aggregate; the foreign key is an anti join on document ids.
     """
 
-    def broken(df: DataFrame, table: str, name: str, bad: Column, key: str) -> DataFrame:
-        return df.where(bad).select(
-            F.lit(table).alias("table_name"), F.lit(name).alias("constraint_name"),
-            F.col(key).cast("string").alias("row_key"),
-        )
+    def broken(df: DataFrame, table: str, key: str, tests: dict[str, Column]) -> DataFrame:
+        names = F.array(*[F.when(bad, F.lit(name)) for name, bad in tests.items()])
+        return df.select(
+            F.col(key).cast("string").alias("row_key"), F.explode(F.array_compact(names)).alias("name")
+        ).select(F.lit(table).alias("table_name"), F.col("name").alias("constraint_name"), "row_key")
 
-    def duplicated(df: DataFrame, table: str, column: str) -> DataFrame:
+    def duplicated(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
+        values = F.array(
+            *[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns]
+        )
         return (
-            df.where(F.col(column).isNotNull())
-            .groupBy(column)
+            df.select(F.explode(values).alias("x"))
+            .where(F.col("x.v").isNotNull())
+            .groupBy("x.c", "x.v")
             .agg(F.count("*").alias("n"))
             .where("n > 1")
             .select(
-                F.lit(table).alias("table_name"), F.lit(f"unique {column}").alias("constraint_name"),
-                F.col(column).cast("string").alias("row_key"),
+                F.lit(table).alias("table_name"),
+                F.concat(F.lit("unique "), "c").alias("constraint_name"),
+                F.col("v").alias("row_key"),
             )
         )
 
-    checks = []
     have = set(documents.columns)
-    for column in ("title", "object_key"):
-        if column in have:
-            checks.append(
-                broken(documents, "documents", f"not null {column}", F.col(column).isNull(), "document_id")
-            )
-    checks.append(
-        broken(
-            documents, "documents", "status domain",
-            ~F.col("processing_status").isin(DOCUMENT_STATUSES), "document_id",
-        )
-    )
+    tests = {f"not null {c}": F.col(c).isNull() for c in ("title", "object_key") if c in have}
+    tests["status domain"] = ~F.col("processing_status").isin(DOCUMENT_STATUSES)
     if "quality_score" in have:
-        checks.append(
-            broken(
-                documents, "documents", "quality range",
-                ~F.col("quality_score").between(0, 1), "document_id",
-            )
-        )
-    for column, cap in LENGTH_CAPS.items():
-        if column in have:
-            checks.append(
-                broken(documents, "documents", f"length {column}", F.length(column) > cap, "document_id")
-            )
-    for column in ("document_id", "doi", "pmcid"):
-        if column in have:
-            checks.append(duplicated(documents, "documents", column))
-    checks.append(duplicated(chunks, "chunks", "chunk_id"))
-    for column in ("content", "chunk_index", "document_id"):
-        checks.append(broken(chunks, "chunks", f"not null {column}", F.col(column).isNull(), "chunk_id"))
+        tests["quality range"] = ~F.col("quality_score").between(0, 1)
+    tests |= {f"length {c}": F.length(c) > cap for c, cap in LENGTH_CAPS.items() if c in have}
     orphans = chunks.where(F.col("document_id").isNotNull()).join(
         documents.select("document_id"), "document_id", "left_anti"
     )
-    checks.append(broken(orphans, "chunks", "foreign key document_id", F.lit(True), "chunk_id"))
+    required = ("content", "chunk_index", "document_id")
+    checks = [
+        broken(documents, "documents", "document_id", tests),
+        duplicated(documents, "documents", [c for c in ("document_id", "doi", "pmcid") if c in have]),
+        broken(chunks, "chunks", "chunk_id", {f"not null {c}": F.col(c).isNull() for c in required}),
+        duplicated(chunks, "chunks", ["chunk_id"]),
+        broken(orphans, "chunks", "chunk_id", {"foreign key document_id": F.lit(True)}),
+    ]
     if jobs is not None:
+        status = ~F.col("status").isin(JOB_STATUSES)
         checks.append(
-            broken(jobs, "jobs", "status domain", ~F.col("status").isin(JOB_STATUSES), "job_id")
+            broken(jobs, "jobs", "job_id", {"status domain": status, "not null job_type": F.col("job_type").isNull()})
         )
-        checks.append(broken(jobs, "jobs", "not null job_type", F.col("job_type").isNull(), "job_id"))
     return reduce(DataFrame.unionByName, checks)
 
 

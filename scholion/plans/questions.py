@@ -88,7 +88,8 @@ def r4(spark, sf):
     with_sql(*hybrid_ctes(), CTX, select="SELECT query_id, round(confidence, 6) AS confidence FROM ctx"),
 )
 def r5(spark, sf):
-    return cx.confidence(results(spark, sf)[1]).select("query_id", rounded("confidence"))
+    hits = hybrid.hybrid_search(requests(spark, sf), chunks(spark, sf), documents(spark, sf))
+    return cx.confidence(hits).select("query_id", rounded("confidence"))
 
 
 @R.add(
