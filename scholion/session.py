@@ -45,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_KEY, None) or sc.getCheckpointDir()
     if configured is None:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="scholion-")
         spark.conf.set(CHECKPOINT_KEY, configured)
