@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,20 +65,35 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+
+
 def release_scratch(spark: SparkSession) -> int:
     """Delete what this application has put below the shared folder; how many paths that were.
 
     To be called when no DataFrame that reads them is used any more.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+    _delete(spark, paths)
     return len(paths)
 
 
+def stored_result(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Store what build() returns in the shared folder and delete what it stored on the way."""
+    path = scratch_path(spark, label)
+    paths = _SCRATCH[spark.sparkContext.applicationId]
+    before = len(paths)
+    df = build()
+    df.write.parquet(path)
+    _delete(spark, paths[before:])
+    del paths[before:]
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def persist_shared(df: DataFrame, label: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage and survives executor loss."""
     path = scratch_path(df.sparkSession, label)
