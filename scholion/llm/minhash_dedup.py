@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from scholion.llm.common import even, worker_cache
 from scholion.llm.components import components
-from scholion.session import persist_shared, small_side
+from scholion.session import persist_shared, small_side, stored_result
 
 BANDS = 25
 ROWS = 5
@@ -325,6 +325,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     have no shingles and stay alone, as does a row with a null doc_id; repeated rows share a component; an empty table gives an empty
     result; other columns are ignored.
     """
+    build = lambda: _near_duplicates(docs, width, percent)
+    return stored_result(docs.sparkSession, "near-duplicates", build)
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     signed = persist_shared(signed_documents(docs, width), "signed")
     # Equal sets are one node: its smallest document.
     named = (F.col("n") > 0) & F.col("doc_id").isNotNull()

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from scholion.llm.bwt import smallest_owner
 from scholion.llm.common import even
-from scholion.session import persist_shared, small_side
+from scholion.session import persist_shared, small_side, stored_result
 
 LENGTH = 50
 ANCHOR = 24
@@ -404,9 +404,8 @@ def _with_spans(docs: DataFrame, length: int) -> DataFrame:
     """docs (with text not null) and each row's spans; an exact later copy is covered whole."""
     hashed, _ = _representatives(docs)
     first = F.col("first").isNull() | (F.col("doc_id") == F.col("first"))
-    spans = persist_shared(
-        repeated_spans(hashed.where(first & F.col("doc_id").isNotNull()), length), "spans"
-    )
+    earlier = hashed.where(first & F.col("doc_id").isNotNull())
+    spans = stored_result(docs.sparkSession, "spans", lambda: repeated_spans(earlier, length))
     whole = (F.col("doc_id") > F.col("first")) & (F.octet_length("text") >= length)
     return hashed.join(
         small_side(spans.withColumnRenamed("doc", "doc_id")), ["doc_id", "copy"], "left"
