@@ -395,9 +395,15 @@ def test_rate_limit_equals_one_pass_per_key(spark, limit, spread):
     want = {}
     for key in {r[0] for r in rows}:
         mine = sorted((r[1], r[2]) for r in rows if r[0] == key)
-        micros = [int((t - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1)) for t, _ in mine]
-        for (_, i), d in zip(mine, traffic.decide(micros, [], limit, 60_000_000), strict=True):
-            want[i] = d
+        admitted = []
+        for t, i in mine:
+            live = [u for u in admitted if u > t - dt.timedelta(seconds=60)]
+            if len(live) < limit:
+                admitted.append(t)
+                want[i] = (True, limit - len(live) - 1, 60)
+            else:
+                left = live[0] + dt.timedelta(seconds=60) - t
+                want[i] = (False, 0, max(left // dt.timedelta(seconds=1), 1))
     assert got == want
 
 
