@@ -23,6 +23,9 @@ def worker_cache(key: str, version: str, make):
     module = sys.modules.setdefault(CACHE_MODULE, types.ModuleType(CACHE_MODULE))
     held = getattr(module, key, None)
     if held is None or held[0] != version:
+        # Only the operator at work keeps one: what another has kept before is let go first.
+        for other in [k for k in vars(module) if not k.startswith("__")]:
+            delattr(module, other)
         held = (version, make())
         setattr(module, key, held)
     return held[1]
