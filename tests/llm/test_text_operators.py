@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -220,6 +221,61 @@ def test_license_scan_equals_its_definition(spark):
     assert license_scan.scan(empty(spark)).collect() == []
 
 
+def finds_by_hand(text):
+    """Every stretch of neighbouring pieces against every template, and what counts of them."""
+    for end in ".!?":
+        text = text.replace(f"{end} ", f"{end}\n\x01")
+    cut = [(license_scan.words_of(part), part.startswith("\x01")) for part in text.split("\n")]
+    parts = [w for w, _ in cut if w]
+    inside = [x for w, x in cut if w]
+    given = len(license_scan.TEMPLATES)
+    best = {}
+    for k, (lic, notice) in enumerate((*license_scan.TEMPLATES, *license_scan.NOTICES)):
+        theirs = set(license_scan.bigrams_of(license_scan.words_of(notice)))
+        for i in range(len(parts)):
+            for j in range(i, len(parts)):
+                words = [w for part in parts[i : j + 1] for w in part]
+                if j > i and len(words) > 2 * len(license_scan.words_of(notice)):
+                    break
+                ours = set(license_scan.bigrams_of(words))
+                shared, both = len(ours & theirs), len(ours) + len(theirs)
+                if k < given and any(inside[i + 1 : j + 1]):
+                    break
+                if shared * 200 >= both * license_scan.PERCENT:
+                    kind = 1 if i == j else 0 if k >= given else 2
+                    find = (kind, -2 * shared / both, k, i, j, lic)
+                    best[kind, i] = min(best.get((kind, i), find), find)
+    taken, out = [], {}
+    for _, less, _, i, j, lic in sorted(best.values()):
+        if not any(a <= j and i <= b for a, b in taken):
+            taken.append((i, j))
+            old = out.get(lic, (0, 0))
+            out[lic] = (max(old[0], -less), old[1] + 1)
+    return out
+
+
+def test_wrapped_and_full_notices_are_found(spark):
+    rng = random.Random(12)
+    rows, named = [], {}
+    for i, (lic, notice) in enumerate((*license_scan.TEMPLATES, *license_scan.NOTICES)):
+        for k, width in enumerate((30, 72, 100)):
+            lines = textwrap.wrap(notice, width)
+            mark = ["", "# ", " * "][k]
+            text = "\n".join([sentence(rng, 12), "", *(mark + x for x in lines), "", sentence(rng, 12)])
+            rows.append((10 * i + k, text))
+            named[10 * i + k] = lic
+        rows.append((10 * i + 3, sentence(rng, 8) + ".\n" + notice))
+        named[10 * i + 3] = lic
+    rows.append((5000, "\n".join(textwrap.wrap(license_scan.NOTICES[2][1], 72) + ["\n"] + textwrap.wrap(license_scan.NOTICES[9][1], 60))))
+    rows += [(5001, None), (5002, "\n \n"), (5003, "software license conditions\n" * 400)]
+    got = defaultdict(dict)
+    for r in license_scan.scan(documents(spark, rows)).collect():
+        got[r.doc_id][r.license_id] = (pytest.approx(r.dice, abs=1e-12), r.n_sentences)
+    assert all(lic in got[i] for i, lic in named.items())
+    assert {"BSD-2-Clause", "MIT"} == set(got[5000])
+    assert {i: v for i, v in got.items() if v} == {i: w for i, t in rows if (w := finds_by_hand(t or ""))}
+
+
 # ---- leaks -------------------------------------------------------------------------------
 
 
