@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("search", "questions", "parsing", "chunks", "tables", "reports", "activity", "streams")
+FAMILIES = ("search", "questions", "passages", "parsing", "chunks", "tables", "reports", "activity", "streams")
 
 
 def collect() -> tuple[dict, dict]:

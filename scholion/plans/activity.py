@@ -135,8 +135,8 @@ FROM requests q LEFT JOIN kw v ON v.query_id = q.query_id AND v.keyword_rank > q
 GROUP BY q.query_id, q.query_text, q.item_id""",
     ),
 )
-def j11(spark, sf):
-    q = requests(spark, sf).withColumn("search_type", F.lit("keyword"))
+def j11(spark, sf, asking=requests):
+    q = asking(spark, sf).withColumn("search_type", F.lit("keyword"))
     asked = ask(q)
     hits = keyword_search(asked, chunks(spark, sf), documents(spark, sf))
     named = q.withColumn("user_id", F.concat(F.lit("u"), F.col("item_id").cast("string")))

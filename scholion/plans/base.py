@@ -175,8 +175,8 @@ CHUNKS = """chunks AS (
 # ---- search requests ---------------------------------------------------------------------
 
 
-def requests(spark: SparkSession, sf: str, with_filters: bool = True) -> DataFrame:
-    """Every benchmark row as a request: its two shortest longer words and the vector of its id."""
+def requests(spark: SparkSession, sf: str, with_filters: bool = True, whole: bool = False) -> DataFrame:
+    """Every benchmark row as a request: its two shortest longer words (or its whole text) and the vector of its id."""
     b = table(spark, sf, "benchmark")
     e = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_embedding")
@@ -187,7 +187,8 @@ def requests(spark: SparkSession, sf: str, with_filters: bool = True) -> DataFra
             lambda t: F.struct(F.length(t).alias("n"), t.alias("t")),
         )
     )
-    text = F.array_join(F.slice(F.transform(ranked, lambda r: r["t"]), 1, 2), " ")
+    words = F.array_join(F.slice(F.transform(ranked, lambda r: r["t"]), 1, 2), " ")
+    text = F.col("text") if whole else words
     i = F.col("item_id")
     q = b.join(e, "item_id", "left").select(
         i.cast("string").alias("query_id"),
@@ -212,6 +213,11 @@ def requests(spark: SparkSession, sf: str, with_filters: bool = True) -> DataFra
     )
 
 
+def whole_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """The same requests, each asking with its whole passage."""
+    return requests(spark, sf, whole=True)
+
+
 _LONGER = f"list_filter(list_distinct({lexemes_sql('b.text', 'stop')}), lambda t: length(t) >= 4)"
 REQUESTS = f"""requests AS (
   SELECT CAST(b.item_id AS VARCHAR) AS query_id, b.item_id,
@@ -226,6 +232,10 @@ REQUESTS = f"""requests AS (
     CASE WHEN b.item_id % 6 = 5 THEN ['en', 'fr'] END AS article_types
   FROM benchmark b LEFT JOIN embeddings e ON b.item_id = e.vec_id)"""
 
+WHOLE_REQUESTS = """requests AS (
+  SELECT two_words.* REPLACE (b.text AS query_text)
+  FROM two_words JOIN benchmark b USING (item_id))"""
+
 FILTER_SQL = """(q.date_from IS NULL OR d.publication_date >= q.date_from)
     AND (q.date_to IS NULL OR d.publication_date <= q.date_to)
     AND (q.journals IS NULL OR list_contains(q.journals, d.journal))"""

@@ -15,9 +15,9 @@ R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
 
 
-def results(spark, sf):
+def results(spark, sf, asking=requests):
     """Fused hits of every request with text and document columns."""
-    asked = ask(requests(spark, sf))
+    asked = ask(asking(spark, sf))
     c = chunks(spark, sf)
     hits = hybrid.hybrid_search(asked, c, documents(spark, sf))
     most = None if asked.frame is None else 5 * len(asked.frame)
@@ -43,20 +43,20 @@ ctx AS (SELECT query_id, string_agg('Source [' || rank || ']: ' || title || ' (D
     "r1_context",
     with_sql(*hybrid_ctes(), CTX, select="SELECT query_id, context, chunks_used FROM ctx"),
 )
-def r1(spark, sf):
-    return cx.build_context(results(spark, sf)[1]).select("query_id", "context", "chunks_used")
+def r1(spark, sf, asking=requests):
+    return cx.build_context(results(spark, sf, asking)[1]).select("query_id", "context", "chunks_used")
 
 
 @R.add(
     "r2_citations",
     with_sql(*hybrid_ctes(), CTX, select="SELECT query_id, citations FROM ctx"),
 )
-def r2(spark, sf):
+def r2(spark, sf, asking=requests):
     flat = F.transform(
         "citations",
         lambda c: F.concat(c["number"].cast("string"), F.lit("="), c["chunk_id"], F.lit("@"), c["doi"]),
     )
-    return cx.build_context(results(spark, sf)[1]).select(
+    return cx.build_context(results(spark, sf, asking)[1]).select(
         "query_id", F.array_join(flat, ";").alias("citations")
     )
 
@@ -87,8 +87,8 @@ def r4(spark, sf):
     "r5_confidence",
     with_sql(*hybrid_ctes(), CTX, select="SELECT query_id, round(confidence, 6) AS confidence FROM ctx"),
 )
-def r5(spark, sf):
-    hits = hybrid.hybrid_search(requests(spark, sf), chunks(spark, sf), documents(spark, sf))
+def r5(spark, sf, asking=requests):
+    hits = hybrid.hybrid_search(asking(spark, sf), chunks(spark, sf), documents(spark, sf))
     return cx.confidence(hits).select("query_id", rounded("confidence"))
 
 
@@ -109,9 +109,9 @@ def r5(spark, sf):
 FROM requests q LEFT JOIN ctx USING (query_id) LEFT JOIN hist ON hist.conv_id = q.item_id""",
     ),
 )
-def r7(spark, sf):
+def r7(spark, sf, asking=requests):
     """Every request in the conversation of the same number, with its recent turns."""
-    asked, rows = results(spark, sf)
+    asked, rows = results(spark, sf, asking)
     q = asked.queries.withColumn("conv_id", F.col("item_id")).withColumn(
         "use_complex_model", F.col("item_id") % 2 == 0
     )
@@ -126,9 +126,9 @@ def r7(spark, sf):
     """SELECT CAST(item_id AS VARCHAR) AS query_id, 'I couldn''t find any relevant information in the knowledge base to answer your question.' AS answer,
       0.0::DOUBLE AS confidence, 0 AS chunks_used FROM benchmark""",
 )
-def r6(spark, sf):
+def r6(spark, sf, asking=requests):
     """All requests against a corpus none of which is visible."""
-    q = requests(spark, sf)
+    q = asking(spark, sf)
     hidden = documents(spark, sf).withColumn("processing_status", F.lit("pending"))
     c = chunks(spark, sf)
     hits = hybrid.hybrid_search(q, c, hidden)

@@ -186,8 +186,8 @@ def q6(spark, sf):
         "round(keyword_score, 6) AS keyword_score FROM kw WHERE keyword_rank <= 100",
     ),
 )
-def q7(spark, sf):
-    m = keyword.keyword_matches(requests(spark, sf), chunks(spark, sf), documents(spark, sf))
+def q7(spark, sf, asking=requests):
+    m = keyword.keyword_matches(asking(spark, sf), chunks(spark, sf), documents(spark, sf))
     return keyword.keyword_topk(m, 100).select(
         "query_id", "chunk_id", "keyword_rank", rounded("keyword_score")
     )
@@ -201,9 +201,9 @@ def q7(spark, sf):
         "round(keyword_score, 6) AS keyword_score FROM kw WHERE keyword_rank <= 100",
     ),
 )
-def q7_tf(spark, sf):
+def q7_tf(spark, sf, asking=requests):
     m = keyword.keyword_matches(
-        requests(spark, sf), chunks(spark, sf), documents(spark, sf), rank_fn="tf"
+        asking(spark, sf), chunks(spark, sf), documents(spark, sf), rank_fn="tf"
     )
     return keyword.keyword_topk(m, 100).select(
         "query_id", "chunk_id", "keyword_rank", rounded("keyword_score")
@@ -217,24 +217,24 @@ WHERE v.keyword_rank > q.off AND v.keyword_rank <= q.off + q.k"""
 
 
 @R.add("q8_keyword_topk", with_sql(DOCS, CHUNKS, REQUESTS, keyword_sql(), select=PAGE_KW))
-def q8(spark, sf):
-    hits = keyword.keyword_search(requests(spark, sf), chunks(spark, sf), documents(spark, sf))
+def q8(spark, sf, asking=requests):
+    hits = keyword.keyword_search(asking(spark, sf), chunks(spark, sf), documents(spark, sf))
     return hits.select("query_id", "rank", "chunk_id", "document_id", rounded("score"))
 
 
 @R.add("q8_stored_index", with_sql(DOCS, CHUNKS, REQUESTS, keyword_sql(), select=PAGE_KW))
-def q8_stored(spark, sf):
+def q8_stored(spark, sf, asking=requests):
     """The same search over a stored index; its own plan reads no text."""
     c, path = chunks(spark, sf), scratch_path(spark, "index")
     keyword.write_index(c, path)
     hits = keyword.keyword_search(
-        requests(spark, sf), c, documents(spark, sf), **keyword.read_index(spark, path)
+        asking(spark, sf), c, documents(spark, sf), **keyword.read_index(spark, path)
     )
     return hits.select("query_id", "rank", "chunk_id", "document_id", rounded("score"))
 
 
-def hybrid_hits(spark, sf):
-    return hybrid.hybrid_search(requests(spark, sf), chunks(spark, sf), documents(spark, sf))
+def hybrid_hits(spark, sf, asking=requests):
+    return hybrid.hybrid_search(asking(spark, sf), chunks(spark, sf), documents(spark, sf))
 
 
 @R.add(
@@ -246,8 +246,8 @@ def hybrid_hits(spark, sf):
   round(vector_similarity, 6) AS vector_similarity, round(score, 9) AS score FROM hyb""",
     ),
 )
-def q9(spark, sf):
-    return hybrid_hits(spark, sf).select(
+def q9(spark, sf, asking=requests):
+    return hybrid_hits(spark, sf, asking).select(
         "query_id", "rank", "chunk_id", "document_id", "vector_rank", "keyword_rank",
         rounded("vector_similarity"), rounded("score", 9),
     )
@@ -273,8 +273,8 @@ def titled(docs):
 FROM hyb h JOIN chunks c ON h.chunk_id = c.chunk_id JOIN docs d ON h.document_id = d.document_id""",
     ),
 )
-def q10(spark, sf):
-    asked = ask(requests(spark, sf))
+def q10(spark, sf, asking=requests):
+    asked = ask(asking(spark, sf))
     hits = hybrid.hybrid_search(asked, chunks(spark, sf), documents(spark, sf))
     most = None if asked.frame is None else 5 * len(asked.frame)
     out = hybrid.enrich(hits, chunks(spark, sf), titled(documents(spark, sf)), most)
@@ -293,9 +293,9 @@ FROM hyb h LEFT JOIN chunks p ON p.chunk_id = 'c' || (CAST(h.document_id AS BIGI
   LEFT JOIN chunks n ON n.chunk_id = 'c' || (CAST(h.document_id AS BIGINT) + 1)""",
     ),
 )
-def q12_hits(spark, sf):
+def q12_hits(spark, sf, asking=requests):
     """Search hits with the texts before and after them; documents follow each other by their ids."""
-    asked = ask(requests(spark, sf))
+    asked = ask(asking(spark, sf))
     c = chunks(spark, sf)
     hits = hybrid.hybrid_search(asked, c, documents(spark, sf))
     at = F.col("document_id").cast("long")
@@ -320,8 +320,8 @@ def q12_hits(spark, sf):
   CAST((ceil(count(*) / 10.0) - 1) * 10 AS BIGINT) AS last_offset FROM kw GROUP BY query_id""",
     ),
 )
-def q11(spark, sf):
-    m = keyword.keyword_matches(requests(spark, sf), chunks(spark, sf), documents(spark, sf))
+def q11(spark, sf, asking=requests):
+    m = keyword.keyword_matches(asking(spark, sf), chunks(spark, sf), documents(spark, sf))
     pages = hybrid.page_count(F.col("total_matches"))
     return keyword.match_totals(m).select(
         "query_id", "total_matches", pages.alias("pages"),
@@ -343,8 +343,8 @@ def q11(spark, sf):
 FROM requests q""",
     ),
 )
-def q13(spark, sf):
-    asked = ask(requests(spark, sf))
+def q13(spark, sf, asking=requests):
+    asked = ask(asking(spark, sf))
     m = keyword.keyword_matches(asked, chunks(spark, sf), documents(spark, sf))
     page = page_of(keyword.keyword_topk(m, asked.depth(5, 0)), asked, "keyword_rank", 5, 0)
     out = hybrid.page_metadata(asked.queries, page, keyword.match_totals(m))
@@ -393,9 +393,9 @@ FROM kw v JOIN requests q USING (query_id)
 WHERE v.keyword_rank > q.off AND v.keyword_rank <= q.off + q.k""",
     ),
 )
-def q15(spark, sf):
+def q15(spark, sf, asking=requests):
     d = titled(documents(spark, sf)).withColumn("abstract", F.col("text"))
-    hits = keyword.document_keyword_search(requests(spark, sf), d)
+    hits = keyword.document_keyword_search(asking(spark, sf), d)
     return hits.select("query_id", "rank", "document_id", rounded("score"))
 
 
@@ -421,8 +421,8 @@ FROM kw v JOIN requests q USING (query_id)
 WHERE v.keyword_rank > q.off AND v.keyword_rank <= q.off + q.k AND q.search_type = 'keyword'""",
     ),
 )
-def q16(spark, sf):
-    out = hybrid.search(requests(spark, sf), chunks(spark, sf), documents(spark, sf))
+def q16(spark, sf, asking=requests):
+    out = hybrid.search(asking(spark, sf), chunks(spark, sf), documents(spark, sf))
     return out.select("query_id", "rank", "chunk_id", rounded("score"), "search_type")
 
 

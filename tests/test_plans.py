@@ -7,6 +7,8 @@ import pytest
 
 from compare import connect, differences
 from scholion.plans import collect
+from scholion.plans.base import table, whole_requests
+from scholion.plans.passages import NAMES
 
 SF = os.environ.get("PLAN_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = collect()
@@ -53,3 +55,13 @@ def test_a_stored_index_is_searched_without_reading_texts(spark):
     text = plan_text(QUERIES["q8_stored_index"](spark, SF))
     scans = [line for line in text.splitlines() if "FileScan" in line and "documents" in line]
     assert scans and all("text" not in line.split("ReadSchema")[1] for line in scans)
+
+
+def test_whole_passages_are_asked(spark):
+    asked = {r.query_id: r.query_text for r in whole_requests(spark, SF).collect()}
+    texts = {str(r.item_id): r.text for r in table(spark, SF, "benchmark").collect()}
+    assert asked == texts and max(len(t.split()) for t in texts.values()) > 10
+    for name in NAMES:
+        assert f"{name}_whole_passages" in QUERIES and f"{name}_whole_passages" in ORACLES
+    # Some requests of many terms are answered.
+    assert QUERIES["q7_keyword_rank_whole_passages"](spark, SF).count() > 0
