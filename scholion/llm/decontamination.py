@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholion.llm.common import even, worker_cache
+from scholion.session import persist_shared
 
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 2
@@ -50,24 +51,35 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:half], words[half:]
 
 
+def span(text: str) -> int:
+    """The words of a passage that an item may fill."""
+    return sum(map(len, question_and_answer(text)))
+
+
 def shingles(words: list[str]) -> set[tuple[str, ...]]:
     take = min(SHINGLE, len(words))
     return {tuple(words[i : i + take]) for i in range(len(words) - take + 1)} if take else set()
 
 
 class Index:
-    """Block-wise postings of the test items, built from (item_id, text) rows."""
+    """Block-wise postings of the test items, built from (item_id, text) rows.
+
+    whole: of all items of the benchmark, where these are a part of them: how many they are, their
+    mean length, their longest one and how many hold each of these items' words.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: tuple[int, float, int, dict[str, int]] | None = None):
         bags = [Counter(words_of(t)) for _, t in items]
         # Items of one language stand together, so a block's maxima say something about it.
         order = sorted(range(len(items)), key=lambda i: ([w for w, _ in bags[i].most_common(2)], items[i][0]))
         self.ids = [items[i][0] for i in order]
         bags = [bags[i] for i in order]
         lengths = [max(sum(b.values()), 1) for b in bags]
-        mean = sum(lengths) / max(len(lengths), 1)
-        seen = Counter(w for b in bags for w in b)
-        n = len(bags)
+        texts = [items[i][1] for i in order]
+        if whole is None:
+            seen: dict[str, int] = Counter(w for b in bags for w in b)
+            whole = (len(bags), sum(lengths) / max(len(lengths), 1), max(map(span, texts), default=1), seen)
+        n, mean, self.window, seen = whole
         self.terms = {w: k for k, w in enumerate(sorted(seen))}
         idf = {w: math.log(1 + (n - df + 0.5) / (df + 0.5)) for w, df in seen.items()}
         self.items: list[list[int]] = [[] for _ in self.terms]
@@ -75,20 +87,18 @@ class Index:
         for i, bag in enumerate(bags):
             norm = K1 * (1 - B + B * lengths[i] / mean)
             own = {w: idf[w] * tf * (K1 + 1) / (tf + norm) for w, tf in bag.items()}
-            whole = sum(own.values())
+            mass = sum(own.values())
             for w, x in own.items():
                 self.items[self.terms[w]].append(i)
-                self.weights[self.terms[w]].append(x / whole)
-        self.n_blocks = -(-n // BLOCK_ITEMS)
+                self.weights[self.terms[w]].append(x / mass)
+        self.n_blocks = -(-len(bags) // BLOCK_ITEMS)
         self.block_max = np.zeros((len(self.terms) + 1, self.n_blocks), dtype=np.float32)
         for t, (found, weights) in enumerate(zip(self.items, self.weights, strict=True)):
             for i, x in zip(found, weights, strict=True):
                 b = i // BLOCK_ITEMS
                 self.block_max[t, b] = max(self.block_max[t, b], x)
         self.list_max = self.block_max.max(axis=1) if self.n_blocks else np.zeros(len(self.terms) + 1)
-        texts = [items[i][1] for i in order]
         self.parts = [tuple(shingles(part) for part in question_and_answer(t)) for t in texts]
-        self.window = max([sum(map(len, question_and_answer(t))) for t in texts], default=1)
 
     def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose score against the distinct terms is at least threshold, with scores."""
@@ -118,7 +128,8 @@ class Index:
                     target = min(target, cursors[pivot + 1][0])
                 moved = cursors[: pivot + 1]
             elif cursors[0][0] == item:
-                score = sum(self.weights[t][at] for i, at, t in cursors[: pivot + 1] if i == item)
+                # Exactly rounded, so the order of the terms doesn't matter.
+                score = math.fsum(self.weights[t][at] for i, at, t in cursors[: pivot + 1] if i == item)
                 if score >= least:
                     found.append((item, score))
                 target, moved = item + 1, cursors[: pivot + 1]
@@ -174,12 +185,14 @@ SCHEMA = (
 )
 
 
-def _leaks(docs: DataFrame, items: list[tuple[int, str]], score_share: float, overlap_share: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    version = f"{hash(tuple(items))}"
+def _leaks(
+    docs: DataFrame, items: list[tuple[int, str]], whole: tuple | None, score_share: float, overlap_share: float
+) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((items, whole))
+    version = f"{hash((tuple(items), whole and (*whole[:3], tuple(sorted(whole[3].items())))))}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = worker_cache("item_index", version, lambda: Index(shared.value))
+        index = worker_cache("item_index", version, lambda: Index(*shared.value))
         number = index.terms
         for frame in frames:
             rows = []
@@ -206,6 +219,33 @@ def _held(words: list[str], parts: list, found: dict) -> set:
     return {tuple(words[i : i + n]) for n in lengths for i in range(len(words) - n + 1)}
 
 
+def _measured(dealt: DataFrame) -> tuple[DataFrame, int, float, int]:
+    """(part, word, df) for the words of each part's items, df over all items; and over all items their
+    number, mean length and longest one."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            words = [words_of(t) for t in frame["text"]]
+            yield pd.DataFrame(
+                {
+                    "part": frame["part"],
+                    "words": [sorted(set(w)) for w in words],
+                    "length": [max(len(w), 1) for w in words],
+                    "span": [span(t) for t in frame["text"]],
+                }
+            )
+
+    each = persist_shared(
+        dealt.select("part", "text").mapInPandas(run, "part bigint, words array<string>, length bigint, span bigint"),
+        "item-words",
+    )
+    n, length, longest = each.agg(F.count("*"), F.sum("length"), F.max("span")).first()
+    per_part = each.select("part", F.explode("words").alias("word")).groupBy("part", "word").agg(F.count("*").alias("n"))
+    df = per_part.groupBy("word").agg(F.sum("n").alias("df"))
+    held = persist_shared(per_part.select("part", "word").join(df, "word"), "item-frequencies")
+    return held, n, length / n, longest
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -218,17 +258,24 @@ def find_leaks(
     docs holds doc_id and text, benchmark item_id and text; other columns are ignored. Null and empty
     documents hold nothing; items that are null or have no word are never held; repeated rows each
     give their rows; repeated items count once for each different text. An empty side gives an empty
-    result. Beyond items_per_index items the benchmark is dealt over several indexes.
+    result. Beyond items_per_index items the benchmark is dealt over several indexes, which give the same
+    rows and scores as one.
     """
     slim = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
     wanted = benchmark.where(F.col("text").rlike(r"[\p{L}\p{N}]")).select("item_id", "text").distinct()
     n = wanted.count()
     rounds = max(1, -(-n // items_per_index))
     dealt = even(slim)
+    numbered = wanted.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)))
+    # The scores of parts are those of one index: what BM25 weighs by is taken over all items.
+    held, *over_all = _measured(numbered) if rounds > 1 else (None,)
     out = None
     for k in range(rounds):
-        part = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == k)
+        part = numbered.where(F.col("part") == k)
         items = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in part.collect())
-        found = _leaks(dealt, items, score_share, overlap_share)
+        whole = None
+        if held is not None:
+            whole = (*over_all, {r["word"]: r["df"] for r in held.where(F.col("part") == k).collect()})
+        found = _leaks(dealt, items, whole, score_share, overlap_share)
         out = found if out is None else out.unionByName(found)
     return out

@@ -301,6 +301,24 @@ def test_leaks_are_found_wherever_they_stand(spark):
     assert decontamination.find_leaks(empty(spark), bench).collect() == []
 
 
+def test_several_indexes_give_the_scores_of_one(spark):
+    rng = random.Random(16)
+    items = [(k, sentence(rng, rng.randint(6, 30)).capitalize() + ". " + sentence(rng, rng.randint(3, 12)) + ".") for k in range(60)]
+    rows = []
+    for i in range(150):
+        words = rng.choice(items)[1].split()
+        # Parts of an item, near the share that is asked for.
+        part = words[: round(len(words) * rng.uniform(0.4, 0.8))]
+        rows.append((i, " ".join([*sentence(rng, rng.randint(0, 90)).split(), *part, *sentence(rng, 20).split()])))
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), documents(spark, rows)
+    found = [
+        sorted(map(tuple, decontamination.find_leaks(docs, bench, overlap_share=0.0, items_per_index=n).collect()))
+        for n in (1000, 10, 1)
+    ]
+    assert found[0] == found[1] == found[2] and 20 < len(found[0])
+    assert sum(r[3] < 0.7 for r in found[0]) > 5
+
+
 def test_block_max_wand_retrieves_all_above_the_threshold():
     rng = random.Random(9)
     items = [(k, sentence(rng, rng.randint(1, 20))) for k in range(80)]
