@@ -58,14 +58,14 @@ NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "points", "chars", "linked", "has_main", "is_page")
+    __slots__ = ("tag", "attributes", "parent", "children", "points", "chars", "linked", "has_main", "is_page", "is_most")
 
     def __init__(self, tag: str, attributes: str = "", parent: Node | None = None):
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Node | str] = []
         self.points = 0.0
         self.chars = self.linked = 0
-        self.has_main = self.is_page = False
+        self.has_main = self.is_page = self.is_most = False
 
 
 def parse(html: str) -> Node:
@@ -126,7 +126,8 @@ def _make_room(here: Node, tag: str) -> Node:
 
 def _marked(node: Node, in_article: bool) -> bool:
     """True if the element's name, class, id or role says that it is no main text."""
-    if node.tag in DROPPED:
+    # A form around the page or its article is a plain container; its controls are dropped for themselves.
+    if node.tag in DROPPED and not (node.tag == "form" and (node.has_main or node.is_page or node.is_most)):
         return True
     if node.tag == "header":
         return not in_article
@@ -150,12 +151,12 @@ def _marked(node: Node, in_article: bool) -> bool:
 
 
 def _find_main(root: Node) -> None:
-    """Mark the elements that hold an article or main element, or the heading and most of the text."""
+    """Mark the elements that hold an article or main element, most of the text, or the heading with it."""
     nodes, stack = [], [root]
     while stack:
         node = stack.pop()
         nodes.append(node)
-        stack.extend(c for c in node.children if isinstance(c, Node) and c.tag not in DROPPED)
+        stack.extend(c for c in node.children if isinstance(c, Node) and (c.tag == "form" or c.tag not in DROPPED))
     size = {id(n): sum(len(c) for c in n.children if isinstance(c, str)) for n in nodes}
     headed: set[int] = set()
     for node in reversed(nodes):
@@ -167,7 +168,8 @@ def _find_main(root: Node) -> None:
         if node.tag == "h1" or id(node) in headed:
             headed.add(id(up))
     for node in nodes:
-        node.is_page = id(node) in headed and 2 * size[id(node)] > size[id(root)]
+        node.is_most = 2 * size[id(node)] > size[id(root)]
+        node.is_page = id(node) in headed and node.is_most
 
 
 def _prune(root: Node) -> list[Node]:

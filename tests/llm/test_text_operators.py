@@ -375,3 +375,17 @@ def test_page_with_article_keeps_all_of_it():
     assert html_text.main_text(page).split("\n\n") == [f"Part {k}, with text." for k in range(5)] + ["x"]
     assert html_text.main_text("<p>a" * 3000).count("a") == 3000
     assert html_text.main_text("<div>" * 5000 + "deep") == "deep"
+
+
+def test_a_form_around_the_page_is_no_boilerplate():
+    said = "".join(f"<p>Part {k}, with text, and some more of it.</p>" for k in range(5))
+    want = [f"Part {k}, with text, and some more of it." for k in range(5)]
+    controls = "<input value=x><select><option>One, of, many</select><label>Name</label><button>Go, go</button>"
+    nav = "<nav><a href=a>Home</a></nav>"
+    login = "<form class=login><p>Log in, please, now.</p><input></form>"
+    for body in (f"<article>{said}</article>", f"<main>{said}</main>", f"<div>{said}</div>", f"<div><h1>Head</h1>{said}</div>"):
+        text = html_text.main_text(f"<body><form id=aspnetForm>{nav}{controls}{body}{controls}</form></body>").split("\n\n")
+        assert text == (["Head"] if "h1" in body else []) + want
+        # A form beside the text is boilerplate as before.
+        text = html_text.main_text(f"<body>{nav}{login}{body}<form>{controls}<p>Ask, us.</p></form></body>").split("\n\n")
+        assert text == (["Head"] if "h1" in body else []) + want
