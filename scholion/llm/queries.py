@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scholion.llm import language_id, license_scan, oracles as sql, quality
+from scholion.llm import language_id, license_scan, oracles as sql, oracles_exact as exact, quality
 from scholion.llm.common import bucket, table
 from scholion.llm.decontamination import find_leaks
 from scholion.llm.embedding_dedup import link_embeddings
 from scholion.llm.html_text import extract
+from scholion.llm.merkle import audit
 from scholion.llm.minhash_dedup import near_duplicates
 from scholion.llm.packing import pack_documents
+from scholion.llm.resampling import resample
+from scholion.llm.sharding import shard_rows
 from scholion.llm.suffix_dedup import span_report
 from scholion.llm.token_counts import token_report
 
@@ -63,6 +67,24 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(table(spark, sf_dir, "embeddings"), 0.93)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds that add up to the number of rows: the law is `rows`."""
+    placed = shard_rows(table(spark, sf_dir, "documents"), shards=16)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +98,9 @@ QUERIES = {
         op8_suffix_array_dedup,
         op9_html_extraction,
         op10_embedding_dedup,
+        op11_sharding,
+        op12_importance_resampling,
+        op13_merkle_manifest,
     )
 }
 ORACLES: dict[str, str] = {
@@ -83,6 +108,9 @@ ORACLES: dict[str, str] = {
     "op7_minhash_dedup": sql.near_duplicates(width=3, percent=85),
     "op8_suffix_array_dedup": sql.repeated_spans(length=50),
     "op10_embedding_dedup": sql.embedding_links(0.93),
+    "op11_sharding": exact.sharding(),
+    "op12_importance_resampling": exact.resampling(),
+    "op13_merkle_manifest": exact.merkle(),
 }
 
 
