@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholion.llm.bwt import smallest_owner
-from scholion.llm.common import even
+from scholion.llm.common import even, give_back
 from scholion.session import persist_shared, small_side, stored_result
 
 LENGTH = 50
@@ -35,6 +35,10 @@ RUN_STRETCHES = 256
 BUCKET_BYTES = 16_000_000
 GROUP_BYTES = 2_000_000
 PACKED = "chunk bigint, bucket bigint, packed binary"
+PLACED = "anchor bigint, mark bigint, doc bigint, copy bigint, start bigint, fragment binary"
+COVERED = "doc bigint, copy bigint, begin bigint, past bigint"
+LONG_TEXT = 100_000
+ROW_BYTES = 40
 SHARD_BYTES = 700_000
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -142,8 +146,7 @@ def _anchors(length: int, buckets: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             frame = frame.sort_values("doc_id", ignore_index=True)
-            ids = frame["doc_id"].to_numpy()
-            for chunk, part in frame.groupby(ids >> CHUNK_BITS, sort=False):
+            for chunk, part in frame.groupby("chunk", sort=False):
                 raws = [t.encode() for t in part["text"]]
                 found = list(runs(raws, length))
                 if not found:
@@ -166,6 +169,7 @@ def _anchors(length: int, buckets: int):
                         "packed": [_pack(anchor[a:b]) for a, b in zip(cut, ends, strict=True)],
                     }
                 )
+        give_back()
 
     return run
 
@@ -183,7 +187,7 @@ def _repeated(frame: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(chunk, kind="stable")
     anchor, chunk = anchor[order], chunk[order]
     cut = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])[: len(chunk)])
-    ends = np.append(cut[1:], len(chunk))
+    ends = np.append(cut[1:], len(chunk))[: len(cut)]
     return pd.DataFrame(
         {
             "chunk": chunk[cut],
@@ -217,7 +221,9 @@ def _fragments(length: int, buckets: int):
                     cut = raws[d][s : s + c + length - 1]
                     mark = xxhash.xxh64_intdigest(cut) - 2**63
                     out.append((a, mark, ids[d], copies[d], s, cut))
-        return pd.DataFrame(out, columns=columns)
+        frame = pd.DataFrame(out, columns=columns)
+        give_back()
+        return frame
 
     return run
 
@@ -240,34 +246,81 @@ def _stretches(length: int):
     return run
 
 
+def _owners(strings: list[bytes], owner: np.ndarray, anchor: np.ndarray, length: int) -> list[np.ndarray]:
+    """The smallest document of each stretch of the strings; equal anchors stand together.
+
+    A string alone under its anchor needs no merge.
+    """
+    found = [np.full(len(s) - length + 1, o) for s, o in zip(strings, owner, strict=True)]
+    same = anchor[1:] == anchor[:-1]
+    several = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+    if len(several):
+        got = smallest_owner([strings[i] for i in several], owner[several], length, SHARD_BYTES)
+        for i, least in zip(several, got, strict=True):
+            found[i] = least
+    return found
+
+
+def _runs_of(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """String, first stretch, number of stretches and smallest document of each run that shares one."""
+    sizes = np.array([len(f) for f in found])
+    least = np.concatenate(found)
+    item = np.repeat(np.arange(len(found)), sizes)
+    at = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (item[1:] != item[:-1])]))
+    count = np.diff(np.append(at, len(least)))
+    return item[at], at - (np.cumsum(sizes) - sizes)[item[at]], count, least[at]
+
+
+def _covered(length: int):
+    """The places of a group of anchors that an earlier document covers: doc, copy, begin, past."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["anchor", "mark", "doc"], ignore_index=True)
+        anchor, mark = frame["anchor"].to_numpy(), frame["mark"].to_numpy()
+        fresh = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (mark[1:] != mark[:-1])])
+        at = np.flatnonzero(fresh)
+        strings = frame["fragment"].iloc[at].tolist()
+        owner = frame["doc"].to_numpy()[at]
+        item, shift, count, least = _runs_of(_owners(strings, owner, anchor[at], length))
+        # Each place of a string has the string's runs.
+        string = np.cumsum(fresh) - 1
+        n_runs = np.bincount(item, minlength=len(at))[string]
+        place = np.repeat(np.arange(len(frame)), n_runs)
+        begins = np.cumsum(n_runs) - n_runs
+        run_ = np.searchsorted(item, string)[place] + np.arange(len(place)) - begins[place]
+        doc = frame["doc"].to_numpy()[place]
+        hit = least[run_] < doc
+        give_back()
+        place, run_ = place[hit], run_[hit]
+        begin = frame["start"].to_numpy()[place] + shift[run_]
+        return pd.DataFrame(
+            {
+                "doc": doc[hit],
+                "copy": frame["copy"].to_numpy()[place],
+                "begin": begin,
+                "past": begin + count[run_] + length - 1,
+            }
+        )
+
+    return run
+
+
 def _least_documents(length: int):
     """The stretches of a group's strings in runs that share a smallest document."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["anchor", "bucket", "mark"], ignore_index=True)
-        strings, owner = frame["fragment"].tolist(), frame["owner"].to_numpy()
-        same = frame.groupby(["anchor", "bucket"], sort=False)["mark"].transform("size").to_numpy()
-        found = [np.full(len(s) - length + 1, o) for s, o in zip(strings, owner, strict=True)]
-        several = np.flatnonzero(same > 1)
-        if len(several):
-            got = smallest_owner([strings[i] for i in several], owner[several], length, SHARD_BYTES)
-            for i, least in zip(several, got, strict=True):
-                found[i] = least
-        sizes = np.array([len(f) for f in found])
-        least = np.concatenate(found)
-        item = np.repeat(np.arange(len(found)), sizes)
-        fresh = np.concatenate([[True], (least[1:] != least[:-1]) | (item[1:] != item[:-1])])
-        at = np.flatnonzero(fresh)
-        count = np.diff(np.append(at, len(least)))
-        begins = np.cumsum(sizes) - sizes
-        shift = at - begins[item[at]]
+        # Strings of one anchor in different buckets are equal nowhere.
+        kind = frame.groupby(["anchor", "bucket"], sort=False).ngroup().to_numpy()
+        found = _owners(frame["fragment"].tolist(), frame["owner"].to_numpy(), kind, length)
+        item, shift, count, least = _runs_of(found)
         return pd.DataFrame(
             {
-                "anchor": frame["anchor"].to_numpy()[item[at]],
-                "mark": frame["mark"].to_numpy()[item[at]],
+                "anchor": frame["anchor"].to_numpy()[item],
+                "mark": frame["mark"].to_numpy()[item],
                 "first": shift,
                 "past": shift + count + length - 1,
-                "least": least[at],
+                "least": least,
             }
         )
 
@@ -295,33 +348,55 @@ def repeated_spans(hashed: DataFrame, length: int = LENGTH) -> DataFrame:
 
     spans is an array of (begin, past) byte positions, apart from each other and in no order.
     """
-    long_enough = hashed.where(F.octet_length("text") >= length).select("doc_id", "copy", "text")
     size = F.octet_length("text")
+    # A chunk is 512 neighbouring ids, or one long text: its size is bounded by that of a text.
+    chunk = F.when(size > LONG_TEXT, -1 - F.col("doc_id")).otherwise(F.shiftright("doc_id", CHUNK_BITS))
+    long_enough = hashed.where(size >= length).select("doc_id", "copy", "text", chunk.alias("chunk"))
     buckets = max(1, math.ceil((long_enough.agg(F.sum(size)).first()[0] or 0) / BUCKET_BYTES))
     wanted = (
-        even(long_enough.select("doc_id", "text"))
+        even(long_enough.select("doc_id", "text", "chunk"))
         .mapInPandas(_anchors(length, buckets), PACKED)
         .groupBy("bucket")
         .applyInPandas(_repeated, PACKED)
     )
-    chunks = long_enough.withColumn("chunk", F.shiftright("doc_id", CHUNK_BITS))
     places = persist_shared(
-        chunks.groupBy("chunk")
+        long_enough.groupBy("chunk")
         .cogroup(wanted.groupBy("chunk"))
-        .applyInPandas(
-            _fragments(length, buckets),
-            "anchor bigint, mark bigint, doc bigint, copy bigint, start bigint, fragment binary",
-        ),
+        .applyInPandas(_fragments(length, buckets), PLACED),
         "fragments",
     )
+    weight = F.octet_length("fragment") + ROW_BYTES
+    hot = persist_shared(
+        places.groupBy("anchor").agg(F.sum(weight).alias("bytes")).where(F.col("bytes") > GROUP_BYTES), "hot"
+    )
+    few = small_side(hot.select("anchor"))
+    groups = max(1, math.ceil((places.agg(F.sum(weight)).first()[0] or 0) / GROUP_BYTES))
+    calm = (
+        places.join(few, "anchor", "left_anti")
+        .withColumn("group", F.pmod(F.xxhash64("anchor"), F.lit(groups)))
+        .groupBy("group")
+        .applyInPandas(_covered(length), COVERED)
+    )
+    if not hot.isEmpty():
+        calm = calm.unionByName(_hot_places(places.join(few, "anchor", "left_semi"), length))
+    covered = persist_shared(calm, "covered")
+    return _united(covered).groupBy("doc", "copy").agg(
+        F.collect_list(F.struct("begin", "past")).alias("spans")
+    )
+
+
+def _hot_places(places: DataFrame, length: int) -> DataFrame:
+    """What _covered gives, for anchors with more places than a task should hold.
+
+    Equal strings become one before anything is gathered. An anchor that still has too many has its
+    strings cut into single stretches; equal ones become one, and these are dealt over buckets by hash.
+    """
     strings = persist_shared(
         places.groupBy("anchor", "mark").agg(
             F.min("doc").alias("owner"), F.max("fragment").alias("fragment")
         ),
         "strings",
     )
-    # An anchor with more strings than a task should hold: its strings are cut into single stretches,
-    # equal ones become one, and these are dealt over buckets by their hash.
     size = F.octet_length("fragment") + 1
     crowds = persist_shared(
         strings.groupBy("anchor").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > GROUP_BYTES),
@@ -362,7 +437,7 @@ def repeated_spans(hashed: DataFrame, length: int = LENGTH) -> DataFrame:
         "least",
     )
     least = least.join(crowds.select("anchor"), "anchor", "left_anti").unionByName(back)
-    covered = (
+    return (
         places.select("anchor", "mark", "doc", "copy", "start")
         .join(least, ["anchor", "mark"])
         .where("least < doc")
@@ -373,9 +448,6 @@ def repeated_spans(hashed: DataFrame, length: int = LENGTH) -> DataFrame:
             (F.col("start") + F.col("past")).alias("past"),
         )
     )
-    return _united(covered).groupBy("doc", "copy").agg(
-        F.collect_list(F.struct("begin", "past")).alias("spans")
-    )
 
 
 def _united(covered: DataFrame) -> DataFrame:
@@ -471,6 +543,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 removed = _removed(raw, spans, whole)
                 texts.append(_kept(raw, removed).decode("utf-8", "ignore") if removed else text)
             yield frame.assign(text=texts)[["doc_id", "text", "rest"]]
+        give_back()
 
     changed = found.mapInPandas(run, schema).unionByName(nothing)
     picked = [
