@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from scholion.llm.common import worker_cache
 from scholion.llm.ranking import numbered, with_row
+from scholion.session import persist_shared
 
 BUCKETS = 10_000
 LONGEST = 1
@@ -193,15 +194,14 @@ def bucket_gains(
         for side, name in ((source, "s"), (target, "t"))
     ]
     every = source.sparkSession.range(buckets).select(F.col("id").alias("bucket"))
-    both = every.join(sides[0], "bucket", "left").join(sides[1], "bucket", "left").na.fill(0)
-    totals = both.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t")).withColumn("one", F.lit(1))
-    d = lambda c: F.col(c).cast("double")
-    ratio = (d("t") + 1) * (d("all_s") + buckets) / ((d("s") + 1) * (d("all_t") + buckets))
-    return (
-        both.withColumn("one", F.lit(1))
-        .join(F.broadcast(totals), "one")
-        .select("bucket", "s", "t", F.floor(1000 * F.ln(ratio)).cast("bigint").alias("gain"))
+    # Stored, as the totals are taken from it, too: texts are counted once.
+    both = persist_shared(
+        every.join(sides[0], "bucket", "left").join(sides[1], "bucket", "left").na.fill(0), "buckets"
     )
+    total = lambda c: both.agg(F.sum(c).cast("double")).scalar()
+    d = lambda c: F.col(c).cast("double")
+    ratio = (d("t") + 1) * (total("s") + buckets) / ((d("s") + 1) * (total("t") + buckets))
+    return both.select("bucket", "s", "t", F.floor(1000 * F.ln(ratio)).cast("bigint").alias("gain"))
 
 
 def weigh(docs: DataFrame, gains: list[int], longest: int = LONGEST) -> DataFrame:

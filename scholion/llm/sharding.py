@@ -138,12 +138,10 @@ def plan(rows: DataFrame, circle: DataFrame, shards: int, slack: float = 0.0) ->
     bound = lambda s: F.when(s < rest, each + 1).otherwise(each)
     if slack:
         bound = lambda s: F.ceil(F.col("total") * (1 + slack) / shards)
-    # Both sides are one row of a size that shards and replicas fix; stored, lest a lambda compute it anew.
+    # One row of a size that shards and replicas fix; stored, lest a lambda compute it anew.
     one = persist_shared(
-        circle.withColumn("one", F.lit(1))
-        .join(F.broadcast(listed.withColumn("one", F.lit(1))), "one")
-        .select(
-            "ask",
+        listed.select(
+            circle.select("ask").scalar().alias("ask"),
             "waiting",
             F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), bound).alias("bound"),
         ),
