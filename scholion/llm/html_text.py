@@ -37,6 +37,16 @@ MARKS = frozenset(
     "reply respond rss search share sharing shoutbox sidebar signup social sponsor sponsored subscribe "
     "subscription tags toolbar widget widgets alert alertdialog complementary".split()
 )
+# Words of MARKS that also name parts of a text: kept in its flow if they are no links and no controls,
+# those of the second line if they are long as well.
+SAID = frozenset("discussion search related remark reply alert".split())
+SAID_IF_LONG = frozenset(
+    "banner comment menu menus navigation notice notices overlay promotion recommendations recommended share "
+    "sharing social sponsor subscription tags toolbar".split()
+)
+LONG = 200
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTROLS = frozenset("form input select textarea button".split())
 LAYOUT = frozenset("has with no without".split())
 HEADER = frozenset("header head topbar".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd dt h1 h2 h3 h4 h5 h6 figcaption div section".split())
@@ -58,13 +68,17 @@ NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "points", "chars", "linked", "has_main", "is_page", "is_most")
+    __slots__ = (
+        "tag", "attributes", "parent", "children", "points", "chars", "linked", "has_main", "is_page", "is_most",
+        "raw", "raw_linked", "controls",
+    )
 
     def __init__(self, tag: str, attributes: str = "", parent: Node | None = None):
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Node | str] = []
         self.points = 0.0
-        self.chars = self.linked = 0
+        self.chars = self.linked = self.raw = self.raw_linked = 0
+        self.controls = False
         self.has_main = self.is_page = self.is_most = False
 
 
@@ -133,6 +147,7 @@ def _marked(node: Node, in_article: bool) -> bool:
         return not in_article
     if not node.attributes or node.tag in ("html", "body", "main") or node.has_main:
         return False
+    words: set[str] = set()
     for name, value in ATTRIBUTE.findall(node.attributes):
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and "true" in value:
@@ -145,9 +160,23 @@ def _marked(node: Node, in_article: bool) -> bool:
                 # "has-sidebar" names the layout that the element holds, not the element.
                 if not parts or parts[0] in LAYOUT:
                     continue
-                if MARKS.intersection(parts) or not in_article and HEADER.intersection(parts):
-                    return not node.is_page
-    return False
+                words.update(MARKS.intersection(parts))
+                if not in_article:
+                    words.update(HEADER.intersection(parts))
+    # A heading goes only with the element that it heads.
+    if not words or node.is_page or node.tag in HEADINGS:
+        return False
+    return not _is_said(node, words, in_article)
+
+
+def _is_said(node: Node, words: set[str], in_article: bool) -> bool:
+    """True if the words that mark an element may as well name a part of the text that it stands in."""
+    if not words <= SAID and not (words <= SAID | SAID_IF_LONG and node.raw >= LONG):
+        return False
+    if node.controls or node.raw_linked * 10 >= node.raw * 3:
+        return False
+    beside = [c.tag for c in node.parent.children if isinstance(c, Node)] if node.parent else []
+    return in_article or "h1" in beside or beside.count("p") > 1
 
 
 def _find_main(root: Node) -> None:
@@ -157,12 +186,18 @@ def _find_main(root: Node) -> None:
         node = stack.pop()
         nodes.append(node)
         stack.extend(c for c in node.children if isinstance(c, Node) and (c.tag == "form" or c.tag not in DROPPED))
+        node.controls = any(isinstance(c, Node) and c.tag in CONTROLS for c in node.children)
     size = {id(n): sum(len(c) for c in n.children if isinstance(c, str)) for n in nodes}
     headed: set[int] = set()
     for node in reversed(nodes):
         up = node.parent
+        node.raw = size[id(node)]
+        if node.tag == "a":
+            node.raw_linked = node.raw
         if up is None:
             continue
+        up.raw_linked += node.raw_linked
+        up.controls |= node.controls
         size[id(up)] += size[id(node)]
         up.has_main |= node.has_main or node.tag in ("article", "main")
         if node.tag == "h1" or id(node) in headed:
@@ -228,28 +263,50 @@ def _container(nodes: list[Node]) -> Node | None:
             best, most = node, points
     if best is None:
         return next((n for n in nodes if n.tag == "body" and n.chars), nodes[0])
-    # The article that the container is a part of is the container.
+    # The main element, else the article, that the container is a part of is the container.
     up, article, main = best, None, None
     while up is not None:
         article = up if up.tag == "article" else article
         main = up if up.tag == "main" else main
         up = up.parent
-    return article or main or best
+    return main or article or best
+
+
+def _without_links(container: Node) -> None:
+    """Take out of a main element what is little but links and stands outside its articles."""
+    stack = [container]
+    while stack:
+        node = stack.pop()
+        node.children = [
+            c
+            for c in node.children
+            if isinstance(c, str) or c.tag not in BLOCK or c.tag in HEADINGS or _density(c) < 0.5 or not c.linked
+        ]
+        stack.extend(c for c in node.children if isinstance(c, Node) and c.tag in ("div", "section"))
 
 
 def _with_siblings(container: Node) -> list[Node | str]:
+    """The container and what belongs to it beside it: headings, bare text, articles and good blocks."""
     parent = container.parent
-    if parent is None:
+    if container.tag == "main":
+        _without_links(container)
+    if parent is None or container.tag == "main":
         return [container]
     least = max(container.points * (1 - _density(container)) * 0.2, 3)
     kept: list[Node | str] = []
     for child in parent.children:
         if isinstance(child, str):
+            kept.append(child)
             continue
         long_text = child.tag in ("p", "pre", "blockquote") and child.chars >= 80 and _density(child) < 0.25
         same = child.points * (1 - _density(child)) >= least and _density(child) < 0.5
-        if child is container or long_text or same:
+        own = (child.tag in HEADINGS or child.tag == "article") and _density(child) < 0.5
+        inline = child.tag not in BLOCK and parent.tag != "body" and _density(child) < 0.5
+        if child is container or long_text or same or own or inline:
             kept.append(child)
+        elif child.tag in BLOCK:
+            # What is left out still parts the texts before and after it.
+            kept.append(Node("hr"))
     return kept
 
 
