@@ -27,11 +27,13 @@ UNKNOWN = "und"
 BUCKETS = 1 << 15
 WIDTH = 12
 GRAMS = (1, 2, 3, 4)
-#: The bound of the training sample: rows of each language, and languages.
+#: The bounds of the training sample: rows of each language, languages, and subwords of a row.
 SAMPLE_PER_LANGUAGE = 600
 MAX_LANGUAGES = 200
-FEATURES_PER_ROW = 3000
+FEATURES_PER_ROW = 3000  # a training row's subwords; predictions use all
 CACHED_WORDS = 800_000
+STEP_LETTERS = 100_000
+WHOLE = 40
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -41,30 +43,59 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash buckets of the words' subwords, one row for each letter and kind of subword.
+def subwords(pieces: list[tuple[str, bool, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash buckets of the subwords of pieces of words, one row for each letter and kind of subword.
 
-    Returns buckets (kinds x letters), which of them are real, and where each word starts. The kinds
-    are the n-grams from a letter on and, at its first letter, the word as a whole.
+    A piece is (letters, is the word's first, is its last). Returns buckets (kinds x letters), which of
+    them are real, and where each piece starts. The kinds are the n-grams from a letter on and, at its
+    first letter, the word as a whole, if it is one piece of at most WHOLE letters. The last letters of a
+    piece that is not the last only lead into the next one: no n-gram starts there.
     """
-    marked = [f"<{w if len(w) <= 40 else w[:20] + w[-20:]}>" for w in words]
+    marked = [f"{'<' * first}{w}{'>' * last}" for w, first, last in pieces]
     letters = np.frombuffer("".join(marked).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     sizes = np.array([len(m) for m in marked])
     starts = np.cumsum(sizes) - sizes
     place = np.arange(len(letters)) - np.repeat(starts, sizes)
     left = np.repeat(sizes, sizes) - place
+    own = left > np.repeat([0 if last else max(GRAMS) - 1 for _, _, last in pieces], sizes)
     hashes, real = [], []
     gram = np.zeros(len(letters), dtype=np.uint64)
     for n in range(1, max(GRAMS) + 1):
         ahead = np.concatenate([letters[n - 1 :], np.zeros(n - 1, dtype=np.uint64)])
         gram = _mix(gram * np.uint64(0x9E3779B97F4A7C15) + ahead)
         if n in GRAMS:
-            hashes.append(gram)
-            real.append(left >= n)
+            hashes.append(gram % np.uint64(BUCKETS))
+            real.append((left >= n) & own)
     whole = np.add.reduceat(_mix(letters * np.uint64(64) + place.astype(np.uint64)), starts)
-    hashes.append(np.repeat(_mix(whole), sizes))
-    real.append(place == 0)
-    return (np.stack(hashes) % np.uint64(BUCKETS)).astype(np.int64), np.stack(real), starts
+    hashes.append(np.repeat(_mix(whole) % np.uint64(BUCKETS), sizes))
+    short = [first and last and len(w) <= WHOLE for w, first, last in pieces]
+    real.append((place == 0) & np.repeat(short, sizes))
+    return np.stack(hashes).astype(np.int32), np.stack(real), starts
+
+
+def steps(words: list[str], limit: int = STEP_LETTERS) -> Iterator[tuple[np.ndarray, list]]:
+    """All letters of the words in pieces of bounded size, a bounded number of letters at a time.
+
+    Gives the numbers of the words that the pieces belong to, and the pieces. A run of letters longer than
+    `limit` (a text without blanks) comes in several pieces, so that its n-grams are those of the whole.
+    """
+    held, total = [], 0
+    for k, word in enumerate(words):
+        at = 0
+        while at == 0 or at < len(word):
+            # What would be too short to lead on is part of the piece before it.
+            last = at + limit + max(GRAMS) - 1 >= len(word)
+            piece = word[at:] if last else word[at : at + limit + max(GRAMS) - 1]
+            held.append((k, (piece, at == 0, last)))
+            total += len(piece)
+            at += limit
+            if total >= limit:
+                yield np.array([k for k, _ in held]), [p for _, p in held]
+                held, total = [], 0
+            if last:
+                break
+    if held:
+        yield np.array([k for k, _ in held]), [p for _, p in held]
 
 
 def words_of(text: str) -> list[str]:
@@ -96,19 +127,33 @@ def _counts(text: str) -> tuple[np.ndarray, np.ndarray]:
         words[w] = words.get(w, 0) + 1
     if not words:
         return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.float32)
-    buckets, real, starts = subwords(list(words))
-    times = np.array(list(words.values())) / np.add.reduceat(real.sum(axis=0), starts)
-    letters = np.diff(np.append(starts, real.shape[1]))
-    weight = np.broadcast_to(np.repeat(times, letters), real.shape)
-    total = np.bincount(buckets[real], weights=weight[real], minlength=BUCKETS)
+    count = np.zeros(len(words))
+    total = np.zeros(BUCKETS)
+    times = np.array(list(words.values()), dtype=float)
+    # A word's subwords share its weight, so their number is needed first.
+    for own, pieces in steps(list(words)):
+        _, real, starts = subwords(pieces)
+        np.add.at(count, own, np.add.reduceat(real.sum(axis=0), starts))
+    share = times / count
+    for own, pieces in steps(list(words)):
+        buckets, real, starts = subwords(pieces)
+        letters = np.diff(np.append(starts, real.shape[1]))
+        weight = np.broadcast_to(np.repeat(share[own], letters), real.shape)
+        total += np.bincount(buckets[real], weights=weight[real], minlength=BUCKETS)
     top = np.argsort(-total, kind="stable")[:FEATURES_PER_ROW]
     top = top[total[top] > 0]
     return top.astype(np.int32), (total[top] / total[top].sum()).astype(np.float32)
 
 
 def training_rows(rows: DataFrame, ids: str, text: str, lang: str, per_language: int) -> pd.DataFrame:
-    """Feature rows of the sample: at most per_language rows of each language reach the driver."""
+    """Feature rows of the sample: at most per_language rows of each language reach the driver.
+
+    Of more than MAX_LANGUAGES languages those with most rows are learnt, ties by name.
+    """
     labelled = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    most = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES + 1).collect()
+    if len(most) > MAX_LANGUAGES:
+        labelled = labelled.where(F.col(lang).isin([r[0] for r in most[:MAX_LANGUAGES]]))
     chosen = stratified(labelled, ids, lang, per_language)
     texts = labelled.select(ids, lang, text).join(
         small_side(chosen, MAX_LANGUAGES * per_language), [ids, lang], "left_semi"
@@ -131,8 +176,6 @@ def train(rows: pd.DataFrame, epochs: int = 12, rate: float = 4.0, seed: int = 7
     if rows.empty:
         return None
     languages = sorted(rows["lang"].unique())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     rng = np.random.default_rng(seed)
     model = Model(
         languages,
@@ -201,16 +244,19 @@ class WordLogits:
         while len(self.table) < first + len(new):
             self.table = np.vstack([self.table, np.zeros_like(self.table)])
         self.row.update(zip(new, range(first, first + len(new)), strict=True))
-        step = max(1, 100_000 // self.buckets.shape[1])
-        for at in range(0, len(new), step):
-            buckets, real, starts = subwords(new[at : at + step])
+        if not new:
+            return
+        count = np.zeros(len(new))
+        table = self.table[first : first + len(new)]
+        table[:] = 0
+        for own, pieces in steps(new, max(10_000, 4 * STEP_LETTERS // self.buckets.shape[1])):
+            buckets, real, starts = subwords(pieces)
             total = np.zeros((real.shape[1], self.buckets.shape[1]), dtype=np.float32)
             for kind, here in zip(buckets, real, strict=True):
                 total += self.buckets[kind] * here[:, None]
-            count = np.add.reduceat(real.sum(axis=0), starts)
-            self.table[first + at : first + at + len(starts)] = (
-                np.add.reduceat(total, starts, axis=0) / count[:, None]
-            )
+            np.add.at(table, own, np.add.reduceat(total, starts, axis=0))
+            np.add.at(count, own, np.add.reduceat(real.sum(axis=0), starts))
+        table /= count[:, None]
 
     def mean(self, words: list[str]) -> np.ndarray:
         rows = np.fromiter(map(self.row.__getitem__, words), dtype=np.int64, count=len(words))
@@ -223,11 +269,11 @@ class WordLogits:
 def predict(
     rows: DataFrame, model: Model | None, ids: str = "doc_id", text: str = "text", reject: bool = True
 ) -> DataFrame:
-    """ids, lang_pred, score of each row's whole text.
+    """ids, lang_pred, score, rejected of each row's whole text.
 
-    A null text, or one without a letter, is `und` with score 0; so is every text if there is no
-    model. With reject, so is a text whose calibrated score is below the model's threshold (it keeps
-    its score). Ties go to the first language in order. Repeated rows keep their rows.
+    A null text, or one without a letter, is `und` with score 0 and rejected; so is every text if there
+    is no model. rejected says that the calibrated score is below the model's threshold; with reject, such
+    a text is `und`, too (it keeps its score). Ties go to the first language in order. Repeated rows keep their rows.
     """
     version = uuid.uuid4().hex
     shared = rows.sparkSession.sparkContext.broadcast(model and vars(model))
@@ -236,7 +282,7 @@ def predict(
         fitted = shared.value and Model(**shared.value)
         known = fitted and worker_cache("language_logits", version, lambda: WordLogits(fitted))
         for frame in frames:
-            out_lang, out_score = [], []
+            out_lang, out_score, out_rejected = [], [], []
             for at in range(0, len(frame), 200):
                 said = [words_of(t) if t and fitted else [] for t in frame[text].iloc[at : at + 200]]
                 if any(said):
@@ -245,16 +291,22 @@ def predict(
                     if not words:
                         out_lang.append(UNKNOWN)
                         out_score.append(0.0)
+                        out_rejected.append(True)
                         continue
                     p = _softmax((known.mean(words) + fitted.bias)[None, :] / fitted.temperature)[0]
                     best = int(p.argmax())
-                    rejected = reject and p[best] < fitted.reject_below
-                    out_lang.append(UNKNOWN if rejected else fitted.languages[best])
+                    rejected = bool(p[best] < fitted.reject_below)
+                    out_lang.append(UNKNOWN if reject and rejected else fitted.languages[best])
                     out_score.append(float(p[best]))
-            yield pd.DataFrame({ids: frame[ids], "lang_pred": out_lang, "score": out_score})
+                    out_rejected.append(rejected)
+            yield pd.DataFrame(
+                {ids: frame[ids], "lang_pred": out_lang, "score": out_score, "rejected": out_rejected}
+            )
 
-    slim = rows.select(ids, text)
-    return even(slim).mapInPandas(run, f"`{ids}` bigint, lang_pred string, score double")
+    # Ids travel as texts, as a null among whole numbers would make them all doubles.
+    slim = rows.select(F.col(ids).cast("string"), text)
+    found = even(slim).mapInPandas(run, f"`{ids}` string, lang_pred string, score double, rejected boolean")
+    return found.withColumn(ids, F.col(ids).cast("bigint"))
 
 
 def identify(

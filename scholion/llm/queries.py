@@ -48,7 +48,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language_id.identify(docs.select("doc_id", "text"), docs.where(bucket("doc_id", 3) != 1))
-    return found.select("doc_id", (bucket("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", (bucket("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
