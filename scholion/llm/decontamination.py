@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholion.llm.common import even, worker_cache
+from scholion.llm.common import even, give_back, worker_cache
 from scholion.session import persist_shared
 
 K1, B = 1.2, 0.75
@@ -71,7 +71,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], whole: tuple[int, float, int, dict[str, int]] | None = None):
         bags = [Counter(words_of(t)) for _, t in items]
         # Items of one language stand together, so a block's maxima say something about it.
-        order = sorted(range(len(items)), key=lambda i: ([w for w, _ in bags[i].most_common(2)], items[i][0]))
+        order = sorted(range(len(items)), key=lambda i: ([w for w, _ in bags[i].most_common(2)], str(items[i][0])))
         self.ids = [items[i][0] for i in order]
         bags = [bags[i] for i in order]
         lengths = [max(sum(b.values()), 1) for b in bags]
@@ -181,12 +181,12 @@ def overlap(part: set, held: set) -> float:
 
 
 SCHEMA = (
-    "doc_id bigint, item_id bigint, passage bigint, score double, question_overlap double, answer_overlap double"
+    "doc_id string, item_id string, passage bigint, score double, question_overlap double, answer_overlap double"
 )
 
 
 def _leaks(
-    docs: DataFrame, items: list[tuple[int, str]], whole: tuple | None, score_share: float, overlap_share: float
+    docs: DataFrame, items: list[tuple[str | None, str]], whole: tuple | None, score_share: float, overlap_share: float
 ) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((items, whole))
     version = f"{hash((tuple(items), whole and (*whole[:3], tuple(sorted(whole[3].items())))))}"
@@ -209,8 +209,11 @@ def _leaks(
                     if q >= overlap_share and a >= overlap_share:
                         rows.append((doc_id, index.ids[item], passage, score, q, a))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+        give_back()
 
-    return docs.mapInPandas(run, SCHEMA)
+    # Ids travel as texts, as a null among whole numbers would make them all doubles.
+    found = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, SCHEMA)
+    return found.withColumns({c: F.col(c).cast("bigint") for c in ("doc_id", "item_id")})
 
 
 def _held(words: list[str], parts: list, found: dict) -> set:
@@ -256,9 +259,10 @@ def find_leaks(
     """doc_id, item_id, passage, score and overlaps of each item that a document holds.
 
     docs holds doc_id and text, benchmark item_id and text; other columns are ignored. Null and empty
-    documents hold nothing; items that are null or have no word are never held; repeated rows each
-    give their rows; repeated items count once for each different text. An empty side gives an empty
-    result. Beyond items_per_index items the benchmark is dealt over several indexes, which give the same
+    documents hold nothing; items that are null or have no word are never held; an item without an id
+    is held under a null item_id, a document without one under a null doc_id; repeated rows each give
+    their rows; repeated items count once for each different text. An empty side gives an empty result.
+    Beyond items_per_index items the benchmark is dealt over several indexes, which give the same
     rows and scores as one.
     """
     slim = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
@@ -272,7 +276,9 @@ def find_leaks(
     out = None
     for k in range(rounds):
         part = numbered.where(F.col("part") == k)
-        items = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in part.collect())
+        listed = [(r["item_id"], r["text"]) for r in part.collect()]
+        listed.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        items = [(None if i is None else str(i), t) for i, t in listed]
         whole = None
         if held is not None:
             whole = (*over_all, {r["word"]: r["df"] for r in held.where(F.col("part") == k).collect()})
