@@ -31,6 +31,21 @@ def worker_cache(key: str, version: str, make):
     return held[1]
 
 
+def give_back() -> None:
+    """Hand free memory back to the system, at the end of a task.
+
+    Reused workers stay alive between tasks, and what they keep counts towards their executor's limit.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def bucket(column: str, modulus: int, salt: str = ""):
     """crc32 of the id as text, modulo a number: the fold of a row."""
     text = F.col(f"`{column}`").cast("string")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholion.llm.common import even, worker_cache
+from scholion.llm.common import even, give_back, worker_cache
 from scholion.llm.components import components
 from scholion.session import persist_shared, small_side, stored_result
 
@@ -145,6 +145,7 @@ def signed_documents(docs: DataFrame, width: int) -> DataFrame:
                         "signature": marks,
                     }
                 )
+        give_back()
 
     schema = "doc_id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>, signature binary"
     return even(docs.select("doc_id", "text")).mapInPandas(run, schema)

@@ -14,11 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholion.llm.common import even
+from scholion.llm.common import even, give_back
 from scholion.llm.sampling import stratified
 
 PASSAGE_BYTES = 400
@@ -217,15 +218,19 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     schema = T.StructType([*kept.schema.fields, *added.fields])
     shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value and Model(**shared.value)
-        for frame in frames:
-            scores = np.full(len(frame), 0.5)
+        for batch in batches:
+            scores = np.full(len(batch), 0.5)
             if fitted is not None:
-                for at in range(0, len(frame), 64):
-                    cuts = [passages((t or "").encode()) for t in frame["text"].iloc[at : at + 64]]
+                # Columns pass through as they are; only a few texts at a time become Python strings.
+                text = batch.column("text")
+                for at in range(0, len(batch), 64):
+                    cuts = [passages((t or "").encode()) for t in text.slice(at, 64).to_pylist()]
                     x = encode([c for bag in cuts for c in bag])
                     scores[at : at + 64] = forward(fitted, x, np.array([len(c) for c in cuts]))[0]
-            yield frame.assign(score=scores, predicted=(scores >= threshold).astype("int32"))
+            predicted = (scores >= threshold).astype(np.int32)
+            yield batch.append_column("score", pa.array(scores)).append_column("predicted", pa.array(predicted))
+        give_back()
 
-    return even(kept).mapInPandas(run, schema)
+    return even(kept).mapInArrow(run, schema)
