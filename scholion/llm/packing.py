@@ -13,31 +13,52 @@ import math
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholion.llm.common import even, worker_cache
+from scholion.llm.common import even, give_back, worker_cache
 from scholion.session import persist_shared
 
 CAPACITY = 4096
 RESIDUE = 8
 ITEMS_PER_TASK = 40_000
-CACHED_WORDS = 500_000
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+CACHED_WORDS = 1_000_000
+CACHED_STRETCHES = 300_000
+WORDS_A_CALL = 500
+# The ASCII marks but for the apostrophe.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+PIECES = "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint"
 PLACED = f"{PIECES}, bin bigint, offset bigint, full boolean"
 
 
 # ---- token pieces ------------------------------------------------------------------------
 
 
+def split_word(word: str) -> tuple[str, str]:
+    """A word as the vocabulary sees it and the ASCII marks behind it, which are tokens of their own.
+
+    Only where both parts have the ids that they have together: behind a letter or digit, and never at an
+    apostrophe, which may belong to the letters after it. ASCII capitals are lower-cased, as the vocabulary
+    does. A word that may hold a special token's string stays as it is.
+    """
+    if "<|" in word:
+        return word, ""
+    core = word.rstrip(MARKS)
+    # Of other letters than these, some end in a combining mark once they are normalised.
+    if not core or not core[-1].isalnum() or core[-1] > "ſ" or core[-1] == "İ":
+        core = word
+    return (core.lower() if core.isascii() else core), word[len(core) :]
+
+
 class WordIds(dict):
     """Ids (little-endian 32-bit) of each stretch between blanks, as the library gives them.
 
     The vocabulary drops white space and no token crosses it, so a text's ids are those of its
-    stretches, one after the other.
+    stretches, one after the other. Stretches that differ in marks and capitals share their words' ids.
     """
 
     def __init__(self, vocabulary: str):
@@ -45,18 +66,35 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self[""] = b""
-        self.encode = Tokenizer.from_file(vocabulary).encode_batch
+        self.parts: dict[str, bytes] = {}
+        self.library = Tokenizer.from_file(vocabulary)
 
     def learn(self, words: set[str]) -> None:
-        if len(self) > CACHED_WORDS:
+        if len(self) > CACHED_STRETCHES:
             self.clear()
-            self[""] = b""
-        new = [w for w in words if w not in self]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, got in zip(part, self.encode(part, add_special_tokens=False), strict=True):
-                self[word] = np.asarray(got.ids, dtype="<u4").tobytes()
+        if len(self.parts) > CACHED_WORDS:
+            self.parts.clear()
+        ids = self.parts
+        ids[""] = b""
+        new = list(words.difference(self))
+        # Most words are letters alone: there is nothing to split.
+        split = [(w.lower() if w.isascii() else w, "") if w.isalpha() else split_word(w) for w in new]
+        missing = set(chain.from_iterable(split)).difference(ids)
+        plain = [w for w in missing if "<|" not in w]
+        for at in range(0, len(plain), WORDS_A_CALL):
+            ids.update(self.encoded(plain[at : at + WORDS_A_CALL]))
+        for word in missing.difference(plain):
+            ids.update(self.encoded([word]))
+        self.update(zip(new, [ids[core] + ids[marks] if marks else ids[core] for core, marks in split], strict=True))
+
+    def encoded(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word and its ids, from one call: a blank parts the words, and tokens tell where they begin."""
+        found = self.library.encode(" ".join(words), add_special_tokens=False)
+        begins = np.fromiter((b for b, _ in found.offsets), dtype=np.int64)
+        past = np.cumsum(np.fromiter(map(len, words), dtype=np.int64) + 1)
+        cuts = (4 * np.searchsorted(begins, past)).tolist()
+        raw = np.asarray(found.ids, dtype="<u4").tobytes()
+        return zip(words, (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True)
 
 
 def words_of(text: str) -> list[str]:
@@ -71,7 +109,8 @@ def token_pieces(
     A document is its text's ids and then end_id; null counts as empty, so each row gives at least
     one piece. Only a longer document is cut, its last piece may be shorter.
     """
-    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Ids travel as texts, as a null among whole numbers would make them all doubles.
+    slim = docs.select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,8 +127,13 @@ def token_pieces(
                         cut = ids[4 * start : 4 * (start + capacity)]
                         rows.append((doc_id, k, start, len(cut) // 4, zlib.crc32(cut)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
+
+    return _numbered(even(slim).mapInPandas(run, PIECES))
+
 
-    return even(slim).mapInPandas(run, PIECES)
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 # ---- packing -----------------------------------------------------------------------------
@@ -196,8 +240,9 @@ def pack(
     Rounds end when all items fit one task and were packed there, or when a round saved under one
     bin in a thousand; bins that are left are emitted as they are.
     """
+    named = pieces.withColumn("doc_id", F.col("doc_id").cast("string"))
     placed = persist_shared(
-        pieces.mapInPandas(_local(capacity, residue, items_per_task), PLACED), "packed"
+        named.mapInPandas(_local(capacity, residue, items_per_task), PLACED), "packed"
     )
     done = placed.where("full")
     rest = placed.where("not full")
@@ -218,7 +263,7 @@ def pack(
         after = merged.agg(F.countDistinct("bin")).first()[0]
         if tasks == 1 or after > bins * 0.999:
             break
-    return done.unionByName(rest).select(
+    return _numbered(done.unionByName(rest)).select(
         "doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset"
     )
 
