@@ -104,14 +104,19 @@ def fold(term: Column, conf: str) -> Column:
 
 def kept_tokens(c, conf: str = "english") -> Column:
     """Lower-cased word tokens without the stop words of the configuration, not yet folded."""
-    if conf not in ("simple", "stop", "english"):
+    if conf not in ("simple", "stop", "english", "stem"):
         raise ValueError(f"unknown text configuration {conf!r}")
     tokens = F.regexp_extract_all(F.lower(c), F.lit(LEXEME), F.lit(0))
     return tokens if conf == "simple" else F.filter(tokens, lambda t: ~t.isin(STOP_WORDS))
 
 
 def lexemes(c, conf: str = "english") -> Column:
-    """Lower-cased word tokens; 'stop' drops stop words, 'english' also folds plurals."""
+    """Lower-cased word tokens; 'stop' drops stop words, 'english' also folds plurals.
+
+    'stem' needs a table of words (operators.vocabulary), so it cannot be had from a single column.
+    """
+    if conf == "stem":
+        raise ValueError("stems are joined, see operators.vocabulary")
     kept = kept_tokens(c, conf)
     return F.transform(kept, lambda t: fold(t, conf)) if conf == "english" else kept
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from scholion.functions.text import fold, kept_tokens, lexemes
 from scholion.operators.asked import Asked, ask, page_of
 from scholion.operators.filters import filter_predicate, visible_side, with_filter_columns
-from scholion.session import persist_shared
+from scholion.operators.vocabulary import stem_table, stemmed
+from scholion.session import persist_shared, small_side
 
 # BM25 parameters (Robertson & Zaragoza 2009).
 K1, B = 1.2, 0.75
@@ -22,6 +23,8 @@ TERM_BUCKETS = 256
 
 def query_terms(queries: DataFrame, conf: str = "english") -> DataFrame:
     """(query_id, term), distinct; a query without lexemes gives no row and matches nothing."""
+    if conf == "stem":
+        return stemmed(query_terms(queries, "stop")).distinct()
     found = F.array_distinct(lexemes(F.coalesce("query_text", F.lit("")), conf))
     return queries.select("query_id", F.explode_outer(found).alias("term")).where(
         F.col("term").isNotNull()
@@ -53,10 +56,18 @@ def _counted(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("chunk_id", "document_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def _summed(words: DataFrame) -> DataFrame:
+    """Postings of stems from those of words."""
+    return words.groupBy("chunk_id", "document_id", "dl", "term").agg(F.sum("tf").alias("tf"))
+
+
 def build_postings(
     chunks: DataFrame, conf: str = "english", text_col: str = "content", length_col: str | None = None
 ) -> DataFrame:
     """term, chunk_id, document_id, tf, dl. Counts combine in the task that read the chunk."""
+    if conf == "stem":
+        words = persist_shared(build_postings(chunks, "stop", text_col, length_col), "words")
+        return _summed(stemmed(words))
     return _counted(term_stream(chunks, conf, text_col, length_col))
 
 
@@ -156,7 +167,15 @@ def keyword_matches(
     seen = visible_side(docs) if seen is None else seen
     terms = query_terms(asked.queries, conf)
     vocabulary = terms.select("term").distinct()
-    if postings is None and asked.frame is not None:
+    if postings is None and conf == "stem":
+        # Of all distinct words, those with a stem that is asked for; only they are counted.
+        kept = term_stream(chunks, "stop", text_col, length_col)
+        table = persist_shared(
+            stem_table(kept).join(hint(vocabulary.withColumnRenamed("term", "stem")), "stem", "left_semi"), "stems"
+        )
+        wanted = small_side(table.select("term"))
+        found = _summed(stemmed(_counted(kept.join(wanted, "term", "left_semi")), table))
+    elif postings is None and asked.frame is not None:
         found, lengths = _scanned(chunks, vocabulary, conf, text_col, length_col)
     elif postings is None:
         tokens = term_stream(chunks, conf, text_col, length_col)
