@@ -11,7 +11,7 @@ from scholion.plans.base import Registry, rounded, strip_sql, table, words_sql
 from scholion.plans.parsing import GOOD, article_xml
 from scholion.plans.search import TITLE_SQL
 from scholion.session import scratch_path
-from scholion.streaming import ingest
+from scholion.streaming import alarms, ingest
 from scholion.streaming import traffic as stt
 from scholion.streaming.run import drain, read_table_stream
 
@@ -35,6 +35,63 @@ def j7_stream(spark, sf):
     return out.select("queue", F.unix_seconds("period_start").alias("period"), rounded("total"))
 
 
+@R.add(
+    "j7_alarm_stream",
+    f"""WITH w AS (SELECT * FROM ({PERIODS_SQL}) WHERE (p + 1) * {PERIOD_S * 1_000_000} <= (SELECT epoch_us(max(ts)) - 300000000 FROM events)),
+    o AS (SELECT *, lag(p, 2) OVER (ORDER BY p) AS far FROM w WHERE queue = 'view' AND mean > 10)
+    SELECT 'dead_letters' AS alarm, queue, p * {PERIOD_S} AS period, round(total, 6) AS value FROM w WHERE queue = 'error' AND total > 120
+    UNION ALL SELECT 'backlog', queue, p * {PERIOD_S}, round(mean, 6) FROM o WHERE far = p - 2""",
+)
+def j7_alarms(spark, sf):
+    """The alarms of all closed periods, raised by timers of the stream."""
+    q = events(spark, sf).select("ts", F.col("event_type").alias("queue"), F.col("value").alias("visible"))
+    out = drain(alarms.alarm_stream(q, "error", "view", PERIOD_S, 120, 10), "alarms")
+    start = F.unix_seconds(F.col("period_start").cast("timestamp"))
+    return out.select("alarm", "queue", start.alias("period"), rounded("value"))
+
+
+TRIES, BACKOFF_S = 3, 3600
+
+
+@R.add(
+    "j5_retry_stream",
+    f"""WITH l AS (
+      SELECT 'j' || user_id % 20 AS job_id, {{'at': epoch_us(ts), 's': CASE event_id % 11 WHEN 0 THEN 'completed' WHEN 1 THEN 'pending'
+          WHEN 2 THEN 'processing' ELSE 'failed' END, 'e': event_type, 'f': 0, 'due': NULL::BIGINT,
+          'out': []::STRUCT(action VARCHAR, attempt INTEGER, due BIGINT, error VARCHAR)[]}} AS x, ts, event_id FROM events),
+    j AS (SELECT job_id, list(x ORDER BY ts, event_id) AS xs FROM l GROUP BY job_id),
+    f AS (SELECT job_id, list_reduce(xs, lambda a, x:
+        CASE WHEN x.s IN ('completed', 'pending') THEN {{'at': x.at, 's': x.s, 'e': NULL::VARCHAR, 'f': 0, 'due': NULL::BIGINT,
+            'out': CASE WHEN a.due <= x.at THEN list_append(a.out, {{'action': 'retry', 'attempt': a.f, 'due': a.due, 'error': a.e}}) ELSE a.out END}}
+          WHEN x.s = 'failed' AND (a.due IS NULL OR a.due <= x.at) AND a.f <= {TRIES} THEN
+            {{'at': x.at, 's': x.s, 'e': x.e, 'f': a.f + 1,
+              'due': CASE WHEN a.f < {TRIES} THEN x.at + {BACKOFF_S * 1_000_000} * CAST(2 ** a.f AS BIGINT) END,
+              'out': list_concat(CASE WHEN a.due <= x.at THEN list_append(a.out, {{'action': 'retry', 'attempt': a.f, 'due': a.due, 'error': a.e}}) ELSE a.out END,
+                CASE WHEN a.f >= {TRIES} THEN [{{'action': 'dead_letter', 'attempt': a.f + 1, 'due': x.at, 'error': x.e}}] ELSE [] END)}}
+          ELSE {{'at': x.at, 's': x.s, 'e': a.e, 'f': a.f, 'due': CASE WHEN a.due > x.at THEN a.due END,
+            'out': CASE WHEN a.due <= x.at THEN list_append(a.out, {{'action': 'retry', 'attempt': a.f, 'due': a.due, 'error': a.e}}) ELSE a.out END}} END,
+        {{'at': 0::BIGINT, 's': '', 'e': NULL::VARCHAR, 'f': 0, 'due': NULL::BIGINT,
+          'out': []::STRUCT(action VARCHAR, attempt INTEGER, due BIGINT, error VARCHAR)[]}}) AS a FROM j),
+    o AS (SELECT job_id, unnest(CASE WHEN a.due <= (SELECT epoch_us(max(ts)) - 60000000 FROM events)
+        THEN list_append(a.out, {{'action': 'retry', 'attempt': a.f, 'due': a.due, 'error': a.e}}) ELSE a.out END) AS r FROM f)
+    SELECT job_id, r.action AS action, r.attempt AS attempt, r.due AS due_us, r.error AS error_message FROM o""",
+)
+def j5_retries(spark, sf):
+    """Twenty jobs' logs with repeated failures, completions and restarts by hand."""
+    i = F.col("event_id")
+    status = (
+        F.when(i % 11 == 0, "completed").when(i % 11 == 1, "pending").when(i % 11 == 2, "processing").otherwise("failed")
+    )
+    log = events(spark, sf).select(
+        F.concat(F.lit("j"), (F.col("user_id") % 20).cast("string")).alias("job_id"), "ts", i.alias("seq"),
+        status.alias("status"), F.col("event_type").alias("error_message"),
+    )
+    out = drain(alarms.retry_stream(log, TRIES, BACKOFF_S), "retries")
+    return out.select(
+        "job_id", "action", "attempt", F.unix_micros(F.col("due_at").cast("timestamp")).alias("due_us"), "error_message"
+    )
+
+
 @R.add("j8_rate_limit_stream", RATE_SQL)
 def j8_stream(spark, sf):
     """The same decisions as the batch form."""
