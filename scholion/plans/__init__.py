@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("search", "questions", "passages", "parsing", "chunks", "tables", "reports", "activity", "streams")
+FAMILIES = (
+    "search", "questions", "passages", "stems", "graph", "parsing", "chunks", "tables", "reports", "activity",
+    "sketches", "streams",
+)
 
 
 def collect() -> tuple[dict, dict]:
