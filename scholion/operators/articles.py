@@ -109,6 +109,17 @@ def plain_cdata(xml: Column) -> Column:
     return F.when(xml.contains("<![CDATA["), F.array_join(parts, "")).otherwise(xml)
 
 
+def plain_markup(xml: Column) -> Column:
+    """A file without comments and with CDATA as escaped text: every tag that is left is one.
+
+    Whichever of the two opens first ends first, so a comment inside CDATA is text.
+    """
+    bare = F.when(
+        xml.contains("<!--"), F.regexp_replace(xml, r"(?s)(<!\[CDATA\[.*?\]\]>)|<!--.*?-->", "$1")
+    ).otherwise(xml)
+    return let(bare, plain_cdata)
+
+
 def text_content(markup: Column) -> Column:
     """All descendant text nodes joined by one blank and trimmed."""
     plain = strip(F.regexp_replace(markup, "(<[^>]+>)+", " "))
@@ -419,9 +430,12 @@ def parse_articles(raw: DataFrame, id_column: str | None = None) -> DataFrame:
     """
     xml = F.make_valid_utf8(F.col("content").cast("string"))
     elements = let(
-        article_elements(xml), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(xml))
+        plain_markup(xml),
+        lambda x: let(
+            article_elements(x), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(x))
+        ),
     )
-    guarded = F.regexp_replace(plain_cdata(F.col("_element")), "(?i)&lt;|&#0*60;|&#x0*3c;", _LT)
+    guarded = F.regexp_replace("_element", "(?i)&lt;|&#0*60;|&#x0*3c;", _LT)
     options = {
         "rowTag": "article",
         "mode": "PERMISSIVE",

@@ -452,3 +452,20 @@ def test_titles_match_alike_on_both_paths(spark, threshold):
         return sorted((r.query_id, r.title, round(r.similarity, 9), r.documents) for r in out)
 
     assert found(ask(queries)) == found(Asked(queries, None))
+
+
+def test_tags_inside_cdata_and_comments_cut_nothing(spark):
+    """What looks like an article's end in CDATA or a comment does not end it; a comment in CDATA is text."""
+    front = "<front><article-meta><title-group><article-title>{}</article-title></title-group></article-meta></front>"
+    files = [
+        ("a", f"<article>{front.format('<![CDATA[A </article> of <!-- words --> & more]]>')}<body><p>x</p></body></article>"),
+        ("b", f"<!-- <article> --><article><!-- </article> <![CDATA[ -->{front.format('B')}<!-- ]]> --></article>"),
+        ("c", f"<set><article>{front.format('C')}</article><!-- <article></article> --><article>{front.format('D')}</article></set>"),
+        ("d", "<article><front></article>"),
+    ]
+    raw = spark.createDataFrame([(k, x.encode()) for k, x in files], "object_key string, content binary")
+    got = {(r.object_key, r.title): r.reason for r in ar.parse_articles(raw).collect()}
+    assert got == {
+        ("a", "A </article> of <!-- words --> & more"): None, ("b", "B"): None, ("c", "C"): None, ("c", "D"): None,
+        ("d", "Untitled"): "not well-formed XML",
+    }
