@@ -13,6 +13,7 @@ from scholion.session import scratch_path
 from scholion.sources import raw as rw
 from scholion.sources import tables as tb
 from scholion.sources.articles import read_articles
+from scholion.sources.current import merge_batch, read_current
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -321,3 +322,22 @@ def j4(spark, sf):
         F.col("doc_id").cast("string").alias("document_id"), F.lit("toxic").alias("error_message")
     )
     return jb.mark_failed(d, bad).select("document_id", "processing_status", "processing_error", "processing_attempts")
+
+
+@R.add(
+    "s9_current_table",
+    """WITH b AS (SELECT user_id, event_id % 4 AS batch, arg_max(event_type, event_id) AS kind, max(event_id) AS last FROM events GROUP BY ALL)
+    SELECT user_id, arg_max(kind, batch) AS kind, arg_max(last, batch) AS last, max(batch) AS batch_id, CAST(count(*) AS INTEGER) AS processing_attempts,
+      min(batch) AS created_at FROM b GROUP BY user_id""",
+)
+def s9_current(spark, sf):
+    """Four batches of users' last events, one of them repeated, merged into a current table."""
+    path, e = scratch_path(spark, "current"), table(spark, sf, "events")
+    for n in (0, 1, 2, 2, 3):
+        rows = e.where(F.col("event_id") % 4 == n).groupBy("user_id").agg(
+            F.max_by("event_type", "event_id").alias("kind"), F.max("event_id").alias("last")
+        )
+        merge_batch(rows, path, "user_id", n, buckets=8)
+    return read_current(spark, path).select(
+        "user_id", "kind", "last", "batch_id", "processing_attempts", "created_at"
+    )

@@ -21,6 +21,7 @@ from scholion.operators import routing as rt
 from scholion.operators.jobs import STEPS
 from scholion.operators.stats import with_quality
 from scholion.session import scratch_path
+from scholion.sources.current import merge_batch, read_current
 from scholion.sources.raw import to_archive
 from scholion.sources.tables import newest_per_key, unique_documents
 
@@ -198,3 +199,18 @@ def current_chunks(spark: SparkSession, base: str) -> DataFrame:
     return read_versions(spark, base, "chunks").join(
         last, ["document_id", "batch_id"], "left_semi"
     )
+
+
+def merge_documents(spark: SparkSession, base: str, batch_id: int) -> bool:
+    """Take a stored batch into the table of current documents; False if it was taken in before.
+
+    To be called after ingest_batch or ingest_pages, batch by batch; stored_documents then reads one version of
+    each document, however many batches there were.
+    """
+    rows = spark.read.parquet(f"{base}/documents/batch_id={batch_id}")
+    return merge_batch(rows, f"{base}/current_documents", "document_id", batch_id)
+
+
+def stored_documents(spark: SparkSession, base: str) -> DataFrame:
+    """What current_documents gives, of the batches that were merged."""
+    return unique_documents(read_current(spark, f"{base}/current_documents"))[0]
