@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ from scholion.session import persist_shared
 CAPACITY = 4096
 RESIDUE = 8
 ITEMS_PER_TASK = 40_000
-CACHED_WORDS = 1_000_000
-CACHED_STRETCHES = 300_000
+CACHED_WORDS = 900_000
+CACHED_STRETCHES = 250_000
 WORDS_A_CALL = 500
 # The ASCII marks but for the apostrophe.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -113,23 +114,32 @@ def token_pieces(
     slim = docs.select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = worker_cache("word_ids", vocabulary, lambda: WordIds(vocabulary))
-        for frame in frames:
-            rows = []
-            for at in range(0, len(frame), 500):
-                part = frame.iloc[at : at + 500]
-                split = [words_of(t) for t in part["text"]]
+        for batch in batches:
+            # Only a few texts at a time become Python strings.
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                split = [words_of(t) for t in part.column("text").to_pylist()]
                 known.learn(set().union(*split))
-                for doc_id, words in zip(part["doc_id"], split, strict=True):
+                rows = []
+                for n, words in enumerate(split):
                     ids = b"".join(map(known.__getitem__, words)) + end
                     for k, start in enumerate(range(0, len(ids) // 4, capacity)):
                         cut = ids[4 * start : 4 * (start + capacity)]
-                        rows.append((doc_id, k, start, len(cut) // 4, zlib.crc32(cut)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                        rows.append((n, k, start, len(cut) // 4, zlib.crc32(cut)))
+                row, piece, start, length, crc = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id").take(pa.array(row)),
+                        pa.array(piece, pa.int32()),
+                        *(pa.array(x, pa.int64()) for x in (start, length, crc)),
+                    ],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
         give_back()
 
-    return _numbered(even(slim).mapInPandas(run, PIECES))
+    return _numbered(even(slim).mapInArrow(run, PIECES))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
