@@ -31,6 +31,13 @@ def worker_cache(key: str, version: str, make):
     return held[1]
 
 
+def forget() -> None:
+    """Drop what operators before have kept in this worker; for tasks that keep nothing themselves."""
+    module = sys.modules.get(CACHE_MODULE)
+    for key in [k for k in vars(module) if not k.startswith("__")] if module else []:
+        delattr(module, key)
+
+
 def give_back() -> None:
     """Hand free memory back to the system, at the end of a task.
 

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ ROWS = 5
 BINS = BANDS * ROWS
 SEED = 11
 BLOCK_ROWS = 1000
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -121,12 +122,13 @@ def _digest(h: np.ndarray) -> tuple[int, int]:
 def signed_documents(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the set, bucket keys and signature of each row."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = worker_cache("word_hashes", "xxh64", WordHashes)
-        for frame in frames:
-            for at in range(0, len(frame), 500):
-                part = frame.iloc[at : at + 500]
-                sets = [shingles(t, width, known) for t in part["text"]]
+        for batch in batches:
+            # Only a few texts at a time become Python strings.
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                sets = [shingles(t, width, known) for t in part.column("text").to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys = [None] * len(sets)
                 marks = [None] * len(sets)
@@ -135,20 +137,21 @@ def signed_documents(docs: DataFrame, width: int) -> DataFrame:
                     for i, s, k in zip(full, signature, band_keys(signature), strict=True):
                         keys[i], marks[i] = k, s.tobytes()
                 digests = [_digest(s) for s in sets]
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"].to_numpy(),
-                        "n": [len(s) for s in sets],
-                        "d1": [d[0] for d in digests],
-                        "d2": [d[1] for d in digests],
-                        "keys": keys,
-                        "signature": marks,
-                    }
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id").cast(pa.int64()),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([d[0] for d in digests], pa.int64()),
+                        pa.array([d[1] for d in digests], pa.int64()),
+                        pa.array(keys, pa.list_(pa.int64())),
+                        pa.array(marks, pa.binary()),
+                    ],
+                    names=["doc_id", "n", "d1", "d2", "keys", "signature"],
                 )
         give_back()
 
     schema = "doc_id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>, signature binary"
-    return even(docs.select("doc_id", "text")).mapInPandas(run, schema)
+    return even(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def slack(n: np.ndarray, percent: int) -> np.ndarray:
@@ -246,6 +249,7 @@ def _open_members(percent: int):
         wanted = np.zeros(len(frame), dtype=bool)
         for i, others in _open_partners(frame, percent):
             wanted[i] = wanted[others] = True
+        give_back()
         return frame[wanted]
 
     return run
@@ -278,6 +282,7 @@ def _forest(percent: int):
                     us.append(ids[i])
                     vs.append(ids[j])
                     root[root == root[j]] = root[i]
+        give_back()
         return pd.DataFrame({"u": np.array(us, dtype=np.int64), "v": np.array(vs, dtype=np.int64)})
 
     return run

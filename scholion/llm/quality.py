@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholion.llm.common import even, give_back
+from scholion.llm.common import even, forget, give_back
 from scholion.llm.sampling import stratified
 
 PASSAGE_BYTES = 400
@@ -219,6 +219,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         fitted = shared.value and Model(**shared.value)
         for batch in batches:
             scores = np.full(len(batch), 0.5)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholion.llm.bwt import smallest_owner
-from scholion.llm.common import even, give_back
+from scholion.llm.common import even, forget, give_back
 from scholion.session import persist_shared, small_side, stored_result
 
 LENGTH = 50
@@ -144,6 +144,7 @@ def _anchors(length: int, buckets: int):
     """Packed anchors by chunk and bucket; an anchor of several documents of a chunk comes twice."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for frame in frames:
             frame = frame.sort_values("doc_id", ignore_index=True)
             for chunk, part in frame.groupby("chunk", sort=False):
@@ -204,6 +205,7 @@ def _fragments(length: int, buckets: int):
     columns = ["anchor", "mark", "doc", "copy", "start", "fragment"]
 
     def run(docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        forget()
         out = []
         if len(docs) and len(wanted):
             known = np.sort(
@@ -275,6 +277,7 @@ def _covered(length: int):
     """The places of a group of anchors that an earlier document covers: doc, copy, begin, past."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        forget()
         frame = frame.sort_values(["anchor", "mark", "doc"], ignore_index=True)
         anchor, mark = frame["anchor"].to_numpy(), frame["mark"].to_numpy()
         fresh = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (mark[1:] != mark[:-1])])

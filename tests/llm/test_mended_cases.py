@@ -117,6 +117,19 @@ def test_more_languages_than_are_learnt(spark, monkeypatch):
     assert {r.rejected for r in got if r.doc_id < 60} == {False}
 
 
+def test_a_sample_is_the_first_rows_by_hash(spark):
+    from pyspark.sql import functions as F
+
+    from scholion.llm.sampling import stratified
+
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 7 == 0).cast("int").alias("quality"))
+    listed = rows.withColumn("h", F.xxhash64("doc_id")).orderBy("h").collect()
+    want = {q: [r.doc_id for r in listed if r.quality == q][:40] for q in (0, 1)}
+    got = stratified(rows.repartition(9), "doc_id", "quality", 40).collect()
+    assert {q: {r.doc_id for r in got if r.quality == q} for q in (0, 1)} == {q: set(x) for q, x in want.items()}
+    assert stratified(rows.limit(0), "doc_id", "quality", 40).collect() == []
+
+
 # ---- pages -----------------------------------------------------------------------------------
 
 LONG = "Some words, with a comma, and enough of them to be a paragraph of its own. "
