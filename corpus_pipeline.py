@@ -46,9 +46,11 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     unnamed = docs.where("doc_id is null")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     least = F.struct(F.xxhash64("text"), F.xxhash64(F.to_json(F.struct(F.lit(0), *others))))
+    # Dealt by ranges of ids, so that the next stage finds neighbouring ids together.
     one = (
         docs.join(kept, "doc_id", "left_semi")
         .select("doc_id", F.struct(*docs.columns).alias("row"), least.alias("least"))
+        .repartitionByRange("doc_id")
         .groupBy("doc_id")
         .agg(F.min_by("row", "least").alias("row"))
     )
