@@ -63,7 +63,10 @@ DOUBLE_END = "(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"
 
 def _ends(word: Column, suffixes: str) -> Column:
     """The longest of the suffixes (separated by |) that the word ends with, or an empty text."""
-    return F.regexp_extract(word, f"(?:{suffixes})$", 0)
+    found = F.when(word.isNotNull(), "")
+    for suffix in sorted(suffixes.split("|"), key=len):
+        found = F.when(word.endswith(suffix), suffix).otherwise(found)
+    return found
 
 
 def _cut(word: Column, n: Column | int) -> Column:
@@ -143,8 +146,8 @@ def _last_letters(words: DataFrame) -> DataFrame:
     )
 
 
-def stems(words: DataFrame, column: str = "term") -> DataFrame:
-    """(term, stem) of each row of words: lower-case words; null gives null, rows are kept.
+def stems(words: DataFrame, column: str = "term", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(term, stem) of each row of words, and the columns to keep: lower-case words; null gives null, rows are kept.
 
     Words of up to two letters, and the listed ones, keep their own stem.
     """
@@ -152,11 +155,11 @@ def stems(words: DataFrame, column: str = "term") -> DataFrame:
     listed = F.create_map(*[F.lit(x) for pair in IRREGULAR.items() for x in pair])
     own = F.when((F.length(raw) <= 2) | raw.isin(UNCHANGED), raw).otherwise(F.element_at(listed, raw))
     marked = F.regexp_replace(raw, f"(^|{VOWEL})y", "$1Y")
-    rows = words.select(raw.alias("term"), own.alias("own"), marked.alias("w"))
+    rows = words.select(*keep, raw.alias("term"), own.alias("own"), marked.alias("w"))
     rows = _participles(_plurals(_regions(rows)))
     # A final y behind a consonant that is not the first letter.
     rows = rows.withColumn("w", F.regexp_replace("w", f"(.{OTHER})[yY]$", "$1i"))
     for rules in (DERIVED, RELATED, PLAIN):
         rows = _step(rows, rules)
     found = F.replace(F.col("w"), F.lit("Y"), F.lit("y"))
-    return _last_letters(rows).select("term", F.coalesce("own", found).alias("stem"))
+    return _last_letters(rows).select(*keep, "term", F.coalesce("own", found).alias("stem"))

@@ -15,7 +15,7 @@ WS = (
 # A run of non-whitespace. Printable ASCII is taken by its own short class first, the possessive
 # form keeps the match iterative on very long runs.
 WORD = f"(?:[!-~]++|[^!-~{WS}]++)++"
-LEXEME = r"[\p{L}\p{N}]+"
+LEXEME = r"[a-zA-Z0-9\p{L}\p{N}]+"  # ASCII is named too, as that is found in a table of bits
 
 # The stop words dropped from keyword search.
 STOP_WORDS = """

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from scholion.functions.text import fold, kept_tokens, lexemes
 from scholion.operators.asked import Asked, ask, page_of
 from scholion.operators.filters import filter_predicate, visible_side, with_filter_columns
-from scholion.operators.vocabulary import stem_table, stemmed
-from scholion.session import persist_shared, small_side
+from scholion.operators.vocabulary import stem_table, stemmed, stemmed_in_parts
+from scholion.session import dealt_by, persist_shared, small_side
 
 # BM25 parameters (Robertson & Zaragoza 2009).
 K1, B = 1.2, 0.75
@@ -34,8 +34,8 @@ def query_terms(queries: DataFrame, conf: str = "english") -> DataFrame:
 def term_stream(
     chunks: DataFrame, conf: str = "english", text_col: str = "content", length_col: str | None = None
 ) -> DataFrame:
-    """One row per token: chunk_id, document_id, dl (chunk length), term."""
-    ids = ["chunk_id", "document_id"]
+    """One row per token: chunk_id, document_id, dl (chunk length), term; and _part, where texts were dealt."""
+    ids = [*(["_part"] if "_part" in chunks.columns else []), "chunk_id", "document_id"]
     kept = chunks.select(
         *ids,
         kept_tokens(F.coalesce(F.col(text_col), F.lit("")), conf).alias("kept"),
@@ -53,7 +53,7 @@ def term_stream(
 
 
 def _counted(tokens: DataFrame) -> DataFrame:
-    return tokens.groupBy("chunk_id", "document_id", "dl", "term").agg(F.count("*").alias("tf"))
+    return tokens.groupBy(*tokens.columns).agg(F.count("*").alias("tf"))
 
 
 def _summed(words: DataFrame) -> DataFrame:
@@ -64,11 +64,15 @@ def _summed(words: DataFrame) -> DataFrame:
 def build_postings(
     chunks: DataFrame, conf: str = "english", text_col: str = "content", length_col: str | None = None
 ) -> DataFrame:
-    """term, chunk_id, document_id, tf, dl. Counts combine in the task that read the chunk."""
+    """term, chunk_id, document_id, tf, dl. Texts are dealt by chunk and counted there; no word is shuffled."""
+    named = {"chunk_id", "document_id", text_col} | ({length_col} if length_col else set())
+    texts = dealt_by(chunks.select(*sorted(named)), "chunk_id", text_col)
     if conf == "stem":
-        words = persist_shared(build_postings(chunks, "stop", text_col, length_col), "words")
-        return _summed(stemmed(words))
-    return _counted(term_stream(chunks, conf, text_col, length_col))
+        words = _counted(term_stream(texts, "stop", text_col, length_col))
+        found = stemmed_in_parts(words).groupBy(*words.columns[:-1]).agg(F.sum("tf").alias("tf"))
+    else:
+        found = _counted(term_stream(texts, conf, text_col, length_col))
+    return found.drop("_part")
 
 
 def with_term_bucket(df: DataFrame, buckets: int = TERM_BUCKETS) -> DataFrame:
@@ -125,23 +129,26 @@ def corpus_stats(lengths: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def _scanned(
-    chunks: DataFrame, vocabulary: DataFrame, conf: str, text_col: str, length_col: str | None
-) -> tuple[DataFrame, DataFrame]:
-    """Postings of the vocabulary and lengths of all chunks from one reading of the texts.
+    chunks: DataFrame, vocabulary: DataFrame, seen: DataFrame, conf: str, text_col: str, length_col: str | None
+) -> DataFrame:
+    """One stored row for each visible chunk: ids, dl, filter columns and its counts of the vocabulary's terms.
 
-    An empty term stands for each chunk itself, so both are rows of one stored table.
+    Texts are read once and dealt by chunk, so that words are counted where they stand. An empty term
+    stands for each chunk itself, so that chunks without a term of the vocabulary have a row too.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = chunks.select("chunk_id", "document_id", kept_tokens(text, conf).alias("kept"),
-                         *([F.col(length_col).alias("dl")] if length_col else []))
-    if not length_col:
-        kept = kept.withColumn("dl", F.size("kept"))
-    tokens = kept.select(
-        "chunk_id", "document_id", "dl", F.explode(F.concat(F.array(F.lit("")), "kept")).alias("t")
-    ).select("chunk_id", "document_id", "dl", fold(F.col("t"), conf).alias("term"))
+    named = {"chunk_id", "document_id", text_col} | ({length_col} if length_col else set())
+    texts = dealt_by(chunks.select(*sorted(named)), "chunk_id", text_col)
+    ids = ["_part", "chunk_id", "document_id", "dl"]
+    kept = texts.withColumn("kept", kept_tokens(F.coalesce(F.col(text_col), F.lit("")), conf))
+    kept = kept.withColumn("dl", F.col(length_col) if length_col else F.size("kept"))
+    tokens = kept.select(*ids, F.explode(F.concat(F.array(F.lit("")), "kept")).alias("t")).select(
+        *ids, fold(F.col("t"), conf).alias("term")
+    )
     wanted = vocabulary.unionByName(vocabulary.sparkSession.createDataFrame([("",)], "term string"))
-    stored = persist_shared(_counted(tokens.join(F.broadcast(wanted), "term", "left_semi")), "postings")
-    return stored.where("term != ''"), stored.where("term = ''").select("chunk_id", "document_id", "dl")
+    counted = _counted(tokens.join(F.broadcast(wanted), "term", "left_semi"))
+    rows = counted.groupBy(*ids).agg(F.collect_list(F.struct("term", "tf")).alias("tfs"))
+    rows = rows.withColumn("tfs", F.filter("tfs", lambda t: t["term"] != "")).drop("_part")
+    return persist_shared(rows.join(seen, "document_id"), "postings")
 
 
 def keyword_matches(
@@ -167,6 +174,7 @@ def keyword_matches(
     seen = visible_side(docs) if seen is None else seen
     terms = query_terms(asked.queries, conf)
     vocabulary = terms.select("term").distinct()
+    held = None
     if postings is None and conf == "stem":
         # Of all distinct words, those with a stem that is asked for; only they are counted.
         kept = term_stream(chunks, "stop", text_col, length_col)
@@ -176,7 +184,8 @@ def keyword_matches(
         wanted = small_side(table.select("term"))
         found = _summed(stemmed(_counted(kept.join(wanted, "term", "left_semi")), table))
     elif postings is None and asked.frame is not None:
-        found, lengths = _scanned(chunks, vocabulary, conf, text_col, length_col)
+        held = _scanned(chunks, vocabulary, seen, conf, text_col, length_col)
+        lengths = held.select("chunk_id", "document_id", "dl").distinct()
     elif postings is None:
         tokens = term_stream(chunks, conf, text_col, length_col)
         found = _counted(tokens.join(vocabulary, "term", "left_semi"))
@@ -185,7 +194,13 @@ def keyword_matches(
         if "term_bucket" in postings.columns:
             keyed = with_term_bucket(vocabulary, term_buckets)
             found = postings.join(hint(keyed), ["term_bucket", "term"], "left_semi")
-    found = found.select("chunk_id", "document_id", "dl", "term", "tf").join(seen, "document_id")
+    chunk = ["chunk_id", "document_id", "dl", "journal", "article_type", "publication_date"]
+    if held is not None:
+        found = held.select(F.explode("tfs").alias("t")).select("t.*")
+        per_chunk = held.where(F.size("tfs") > 0).select(*chunk, F.map_from_entries("tfs").alias("tfs"))
+    else:
+        found = found.select("chunk_id", "document_id", "dl", "term", "tf").join(seen, "document_id")
+        per_chunk = found.groupBy(*chunk).agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tfs"))
     # tf is read here too, so both uses of `found` share one exchange.
     df = found.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     if lengths is None:
@@ -208,9 +223,6 @@ def keyword_matches(
         "query_id", "date_from", "date_to", "journals", "article_types"
     )
     plans = plans.join(hint(filters), "query_id")
-    per_chunk = found.groupBy(
-        "chunk_id", "document_id", "dl", "journal", "article_type", "publication_date"
-    ).agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tfs"))
     by_term = per_chunk.select("*", F.explode(F.map_keys("tfs")).alias("term"))
     matched = by_term.join(hint(plans), "term").where(
         F.forall("terms", lambda t: F.map_contains_key("tfs", t["term"]))

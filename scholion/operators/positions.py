@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from scholion.functions.text import LEXEME, STOP_WORDS, fold
 from scholion.operators.asked import Asked, ask
 from scholion.operators.keyword import keyword_matches, with_term_bucket
-from scholion.operators.vocabulary import stemmed
-from scholion.session import persist_shared
+from scholion.operators.vocabulary import stemmed, stemmed_in_parts
+from scholion.session import dealt_by
 
 # The weight of a plain word, the farthest pair that counts, and the damping of distance.
 WEIGHT, FARTHEST = 0.1, 100
@@ -52,21 +52,21 @@ def from_gaps(gaps: Column) -> Column:
 def positional_postings(chunks: DataFrame, conf: str = "stem", text_col: str = "content") -> DataFrame:
     """term, chunk_id, document_id, tf, dl, gaps. dl counts the kept words of the chunk.
 
-    Texts are read once: the places of each word of a chunk are stored, its stem is found once for each
-    distinct word, and words of one stem are put together. Null and empty texts have no postings.
+    Texts are dealt by chunk, so places are put together where they were found: neither words nor places
+    are shuffled. Chunks of one id count as one. Null and empty texts have no postings.
     """
     ids = ["chunk_id", "document_id"]
-    words = _placed(chunks, text_col, ids, conf).groupBy(*ids, "term").agg(F.collect_list("pos").alias("at"))
+    texts = dealt_by(chunks.select(*ids, text_col), "chunk_id", text_col)
+    words = _placed(texts, text_col, ["_part", *ids], conf)
     if conf == "stem":
-        words = persist_shared(words, "places")
-    found = (
-        _folded(words, conf)
-        .groupBy(*ids, "term")
-        .agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("places"))
-        .select("term", *ids, F.size("places").cast("long").alias("tf"), to_gaps(F.col("places")).alias("gaps"))
-    )
-    lengths = words.groupBy(*ids).agg(F.sum(F.size("at")).alias("dl"))
-    return found.join(lengths, ids).select("term", *ids, "tf", "dl", "gaps")
+        words = words.groupBy("_part", *ids, "term").agg(F.collect_list("pos").alias("at"))
+        words = stemmed_in_parts(words).select("*", F.explode("at").alias("pos"))
+    else:
+        words = _folded(words, conf)
+    terms = words.groupBy("_part", *ids, "term").agg(F.array_sort(F.collect_list("pos")).alias("places"))
+    term = F.struct("term", F.size("places").cast("long").alias("tf"), to_gaps(F.col("places")).alias("gaps"))
+    whole = terms.groupBy("_part", *ids).agg(F.collect_list(term).alias("terms"), F.sum(F.size("places")).alias("dl"))
+    return whole.select(*ids, "dl", F.explode("terms").alias("t")).select("t.term", *ids, "t.tf", "dl", "t.gaps")
 
 
 def chunk_lengths(postings: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -97,11 +97,13 @@ def placed_matches(
     ).select("query_id", "chunk_id", "document_id")
     wanted = query_places(asked.queries, conf)
     keyed = matches.join(asked.hint(wanted), "query_id")
-    on = ["term", "chunk_id"]
+    on, asked_for = ["term", "chunk_id"], wanted.select("term").distinct()
     if "term_bucket" in postings.columns:
-        keyed, on = with_term_bucket(keyed), ["term_bucket", *on]
+        keyed, asked_for, on = with_term_bucket(keyed), with_term_bucket(asked_for), ["term_bucket", *on]
+    # Only places of words that are asked for go into the join's shuffle.
+    held = postings.select(*on, "gaps").join(asked.hint(asked_for), asked_for.columns, "left_semi")
     return (
-        keyed.join(postings.select(*on, "gaps"), on)
+        keyed.join(held, on)
         .groupBy("query_id", "chunk_id", "document_id")
         .agg(F.array_sort(F.collect_list(F.struct("offsets", from_gaps(F.col("gaps")).alias("places")))).alias("terms"))
     )

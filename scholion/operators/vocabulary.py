@@ -30,3 +30,17 @@ def stemmed(words: DataFrame, table: DataFrame | None = None, column: str = "ter
         .withColumn(column, F.col("stem"))
         .drop("_word", "stem")
     )
+
+
+def stemmed_in_parts(words: DataFrame, column: str = "term") -> DataFrame:
+    """words, dealt by _part (session.dealt_by), with each word replaced by its stem, without a shuffle.
+
+    The stemmer runs once for each distinct word of a part; rows stay in their parts.
+    """
+    rest = [c for c in words.columns if c not in (column, "_part")]
+    held = words.groupBy("_part", column).agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+    return (
+        stems(held, column, ("_part", "_rows"))
+        .select("_part", "stem", F.explode("_rows").alias("_row"))
+        .select("_part", F.col("stem").alias(column), "_row.*")
+    )

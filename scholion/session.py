@@ -15,6 +15,8 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 # A broadcast is only ever built from a relation proven to stay below both bounds.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Texts whose words are put together at a time.
+PART_BYTES = 8 * 1024 * 1024
 
 
 def build_session(app: str = "scholion", master: str | None = None, **conf: str) -> SparkSession:
@@ -112,6 +114,18 @@ def spread(df: DataFrame, *keys: str, splits: int | None = None) -> DataFrame:
     return df if n >= cores else df.repartition(cores, *keys)
 
 
+def dealt_by(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows dealt by a hash of a key, _part, in parts of about PART_BYTES of text, two to a task.
+
+    What is exploded from a text can then be grouped by _part and other columns where it stands: the texts
+    are shuffled once in place of all their words, and the number of parts follows their measured size.
+    """
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    return dealt.repartition(-(-parts // 2), "_part")
+
+
 def _row_bytes(df: DataFrame):
     """A per-row upper estimate of the in-memory size."""
     total = F.lit(16)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from scholion.functions.stemming import stems
 from scholion.functions.text import STOP_WORDS
 from scholion.operators import keyword, positions
+from scholion.session import scratch_path
 
 # Words and stems of the published sample vocabulary, and cases of each rule.
 SAMPLE = """consign consign consigned consign consigning consign consignment consign consist consist consisted consist
@@ -147,3 +148,45 @@ def test_empty_chunks_have_no_postings(spark):
     long = {1: " ".join(rng.choice(["gene", "editing", "run"]) for _ in range(3000))}
     rows = positions.positional_postings(chunk_rows(spark, long)).collect()
     assert sum(r.tf for r in rows) == 3000
+
+
+def exchanged(df):
+    """The columns by which rows are dealt to tasks, exchange by exchange."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+    return re.findall(r"Exchange (\w+\(?[^,)]*)", df._jdf.queryExecution().explainString(mode))
+
+
+@pytest.mark.parametrize("conf", ["stem", "stop"])
+def test_places_are_put_together_without_shuffling_words(spark, conf):
+    by = exchanged(positions.positional_postings(chunk_rows(spark, TEXTS), conf))
+    assert len(by) == 1 and by[0].startswith("hashpartitioning(_part")
+
+
+def test_places_of_words_not_asked_for_are_not_shuffled(spark):
+    texts = {k: f"dog run w{k}" for k in range(300)}
+    chunks, docs = chunk_rows(spark, texts), doc_rows(spark, texts)
+    path = scratch_path(spark, "places")
+    keyword.write_postings(positions.positional_postings(chunks), path)
+    found = positions.placed_matches(asked(spark, ["dog running"]), chunks, docs, spark.read.parquet(path))
+    assert found.count() == 300
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    read = next(k for k, line in enumerate(plan) if "gaps" in line and "Relation" in line)
+    above = [line for line in plan[:read] if "Join" in line]
+    assert "LeftSemi" in above[-1]
+
+
+@pytest.mark.parametrize("conf", ["stem", "english"])
+def test_postings_are_counted_without_shuffling_words(spark, conf):
+    postings = keyword.build_postings(chunk_rows(spark, TEXTS), conf)
+    by = exchanged(postings)
+    assert len(by) == 1 and by[0].startswith("hashpartitioning(_part")
+    counts = {(r.chunk_id, r.term): (r.tf, r.dl) for r in postings.collect()}
+    assert counts["c5", "dog"] == (2, 3) and counts["c5", "run"] == (1, 3)
+
+
+def test_whole_passages_are_counted_without_shuffling_words(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(keyword, "persist_shared", lambda df, label: stored.append(exchanged(df)) or df)
+    found = keyword.keyword_matches(asked(spark, ["dog run", "gene"]), chunk_rows(spark, TEXTS), doc_rows(spark, TEXTS))
+    assert {(r.query_id, r.chunk_id) for r in found.collect()} == {("q0", "c1"), ("q0", "c5"), ("q1", "c6"), ("q1", "c7")}
+    assert any("_part" in by for by in stored[0]) and not any("chunk_id" in by for by in stored[0])
