@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,10 +41,12 @@ def embed(
     """Add embedding and embedding_error; rows and their order are kept.
 
     A text the model fails on gets NULL and the error, the others of its batch are retried one
-    by one and keep their vectors.
+    by one and keep their vectors. Columns pass through as Arrow data; only the texts of one batch and
+    what the model gives for them are Python objects.
     """
-    cut_col = "_embed_text"
-    source = df.withColumn(cut_col, cut(F.col(text_col), max_chars))
+    whole = max_chars is None and text_col in df.columns
+    cut_col = text_col if whole else "_embed_text"
+    source = df if whole else df.withColumn(cut_col, cut(F.col(text_col), max_chars))
     schema = T.StructType(
         [f for f in df.schema.fields if f.name not in ("embedding", "embedding_error")]
         + [
@@ -52,8 +55,9 @@ def embed(
         ]
     )
     names = schema.fieldNames()
+    kind = pa.list_(pa.float32())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = provider.load()
 
         def alone(text):
@@ -69,19 +73,24 @@ def embed(
                 return [alone(t) for t in texts]
 
         for frame in frames:
-            texts = frame[cut_col].tolist()
-            present = [i for i, t in enumerate(texts) if t is not None]
-            out = [(None, "no text")] * len(texts)
+            texts = frame.column(cut_col)
+            present = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False))
+            vectors, errors = [pa.array([], kind)], ["no text"] * len(texts)
             for start in range(0, len(present), batch_size):
                 part = present[start : start + batch_size]
-                for i, result in zip(part, batch([texts[i] for i in part]), strict=True):
-                    out[i] = result
-            frame = frame.drop(columns=[cut_col])
-            frame["embedding"] = [v for v, _ in out]
-            frame["embedding_error"] = [e for _, e in out]
-            yield frame[names]
-
-    return source.mapInPandas(run, schema)
+                out = batch([texts[int(i)].as_py() for i in part])
+                vectors.append(pa.array([None if v is None else [float(x) for x in v] for v, _ in out], kind))
+                for i, (_, error) in zip(part, out, strict=True):
+                    errors[i] = error
+            at = np.full(len(texts), -1)
+            at[present] = np.arange(len(present))
+            made = {
+                "embedding": pa.concat_arrays(vectors).take(pa.array(at, mask=at < 0)),
+                "embedding_error": pa.array(errors, pa.string()),
+            }
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else frame.column(c) for c in names], names)
+
+    return source.mapInArrow(run, schema)
 
 
 def stamp(df: DataFrame, model_id: str, version: int = 1) -> DataFrame:
