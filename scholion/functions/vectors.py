@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scholion.functions.text import let
+
 
 def as_double(v) -> Column:
     return F.col(v).cast("array<double>") if isinstance(v, str) else v.cast("array<double>")
@@ -29,9 +31,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """Unit length; NULL for a zero vector, which no search may return."""
-    v = as_double(v)
-    length = norm(v)
-    return F.when(length > 0, F.transform(v, lambda x: x / length))
+    return let(
+        as_double(v),
+        lambda d: let(norm(d), lambda length: F.when(length > 0, F.transform(d, lambda x: x / length))),
+    )
 
 
 def fit_dimensions(v: Column, n: int) -> Column:
