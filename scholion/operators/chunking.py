@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholion.functions.text import content_hash, let, stable_id, strip, word_count, words
+from scholion.functions.text import WS, content_hash, let, stable_id, strip, word_count, words
 
 # Default chunk size and overlap, in tokens.
 MAX_TOKENS, OVERLAP_TOKENS = 512, 200
@@ -15,6 +16,7 @@ MAX_TOKENS, OVERLAP_TOKENS = 512, 200
 _PIECE = "struct<lo:int,n:int,split:boolean>"
 _STATE = f"struct<lo:int,cur:array<int>,tok:int,pieces:array<{_PIECE}>>"
 _CHUNK = "struct<section_title:string,section_type:string,content:string,token_count:int>"
+_CUT = "array<array<struct<content:string,token_count:int>>>"
 
 
 def check_sizes(max_tokens: int, overlap: int) -> None:
@@ -153,6 +155,64 @@ def pack_text(
     return let(strip(F.coalesce(text, F.lit(""))), section)
 
 
+def pack_words(text: str | None, max_tokens: int, overlap: int, sep: str) -> list[tuple[str, int]]:
+    """What pack_text gives with its default counter and tokenizer, each text with its words, for one text.
+
+    Python's white space is that of functions.text.WS.
+    """
+    clean = (text or "").strip()
+    n = len(clean.split())
+    if n <= max_tokens:
+        return [(clean, n)] if clean else []
+    paras = [p for x in clean.split(sep) if (p := x.strip())]
+    sizes = [len(p.split()) for p in paras]
+    out: list[tuple[str, int]] = []
+    lo = tok = 0
+
+    def close(end: int) -> None:
+        if end > lo:
+            out.append(("\n\n".join(paras[lo:end]), tok))
+
+    for at, size in enumerate(sizes):
+        if size > max_tokens:
+            close(at)
+            t = paras[at].split()
+            for s in range(0, max(0, size - overlap - 1) + 1, max_tokens - overlap):
+                out.append((" ".join(t[s : s + max_tokens]), len(t[s : s + max_tokens])))
+            lo, tok = at + 1, 0
+        elif tok + size > max_tokens:
+            close(at)
+            first, lo, tok = lo, at, 0
+            while lo > first and tok + sizes[lo - 1] <= overlap:
+                lo -= 1
+                tok += sizes[lo]
+            tok += size
+        else:
+            tok += size
+    close(len(paras))
+    return out
+
+
+def _packed_sections(contents: Column, max_tokens: int, overlap: int, sep: str) -> Column:
+    """The chunks of each of a document's texts, found in Arrow batches without an object for each word kept."""
+
+    @F.arrow_udf(_CUT)
+    def cut(batch: pa.Array) -> pa.Array:
+        texts, done, n_cuts, n_sections = [], [], [0], [0]
+        for sections in batch:
+            for text in sections or ():
+                found = pack_words(text.as_py(), max_tokens, overlap, sep)
+                texts += [t for t, _ in found]
+                done += [n for _, n in found]
+                n_cuts.append(len(done))
+            n_sections.append(len(n_cuts) - 1)
+        rows = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(done, pa.int32())], ["content", "token_count"])
+        inner = pa.ListArray.from_arrays(pa.array(n_cuts, pa.int32()), rows)
+        return pa.ListArray.from_arrays(pa.array(n_sections, pa.int32()), inner)
+
+    return cut(contents)
+
+
 def section_list(abstract: Column | None, sections: Column) -> Column:
     """Abstract first, then the sections depth-first under their full titles, blanks skipped."""
     kind = "array<struct<title:string,type:string,content:string>>"
@@ -171,7 +231,7 @@ def section_list(abstract: Column | None, sections: Column) -> Column:
             )
         ).cast(kind)
         body = F.concat(head, F.coalesce(body, F.array().cast(kind)))
-    return F.filter(body, lambda s: F.length(strip(F.coalesce(s["content"], F.lit("")))) > 0)
+    return F.filter(body, lambda s: F.coalesce(s["content"], F.lit("")).rlike(f"[^{WS}]"))
 
 
 def flatten_sections(docs: DataFrame) -> DataFrame:
@@ -221,8 +281,27 @@ def chunk_documents(
     counter: Callable[[Column], Column] = word_count,
     tokenizer: Callable[[Column], Column] = words,
 ) -> DataFrame:
-    """Section-aware chunks of parsed documents (document_id, abstract?, sections)."""
+    """Section-aware chunks of parsed documents (document_id, abstract?, sections).
+
+    With the default counter and tokenizer texts are cut in Arrow batches, otherwise by columns.
+    """
+    check_sizes(max_tokens, overlap)
     abstract = F.col("abstract") if "abstract" in docs.columns else None
+    if counter is word_count and tokenizer is words and sep:
+        listed = docs.select("document_id", section_list(abstract, F.col("sections")).alias("_s"))
+        contents = F.transform("_s", lambda s: s["content"])
+        cut = listed.withColumn("_cut", _packed_sections(contents, max_tokens, overlap, sep))
+        titled = F.transform(
+            "_s",
+            lambda s, i: F.transform(
+                F.get("_cut", i),
+                lambda c: F.struct(
+                    s["title"].alias("section_title"), s["type"].alias("section_type"),
+                    c["content"].alias("content"), c["token_count"].alias("token_count"),
+                ),
+            ),
+        )
+        return _finish(cut.select("document_id", F.flatten(titled).cast(f"array<{_CHUNK}>").alias("cs")))
 
     def of_section(s: Column) -> Column:
         return F.transform(
