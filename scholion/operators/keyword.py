@@ -148,7 +148,11 @@ def _scanned(
     counted = _counted(tokens.join(F.broadcast(wanted), "term", "left_semi"))
     rows = counted.groupBy(*ids).agg(F.collect_list(F.struct("term", "tf")).alias("tfs"))
     rows = rows.withColumn("tfs", F.filter("tfs", lambda t: t["term"] != "")).drop("_part")
-    return persist_shared(rows.join(seen, "document_id"), "postings")
+    stored = persist_shared(rows.join(seen, "document_id"), "postings")
+    copies = stored.where(F.size("tfs") > 0).groupBy("chunk_id", "document_id", "dl").count()
+    if not copies.where("count > 1").isEmpty():
+        raise ValueError("a chunk's document is listed more than once")
+    return stored
 
 
 def keyword_matches(

@@ -69,7 +69,7 @@ def test_texts_go_to_a_model_without_a_second_copy(spark):
     got = {r.i: r for r in out.collect()}
     assert got[4].embedding is None and got[4].embedding_error == "no text"
     assert got[7].embedding is None and got[7].embedding_error == "bad text"
-    assert got[5].embedding == [5.0, 1.0] and got[8].embedding == [8.0, 1.0] and got[0].embedding == [0.0, 3.0]
+    assert got[5].embedding == [5.0, 3.0] and got[8].embedding == [8.0, 1.0] and got[0].embedding == [0.0, 3.0]
     assert [(r.i, r.text, r.even) for r in got.values()] == rows
 
 

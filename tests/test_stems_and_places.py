@@ -190,3 +190,9 @@ def test_whole_passages_are_counted_without_shuffling_words(spark, monkeypatch):
     found = keyword.keyword_matches(asked(spark, ["dog run", "gene"]), chunk_rows(spark, TEXTS), doc_rows(spark, TEXTS))
     assert {(r.query_id, r.chunk_id) for r in found.collect()} == {("q0", "c1"), ("q0", "c5"), ("q1", "c6"), ("q1", "c7")}
     assert any("_part" in by for by in stored[0]) and not any("chunk_id" in by for by in stored[0])
+
+
+def test_documents_listed_twice_are_refused(spark):
+    chunks, docs = chunk_rows(spark, TEXTS), doc_rows(spark, [*TEXTS, 5])
+    with pytest.raises(ValueError, match="more than once"):
+        keyword.keyword_matches(asked(spark, ["dog run"]), chunks, docs)
