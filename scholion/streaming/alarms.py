@@ -147,25 +147,32 @@ class _Retries(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frame = pd.concat(list(rows), ignore_index=True)
         frame = frame.assign(at=_micros(frame["ts"])).sort_values(["at", "seq"], kind="stable")
+        # State is read and written once for all rows: each call to it goes through a socket.
+        known = self.state.get() if self.state.exists() else None
+        failed, due, reason = known or (0, None, None)
         out = []
-        for at, status, error in zip(frame["at"], frame["status"], frame["error_message"], strict=True):
-            out += self._fire(key, at)
+        for at, status, error in zip(frame["at"].tolist(), frame["status"], frame["error_message"], strict=True):
+            if due is not None and due <= at:
+                out.append((key[0], "retry", failed, pd.Timestamp(due, unit="us"), reason))
+                due = None
             if status in ("completed", "pending"):
                 # Done, or started anew by hand: nothing is owed any more.
-                self.state.clear()
+                failed, due, reason = 0, None, None
             elif status == "failed":
-                failed, due, _ = self.state.get() if self.state.exists() else (0, None, None)
                 if due is not None or failed > self.max_retries:
                     continue  # a repeated report of a failure that is known
                 failed += 1
-                error = None if pd.isna(error) else error
+                reason = None if pd.isna(error) else error
                 if failed > self.max_retries:
-                    out.append((key[0], "dead_letter", failed, pd.Timestamp(at, unit="us"), error))
-                    self.state.update((failed, None, error))
+                    out.append((key[0], "dead_letter", failed, pd.Timestamp(at, unit="us"), reason))
                 else:
                     due = int(at) + self.backoff * 2 ** (failed - 1)
-                    self.state.update((failed, due, error))
-                    self.handle.registerTimer(-(-due // 1000))
+        if failed:
+            self.state.update((failed, due, reason))
+            if due is not None and (known is None or known[1] != due):
+                self.handle.registerTimer(-(-due // 1000))
+        elif known is not None:
+            self.state.clear()
         yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803

@@ -103,3 +103,46 @@ def test_retries_equal_the_state_machine(spark, tmp_path, parts):
     # Null jobs and an empty log give nothing.
     none = spark.createDataFrame([(None, at(1), 1, "failed", "x")], schema)
     assert none.where(F.col("job_id").isNotNull()).count() == 0
+
+
+def test_state_of_a_job_is_read_and_written_once_for_all_its_rows():
+    import pandas as pd
+
+    from scholion.streaming.alarms import _Retries
+
+    calls = []
+
+    class State:
+        value = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        timers = []
+
+        def getValueState(self, *_):  # noqa: N802
+            return State()
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+    job = _Retries(3, 10)
+    job.init(Handle())
+    at = pd.to_datetime(range(0, 500), unit="s")
+    rows = pd.DataFrame({"ts": at, "seq": range(500), "status": "failed", "error_message": "e"})
+    out = pd.concat(job.handleInputRows(("a",), iter([rows]), None))
+    assert list(zip(out["action"], out["attempt"])) == [("retry", 1), ("retry", 2), ("retry", 3), ("dead_letter", 4)]
+    assert len(calls) <= 3 and job.state.value == (4, None, "e")
