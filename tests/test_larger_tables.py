@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from scholion.functions.text import WS, word_count
+from scholion.functions.text import WS, strip, word_count, words
 from scholion.functions.vectors import normalise
 from scholion.operators import chunking as ch
 from scholion.operators import embedding as em
@@ -43,6 +44,18 @@ def test_python_and_columns_agree_on_white_space(spark):
     assert spaces == {c for c in letters if not c.split()}
 
 
+def test_words_and_ends_of_a_text_are_found_in_one_pass(spark):
+    rows = [(i, t) for i, t in enumerate([*texts(300), "\U0001d4b3 \u2028\U0001d4b4", "\ufeff a", "\x00\x1b \x7f"])]
+    got = spark.createDataFrame(rows, "i long, t string").select("i", words("t").alias("w"), word_count("t").alias("n"), strip("t").alias("s"))
+    want = {(i, *((str(t.split()), len(t.split()), t.strip()) if t is not None else ("None", None, None))) for i, t in rows}
+    assert {(r.i, str(r.w), r.n, r.s) for r in got.collect()} == want
+    # A long run of blanks inside a text was walked from each of its blanks.
+    gap = spark.range(1).select(F.concat(F.lit("a"), F.repeat(F.lit(" "), 400_000), F.lit("b")).alias("t"))
+    began = time.monotonic()
+    assert gap.select(F.length(strip("t")), word_count("t")).first()[:] == (400_002, 2)
+    assert time.monotonic() - began < 15
+
+
 def test_a_vector_is_made_once_to_be_normalised(spark):
     v = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>")
     out = v.select(normalise(F.col("v")).alias("n"))
