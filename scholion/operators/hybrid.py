@@ -10,7 +10,7 @@ from scholion.operators.asked import Asked, ask, page_of
 from scholion.operators.filters import visible_side
 from scholion.operators.keyword import keyword_matches, keyword_search, keyword_topk
 from scholion.operators.vector_search import candidates, vector_search, vector_topk
-from scholion.session import BROADCAST_ROWS, persist_shared, small_side
+from scholion.session import BROADCAST_ROWS, is_bounded, persist_shared, small_side
 
 # Fusion weights and constants.
 VECTOR_WEIGHT, KEYWORD_WEIGHT = 0.7, 0.3
@@ -63,12 +63,14 @@ def hybrid_search(
     fanout: int = FANOUT,
     article_type_filter: bool = False,
     seen: DataFrame | None = None,
+    texts: DataFrame | None = None,
     **keyword_options,
 ) -> DataFrame:
     """Vector and keyword hits fused by rank, one page per query.
 
     Each branch keeps its best fanout * (limit + offset) hits. The article type filter is off
-    by default: fused search only knows journals and dates.
+    by default: fused search only knows journals and dates. texts are the chunks without their vectors, if
+    they can be read apart: the keyword branch then moves no text to meet a vector.
     """
     if not (0 <= wv <= 1 and 0 <= wk <= 1):
         raise ValueError("weights must lie in [0, 1]")
@@ -79,7 +81,8 @@ def hybrid_search(
     depth = asked.depth(k, offset)
     v = vector_topk(asked, candidates(chunks, docs, seen), fanout * depth)
     w = keyword_topk(
-        keyword_matches(asked, chunks, docs, seen=seen, **keyword_options), fanout * depth
+        keyword_matches(asked, chunks if texts is None else texts, docs, seen=seen, **keyword_options),
+        fanout * depth,
     )
 
     def capped(hits: DataFrame, rank: str) -> DataFrame:
@@ -98,9 +101,10 @@ def search(
     docs: DataFrame,
     k: int = 10,
     offset: int = 0,
+    texts: DataFrame | None = None,
     **options,
 ) -> DataFrame:
-    """Each query by its own search_type; an unknown type runs as hybrid."""
+    """Each query by its own search_type; an unknown type runs as hybrid. texts as in hybrid_search."""
     asked = ask(queries)
     seen = visible_side(docs)
     kind = F.coalesce(F.lower("search_type"), F.lit("hybrid"))
@@ -124,8 +128,8 @@ def search(
         return full.select(*cols).withColumn("search_type", F.lit(name))
 
     v = vector_search(of("vector"), chunks, docs, k, offset, seen=seen)
-    w = keyword_search(of("keyword"), chunks, docs, k, offset, seen=seen, **options)
-    h = hybrid_search(of("hybrid"), chunks, docs, k, offset, seen=seen, **options)
+    w = keyword_search(of("keyword"), chunks if texts is None else texts, docs, k, offset, seen=seen, **options)
+    h = hybrid_search(of("hybrid"), chunks, docs, k, offset, seen=seen, texts=texts, **options)
     return (
         shaped(v, "vector").unionByName(shaped(w, "keyword")).unionByName(shaped(h, "hybrid"))
     )
@@ -142,19 +146,27 @@ def _few(hits: DataFrame, max_rows: int | None) -> DataFrame:
     return small_side(persist_shared(hits, "hits"))
 
 
+def _of_hits(rows: DataFrame, hits: DataFrame, key: str, few: bool) -> DataFrame:
+    """The rows some hit names, if hits are few: no other one is moved to meet a hit."""
+    return rows.join(F.broadcast(hits.select(key)), key, "left_semi") if few else rows
+
+
 def enrich(
     hits: DataFrame, chunks: DataFrame, docs: DataFrame, max_rows: int | None = None
 ) -> DataFrame:
     """Hits with chunk text and document columns, joined only after the top-k.
 
-    Where the hits are proven few they are broadcast, so the chunk texts are not shuffled.
+    The hits are stored once, being used three times. Where they are few they are broadcast, and only the
+    texts and titles of their chunks and documents are shuffled.
     """
-    few = _few(hits, max_rows)
+    stored = persist_shared(hits, "hits")
+    few = is_bounded(stored) if max_rows is None else max_rows <= BROADCAST_ROWS
     have = [c for c in ("section_title",) if c in chunks.columns]
-    text = chunks.select("chunk_id", "content", *have).join(few, "chunk_id")
+    text = _of_hits(chunks.select("chunk_id", "content", *have), stored, "chunk_id", few)
+    text = text.join(F.broadcast(stored) if few else stored, "chunk_id")
     meta_cols = ["title", "authors", "journal", "publication_date", "doi", "pmcid"]
     meta = docs.select("document_id", *[c for c in meta_cols if c in docs.columns])
-    out = text.join(meta, "document_id")
+    out = text.join(_of_hits(meta, stored, "document_id", few), "document_id")
     if "authors" in meta.columns:
         out = out.withColumn("authors", author_names(F.col("authors")))
     return out

@@ -10,7 +10,7 @@ from scholion.operators import stats as st
 from scholion.operators import traffic as tr
 from scholion.operators.asked import ask
 from scholion.operators.keyword import keyword_search
-from scholion.plans.base import CHUNKS, DOCS, REQUESTS, Registry, chunks, documents, keyword_sql, requests, rounded, table, with_sql
+from scholion.plans.base import CHUNKS, DOCS, REQUESTS, Registry, chunk_texts, documents, keyword_sql, requests, rounded, table, with_sql
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -138,7 +138,7 @@ GROUP BY q.query_id, q.query_text, q.item_id""",
 def j11(spark, sf, asking=requests):
     q = asking(spark, sf).withColumn("search_type", F.lit("keyword"))
     asked = ask(q)
-    hits = keyword_search(asked, chunks(spark, sf), documents(spark, sf))
+    hits = keyword_search(asked, chunk_texts(spark, sf), documents(spark, sf))
     named = q.withColumn("user_id", F.concat(F.lit("u"), F.col("item_id").cast("string")))
     return hs.append_history(named, hits).select(
         "query_text", "search_type", "result_count", F.array_join("result_ids", ",").alias("result_ids"), "user_id"

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholion.functions.text import STOP_WORDS, lexemes, lines, strip, word_count
-from scholion.session import spread
+from scholion.session import small_side, spread
 
 WS_SQL = (
     r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
@@ -60,6 +60,17 @@ def rounded(column: str, digits: int = 6):
     return F.round(F.col(column), digits).alias(column)
 
 
+def as_often(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """The rows a left join with the doc_ids of another table gives, without moving one of them where no id is
+    listed twice there."""
+    known = listed.where(F.col("doc_id").isNotNull())
+    repeated = known.groupBy("doc_id").agg(F.count("*").cast("int").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return rows
+    times = F.array_repeat(F.lit(0), F.coalesce("n", F.lit(1)))
+    return rows.join(small_side(repeated), "doc_id", "left").select(*rows.columns, F.explode(times)).drop("col")
+
+
 # ---- documents ---------------------------------------------------------------------------
 
 
@@ -71,17 +82,21 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("toxic") == 1, F.lit("failed"))
         .otherwise(F.lit("completed"))
     )
-    return d.join(labels, "doc_id", "left").select(
-        F.col("doc_id").cast("string").alias("document_id"),
-        "doc_id",
-        "text",
-        F.col("lang").alias("article_type"),
-        F.col("source").alias("journal"),
-        F.date_add(F.lit(DAY_ZERO).cast("date"), (F.col("doc_id") % 365).cast("int")).alias(
-            "publication_date"
-        ),
-        status.alias("processing_status"),
-    )
+    return d.join(labels, "doc_id", "left").select(*_described_columns(), status.alias("processing_status"))
+
+
+def document_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of documents without their status, so that no text is moved to meet a label."""
+    d = table(spark, sf, "documents")
+    return as_often(d, table(spark, sf, "labels").select("doc_id")).select(*_described_columns())
+
+
+def _described_columns() -> list:
+    day = F.date_add(F.lit(DAY_ZERO).cast("date"), (F.col("doc_id") % 365).cast("int"))
+    return [
+        F.col("doc_id").cast("string").alias("document_id"), F.col("doc_id"), F.col("text"),
+        F.col("lang").alias("article_type"), F.col("source").alias("journal"), day.alias("publication_date"),
+    ]
 
 
 DOCS = f"""docs AS (
@@ -166,6 +181,19 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def chunk_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of chunks without their vectors, so that no text is moved to meet one.
+
+    A vector adds no row and leaves none out, unless its id is listed several times: then it repeats the chunk.
+    """
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return as_often(d, table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))).select(
+        F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"),
+        F.col("doc_id").cast("string").alias("document_id"),
+        F.col("text").alias("content"),
+    )
+
+
 CHUNKS = """chunks AS (
   SELECT 'c' || d.doc_id AS chunk_id, CAST(d.doc_id AS VARCHAR) AS document_id, d.text AS content,
     e.embedding

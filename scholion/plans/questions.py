@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scholion.operators import context as cx
 from scholion.operators import hybrid
 from scholion.operators.asked import ask
-from scholion.plans.base import Registry, chunks, documents, hybrid_ctes, requests, rounded, table, with_sql
+from scholion.plans.base import Registry, chunk_texts, chunks, document_texts, documents, hybrid_ctes, requests, rounded, table, with_sql
 from scholion.plans.chunks import pack_sql, stored
 from scholion.plans.search import TITLE_SQL, titled
 
@@ -18,10 +18,10 @@ QUERIES, ORACLES = R.queries, R.oracles
 def results(spark, sf, asking=requests):
     """Fused hits of every request with text and document columns."""
     asked = ask(asking(spark, sf))
-    c = chunks(spark, sf)
-    hits = hybrid.hybrid_search(asked, c, documents(spark, sf))
+    texts = chunk_texts(spark, sf)
+    hits = hybrid.hybrid_search(asked, chunks(spark, sf), documents(spark, sf), texts=texts)
     most = None if asked.frame is None else 5 * len(asked.frame)
-    rows = hybrid.enrich(hits, c, titled(documents(spark, sf)), most)
+    rows = hybrid.enrich(hits, texts, titled(document_texts(spark, sf)), most)
     return asked, rows.withColumn("section_title", F.lit(None).cast("string")).withColumn(
         "pmcid", F.lit(None).cast("string")
     )
@@ -88,7 +88,8 @@ def r4(spark, sf):
     with_sql(*hybrid_ctes(), CTX, select="SELECT query_id, round(confidence, 6) AS confidence FROM ctx"),
 )
 def r5(spark, sf, asking=requests):
-    hits = hybrid.hybrid_search(asking(spark, sf), chunks(spark, sf), documents(spark, sf))
+    texts = chunk_texts(spark, sf)
+    hits = hybrid.hybrid_search(asking(spark, sf), chunks(spark, sf), documents(spark, sf), texts=texts)
     return cx.confidence(hits).select("query_id", rounded("confidence"))
 
 
@@ -130,9 +131,9 @@ def r6(spark, sf, asking=requests):
     """All requests against a corpus none of which is visible."""
     q = asking(spark, sf)
     hidden = documents(spark, sf).withColumn("processing_status", F.lit("pending"))
-    c = chunks(spark, sf)
-    hits = hybrid.hybrid_search(q, c, hidden)
-    rows = hybrid.enrich(hits, c, titled(hidden), 0).withColumns(
+    texts = chunk_texts(spark, sf)
+    hits = hybrid.hybrid_search(q, chunks(spark, sf), hidden, texts=texts)
+    rows = hybrid.enrich(hits, texts, titled(document_texts(spark, sf)), 0).withColumns(
         {"section_title": F.lit(None).cast("string"), "pmcid": F.lit(None).cast("string")}
     )
     return cx.rag_requests(q, rows).select("query_id", "answer", "confidence", "chunks_used")

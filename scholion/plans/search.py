@@ -18,7 +18,9 @@ from scholion.plans.base import (
     REQUESTS,
     TYPE_FILTER_SQL,
     Registry,
+    chunk_texts,
     chunks,
+    document_texts,
     documents,
     hybrid_ctes,
     keyword_sql,
@@ -154,7 +156,7 @@ def q4(spark, sf):
       FROM (SELECT doc_id, {lexemes_sql('text')} AS l FROM documents)) GROUP BY ALL""",
 )
 def q5(spark, sf):
-    return keyword.build_postings(chunks(spark, sf)).select(
+    return keyword.build_postings(chunk_texts(spark, sf)).select(
         "term", "chunk_id", "document_id", F.col("dl").cast("long").alias("dl"), "tf"
     )
 
@@ -173,7 +175,7 @@ def q6(spark, sf):
     q = table(spark, sf, "benchmark").select(
         F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query_text")
     )
-    return keyword.keyword_matches(q, chunks(spark, sf), documents(spark, sf)).select(
+    return keyword.keyword_matches(q, chunk_texts(spark, sf), documents(spark, sf)).select(
         "query_id", "chunk_id"
     )
 
@@ -187,7 +189,7 @@ def q6(spark, sf):
     ),
 )
 def q7(spark, sf, asking=requests):
-    m = keyword.keyword_matches(asking(spark, sf), chunks(spark, sf), documents(spark, sf))
+    m = keyword.keyword_matches(asking(spark, sf), chunk_texts(spark, sf), documents(spark, sf))
     return keyword.keyword_topk(m, 100).select(
         "query_id", "chunk_id", "keyword_rank", rounded("keyword_score")
     )
@@ -203,7 +205,7 @@ def q7(spark, sf, asking=requests):
 )
 def q7_tf(spark, sf, asking=requests):
     m = keyword.keyword_matches(
-        asking(spark, sf), chunks(spark, sf), documents(spark, sf), rank_fn="tf"
+        asking(spark, sf), chunk_texts(spark, sf), documents(spark, sf), rank_fn="tf"
     )
     return keyword.keyword_topk(m, 100).select(
         "query_id", "chunk_id", "keyword_rank", rounded("keyword_score")
@@ -218,14 +220,14 @@ WHERE v.keyword_rank > q.off AND v.keyword_rank <= q.off + q.k"""
 
 @R.add("q8_keyword_topk", with_sql(DOCS, CHUNKS, REQUESTS, keyword_sql(), select=PAGE_KW))
 def q8(spark, sf, asking=requests):
-    hits = keyword.keyword_search(asking(spark, sf), chunks(spark, sf), documents(spark, sf))
+    hits = keyword.keyword_search(asking(spark, sf), chunk_texts(spark, sf), documents(spark, sf))
     return hits.select("query_id", "rank", "chunk_id", "document_id", rounded("score"))
 
 
 @R.add("q8_stored_index", with_sql(DOCS, CHUNKS, REQUESTS, keyword_sql(), select=PAGE_KW))
 def q8_stored(spark, sf, asking=requests):
     """The same search over a stored index; its own plan reads no text."""
-    c, path = chunks(spark, sf), scratch_path(spark, "index")
+    c, path = chunk_texts(spark, sf), scratch_path(spark, "index")
     keyword.write_index(c, path)
     hits = keyword.keyword_search(
         asking(spark, sf), c, documents(spark, sf), **keyword.read_index(spark, path)
@@ -234,7 +236,8 @@ def q8_stored(spark, sf, asking=requests):
 
 
 def hybrid_hits(spark, sf, asking=requests):
-    return hybrid.hybrid_search(asking(spark, sf), chunks(spark, sf), documents(spark, sf))
+    texts = chunk_texts(spark, sf)
+    return hybrid.hybrid_search(asking(spark, sf), chunks(spark, sf), documents(spark, sf), texts=texts)
 
 
 @R.add(
@@ -275,9 +278,10 @@ FROM hyb h JOIN chunks c ON h.chunk_id = c.chunk_id JOIN docs d ON h.document_id
 )
 def q10(spark, sf, asking=requests):
     asked = ask(asking(spark, sf))
-    hits = hybrid.hybrid_search(asked, chunks(spark, sf), documents(spark, sf))
+    texts = chunk_texts(spark, sf)
+    hits = hybrid.hybrid_search(asked, chunks(spark, sf), documents(spark, sf), texts=texts)
     most = None if asked.frame is None else 5 * len(asked.frame)
-    out = hybrid.enrich(hits, chunks(spark, sf), titled(documents(spark, sf)), most)
+    out = hybrid.enrich(hits, texts, titled(document_texts(spark, sf)), most)
     return out.select(
         "query_id", "rank", "chunk_id", "content", "title", "journal",
         F.col("publication_date").cast("string").alias("publication_date"), "doi",
@@ -296,10 +300,10 @@ FROM hyb h LEFT JOIN chunks p ON p.chunk_id = 'c' || (CAST(h.document_id AS BIGI
 def q12_hits(spark, sf, asking=requests):
     """Search hits with the texts before and after them; documents follow each other by their ids."""
     asked = ask(asking(spark, sf))
-    c = chunks(spark, sf)
-    hits = hybrid.hybrid_search(asked, c, documents(spark, sf))
+    texts = chunk_texts(spark, sf)
+    hits = hybrid.hybrid_search(asked, chunks(spark, sf), documents(spark, sf), texts=texts)
     at = F.col("document_id").cast("long")
-    linked = c.select(
+    linked = texts.select(
         "chunk_id", "content",
         F.concat(F.lit("c"), (at - 1).cast("string")).alias("previous_chunk_id"),
         F.concat(F.lit("c"), (at + 1).cast("string")).alias("next_chunk_id"),
@@ -321,7 +325,7 @@ def q12_hits(spark, sf, asking=requests):
     ),
 )
 def q11(spark, sf, asking=requests):
-    m = keyword.keyword_matches(asking(spark, sf), chunks(spark, sf), documents(spark, sf))
+    m = keyword.keyword_matches(asking(spark, sf), chunk_texts(spark, sf), documents(spark, sf))
     pages = hybrid.page_count(F.col("total_matches"))
     return keyword.match_totals(m).select(
         "query_id", "total_matches", pages.alias("pages"),
@@ -345,7 +349,7 @@ FROM requests q""",
 )
 def q13(spark, sf, asking=requests):
     asked = ask(asking(spark, sf))
-    m = keyword.keyword_matches(asked, chunks(spark, sf), documents(spark, sf))
+    m = keyword.keyword_matches(asked, chunk_texts(spark, sf), documents(spark, sf))
     page = page_of(keyword.keyword_topk(m, asked.depth(5, 0)), asked, "keyword_rank", 5, 0)
     out = hybrid.page_metadata(asked.queries, page, keyword.match_totals(m))
     return out.select(
@@ -422,7 +426,8 @@ WHERE v.keyword_rank > q.off AND v.keyword_rank <= q.off + q.k AND q.search_type
     ),
 )
 def q16(spark, sf, asking=requests):
-    out = hybrid.search(asking(spark, sf), chunks(spark, sf), documents(spark, sf))
+    texts = chunk_texts(spark, sf)
+    out = hybrid.search(asking(spark, sf), chunks(spark, sf), documents(spark, sf), texts=texts)
     return out.select("query_id", "rank", "chunk_id", rounded("score"), "search_type")
 
 

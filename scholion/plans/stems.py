@@ -17,7 +17,7 @@ from scholion.plans.base import (
     TYPE_FILTER_SQL,
     WHOLE_REQUESTS,
     Registry,
-    chunks,
+    chunk_texts,
     documents,
     lexemes_sql,
     requests,
@@ -140,7 +140,7 @@ GROUP BY p.term, p.chunk_id, p.document_id""",
     ),
 )
 def q5_positional(spark, sf):
-    return positions.positional_postings(chunks(spark, sf))
+    return positions.positional_postings(chunk_texts(spark, sf))
 
 
 # ---- search on stems -------------------------------------------------------------------------
@@ -187,7 +187,7 @@ FROM kw WHERE keyword_rank <= 100""",
 )
 def q7_stemmed(spark, sf):
     """Keyword rank on stems, straight from the texts."""
-    m = keyword.keyword_matches(requests(spark, sf), chunks(spark, sf), documents(spark, sf), conf="stem")
+    m = keyword.keyword_matches(requests(spark, sf), chunk_texts(spark, sf), documents(spark, sf), conf="stem")
     return keyword.keyword_topk(m, 100).select("query_id", "chunk_id", "keyword_rank", rounded("keyword_score"))
 
 
@@ -202,7 +202,7 @@ FROM kw v JOIN requests q USING (query_id) WHERE v.keyword_rank > q.off AND v.ke
 )
 def q8_stemmed(spark, sf):
     """A page of hits on stems over a stored index; the search itself reads no text."""
-    c, path = chunks(spark, sf), scratch_path(spark, "index")
+    c, path = chunk_texts(spark, sf), scratch_path(spark, "index")
     keyword.write_index(c, path, conf="stem")
     hits = keyword.keyword_search(
         requests(spark, sf), c, documents(spark, sf), conf="stem", **keyword.read_index(spark, path)
@@ -212,7 +212,7 @@ def q8_stemmed(spark, sf):
 
 def _stored_places(spark, sf):
     path = scratch_path(spark, "places")
-    keyword.write_postings(positions.positional_postings(chunks(spark, sf)), path)
+    keyword.write_postings(positions.positional_postings(chunk_texts(spark, sf)), path)
     return spark.read.parquet(path)
 
 
@@ -238,7 +238,7 @@ scored AS (SELECT h.query_id, h.chunk_id, round(CASE WHEN t.n > 1 THEN 1 - exp(c
 def q7_distance(spark, sf):
     """Chunks ranked by how near a request's stems stand to each other."""
     found = positions.placed_matches(
-        requests(spark, sf), chunks(spark, sf), documents(spark, sf), _stored_places(spark, sf)
+        requests(spark, sf), chunk_texts(spark, sf), documents(spark, sf), _stored_places(spark, sf)
     )
     top = keyword.keyword_topk(positions.ranked_by_distance(found), 100)
     return top.select("query_id", "chunk_id", "keyword_rank", rounded("keyword_score"))
@@ -258,6 +258,6 @@ def q7_distance(spark, sf):
 def q7_phrases(spark, sf):
     """Documents in which a whole benchmark passage stands as a phrase, and where."""
     found = positions.placed_matches(
-        whole_requests(spark, sf), chunks(spark, sf), documents(spark, sf), _stored_places(spark, sf)
+        whole_requests(spark, sf), chunk_texts(spark, sf), documents(spark, sf), _stored_places(spark, sf)
     )
     return positions.phrases(found).select("query_id", "chunk_id", "first", "times")

@@ -14,6 +14,7 @@ from scholion.operators import chunking as ch
 from scholion.operators import embedding as em
 from scholion.operators import vector_search as vs
 from scholion.operators.asked import Asked
+from scholion.plans import base, search
 
 SPACES = [" ", "\n", "\n\n", "\t", "\u00a0", "\u2003", "\u3000", "\x1c", "\x85", " \n \n "]
 
@@ -111,3 +112,55 @@ def test_each_question_of_many_queries_is_searched_once(spark, monkeypatch):
     twice = [cand[near[3][k]][0] for k in (0, 0, 1)]
     want += [("q3", c, k + 1) for k, c in enumerate(twice)]
     assert found == [sorted(map(str, want))] * 3
+
+
+def small_tables(spark, folder, vectors):
+    """Documents, labels, vectors and questions, one Parquet file each."""
+    text = [None if i == 3 else f"alpha beta line {i}\nsecond gamma{i % 4} words" for i in range(40)]
+    made = {
+        "documents": ([(i, t, "en", f"src{i % 5}", 10) for i, t in enumerate(text)], "doc_id long, text string, lang string, source string, n_chars long"),
+        "labels": ([(i, 1, i % 7 == 0) for i in range(36)], "doc_id long, quality int, toxic boolean"),
+        "embeddings": (vectors, "vec_id long, embedding array<float>, label int"),
+        "benchmark": ([(i, f"alpha gamma{i % 4} words") for i in range(6)], "item_id long, text string"),
+    }
+    for name, (rows, schema) in made.items():
+        df = spark.createDataFrame(rows, schema)
+        if name == "labels":
+            df = df.withColumn("toxic", F.col("toxic").cast("int"))
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_texts_alone_are_the_rows_of_the_chunks(spark, tmp_path):
+    once = [(i, [float(i), 1.0], 0) for i in range(30)]
+    for name, vectors in (("once", once), ("twice", [*once, (4, [0.5, 0.5], 1), (4, None, 1), (9, [1.0, 1.0], 1), (None, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)])):
+        sf = small_tables(spark, tmp_path / name, vectors)
+        alone, whole = base.chunk_texts(spark, sf), base.chunks(spark, sf).drop("embedding")
+        assert alone.columns == whole.columns
+        assert sorted(map(str, alone.collect())) == sorted(map(str, whole.collect()))
+        assert alone.count() == (40 if name == "once" else 43)
+        assert ("Join" in alone._jdf.queryExecution().optimizedPlan().toString()) == (name == "twice")
+        if name == "twice":
+            spark.createDataFrame([(5, 1, 0), (5, 0, 1), (5, 1, 1), (None, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{sf}/labels.parquet")
+        alone, whole = base.document_texts(spark, sf), base.documents(spark, sf).drop("processing_status")
+        assert alone.columns == whole.columns
+        assert sorted(map(str, alone.collect())) == sorted(map(str, whole.collect()))
+        assert alone.count() == (40 if name == "once" else 42)
+
+
+def test_texts_of_hits_meet_no_label_and_no_vector(spark, tmp_path):
+    sf = small_tables(spark, tmp_path, [(i, [float(i), 1.0], 0) for i in range(30)])
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = search.QUERIES["q10_enriched_hits"](spark, sf)
+        plan = hits._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        joins = [next(k for k in ("LeftOuter", "LeftSemi", "Inner") if k in x) for x in plan if "- Join" in x or ":- Join" in x or x.startswith("Join")]
+        # Neither a text nor a title meets a vector or label; the hits pick their documents before any shuffle.
+        assert joins == ["Inner", "Inner", "LeftSemi", "LeftSemi"]
+        rows = hits.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    again = search.QUERIES["q10_enriched_hits"](spark, sf).collect()
+    assert rows and sorted(map(str, rows)) == sorted(map(str, again))
+    assert all(r.title == r.content.split("\n")[0] for r in rows if r.content)
