@@ -12,7 +12,7 @@ class Shard:
     """The transform of one collection; rows are suffixes in order, end markers first.
 
     letters: the letter before each suffix plus one, 0 where the suffix is a whole string.
-    back: the row of the suffix that is one letter longer (of no meaning where the letter is 0).
+    back: the row of the suffix that is one letter longer (an end marker's where the letter is 0, each one's once).
     place: where each row's suffix starts in the joined strings, one end marker after each string.
     n_strings: their number, which is that of end marker rows.
     """
@@ -69,17 +69,19 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
 
     Returns, for each merged row, its row in the shards laid end to end, and whether it begins a new
     interval, that is, has a common prefix of under `depth` letters with the row before. A round takes
-    the rows in their current order, sends each to the row that is one letter longer and is stable on
-    that letter: from the order by h letters comes that by h + 1. No suffix is compared with another.
-    Suffixes that end within `depth` letters are intervals of their own.
+    the rows in their current order, sends each to the row that is two letters longer and is stable on
+    those letters: from the order by h letters comes that by h + 2. An odd depth begins with a round of
+    one letter. No suffix is compared with another. Suffixes that end within `depth` letters are intervals
+    of their own.
     """
     base = np.cumsum([0, *(len(s.letters) for s in shards)])
-    letters = np.concatenate([s.letters for s in shards])
+    letters = np.concatenate([s.letters for s in shards]).astype(np.int32)
     back = np.concatenate([s.back + b for s, b in zip(shards, base, strict=False)]).astype(np.int32)
     ends = np.concatenate(
         [np.arange(s.n_strings, dtype=np.int32) + b for s, b in zip(shards, base, strict=False)]
     )
-    narrow = letters.astype(np.uint16) if letters.max(initial=0) > 255 else letters.astype(np.uint8)
+    kinds = int(letters.max(initial=0)) + 1
+    pairs = letters[back] * kinds + letters
     # Before the first round no letter is compared: the end markers in front, all in one interval.
     first = np.ones(len(letters), dtype=bool)
     first[ends] = False
@@ -87,15 +89,18 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     starts = np.zeros(len(rows), dtype=bool)
     starts[:1] = True
     group = np.zeros(len(rows), dtype=np.int32)
-    for _ in range(depth):
-        ahead = narrow[rows]
-        order = np.argsort(ahead, kind="stable")
-        met, group = ahead[order], group[order]
-        rows = back[rows[order]]
-        rows[: len(ends)] = ends
-        starts[1:] = (met[1:] != met[:-1]) | (group[1:] != group[:-1])
-        starts[: len(ends) + 1] = True  # the end markers, and the first letter after them
-        group = np.cumsum(starts, dtype=np.int32)
+    for codes, longer, rounds in ((letters, back, depth % 2), (pairs, back[back], depth // 2)):
+        # Codes of up to 16 bits are sorted by counting.
+        narrow = codes.astype(np.uint16) if codes.max(initial=0) < 2**16 else codes
+        # A suffix with an end marker among these letters is like no other one.
+        over = (codes < kinds) | (codes % kinds == 0) if codes is pairs else codes == 0
+        for _ in range(rounds):
+            order = np.argsort(narrow[rows], kind="stable")
+            rows, group = rows[order], group[order]
+            met, ended = narrow[rows], over[rows]
+            rows = longer[rows]
+            starts[1:] = (met[1:] != met[:-1]) | (group[1:] != group[:-1]) | ended[1:] | ended[:-1]
+            group = np.cumsum(starts, dtype=np.int32)
     return rows, starts
 
 

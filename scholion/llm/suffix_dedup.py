@@ -8,7 +8,8 @@ ones as one string with its smallest document. There the strings are dealt over
 Burrows-Wheeler transform is built, and the transforms are merged by interleave refinement; intervals
 with a common prefix of `length` bytes are the repeated strings, and each hands its smallest document
 back to the places it stands at. A string without another one under its anchor needs no merge: its own
-smallest document is that of all its stretches.
+smallest document is that of all its stretches. Of the others only the stretches whose 64-bit hash comes
+again are merged, with what follows them; that two of them are equal is for the merge to find.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from scholion.session import persist_shared, small_side, stored_result
 LENGTH = 50
 ANCHOR = 24
 CHUNK_BITS = 9
-SEGMENT_BYTES = 2_000_000
+# Hashes of a segment that stay in a core's cache take two thirds of the time of 2 MB ones.
+SEGMENT_BYTES = 250_000
 RUN_STRETCHES = 256
 BUCKET_BYTES = 16_000_000
 GROUP_BYTES = 2_000_000
@@ -206,7 +208,7 @@ def _fragments(length: int, buckets: int):
 
     def run(docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         forget()
-        out = []
+        out = [pd.DataFrame(columns=columns)]
         if len(docs) and len(wanted):
             known = np.sort(
                 np.concatenate(
@@ -218,12 +220,15 @@ def _fragments(length: int, buckets: int):
             ids, copies = docs["doc_id"].to_numpy(), docs["copy"].to_numpy()
             for doc, start, count, anchor in runs(raws, length):
                 code = (_dealt(anchor, buckets) << 40) | (anchor & ((1 << 40) - 1))
-                hit = known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
-                for d, s, c, a in zip(doc[hit], start[hit], count[hit], anchor[hit], strict=True):
-                    cut = raws[d][s : s + c + length - 1]
-                    mark = xxhash.xxh64_intdigest(cut) - 2**63
-                    out.append((a, mark, ids[d], copies[d], s, cut))
-        frame = pd.DataFrame(out, columns=columns)
+                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code)
+                if not len(hit):
+                    continue
+                doc, start, past = doc[hit], start[hit], start[hit] + count[hit] + length - 1
+                cuts = [raws[d][s:e] for d, s, e in zip(doc.tolist(), start.tolist(), past.tolist(), strict=True)]
+                marks = [xxhash.xxh64_intdigest(cut) - 2**63 for cut in cuts]
+                found = (anchor[hit], marks, ids[doc], copies[doc], start, cuts)
+                out.append(pd.DataFrame(dict(zip(columns, found, strict=True))))
+        frame = pd.concat(out[1:] or out, ignore_index=True)
         give_back()
         return frame
 
@@ -248,26 +253,54 @@ def _stretches(length: int):
     return run
 
 
-def _owners(strings: list[bytes], owner: np.ndarray, anchor: np.ndarray, length: int) -> list[np.ndarray]:
-    """The smallest document of each stretch of the strings; equal anchors stand together.
+def _shared_pieces(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """String, first stretch and number of stretches of each run of stretches whose hash comes again.
 
-    A string alone under its anchor needs no merge.
+    Equal stretches have equal hashes, so a stretch outside these runs is like no other one.
+    """
+    sizes = np.array([len(s) for s in strings])
+    ends = np.cumsum(sizes)
+    hashes = anchor_hashes(np.frombuffer(b"".join(strings), dtype=np.uint8), length)
+    inside = np.ones(len(hashes), dtype=bool)
+    # The last length - 1 places of a string start no stretch of it.
+    for k in range(length - 1):
+        at = ends - 1 - k
+        inside[at[at < len(hashes)]] = False
+    places = np.flatnonzero(inside)
+    order = np.argsort(hashes[places])
+    met = hashes[places[order]]
+    same = met[1:] == met[:-1]
+    marked = np.sort(places[order[np.append(False, same) | np.append(same, False)]])
+    # A run ends with the stretches that come again, and with its string.
+    at = np.flatnonzero(np.append(True, np.diff(marked) > 1)[: len(marked)] | np.isin(marked, ends - sizes))
+    begin, count = marked[at], np.diff(np.append(at, len(marked)))
+    item = np.searchsorted(ends, begin, side="right")
+    return item, begin - (ends - sizes)[item], count
+
+
+def _owners(strings: list[bytes], owner: np.ndarray, anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest document of each stretch of all strings, and how many each has; equal anchors stand together.
+
+    A string alone under its anchor needs no merge, and of the others only what may be found again does.
     """
-    found = [np.full(len(s) - length + 1, o) for s, o in zip(strings, owner, strict=True)]
+    sizes = np.array([len(s) - length + 1 for s in strings])
+    found = np.repeat(owner, sizes)
     same = anchor[1:] == anchor[:-1]
     several = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
     if len(several):
-        got = smallest_owner([strings[i] for i in several], owner[several], length, SHARD_BYTES)
-        for i, least in zip(several, got, strict=True):
-            found[i] = least
-    return found
+        item, begin, count = _shared_pieces([strings[i] for i in several], length)
+        item = several[item]
+        pieces = [strings[i][b : b + n + length - 1] for i, b, n in zip(item, begin, count, strict=True)]
+        got = smallest_owner(pieces, owner[item], length, SHARD_BYTES) if pieces else []
+        at = (np.cumsum(sizes) - sizes)[item] + begin
+        for a, n, least in zip(at, count, got, strict=True):
+            found[a : a + n] = least
+    return found, sizes
 
 
-def _runs_of(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _runs_of(least: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """String, first stretch, number of stretches and smallest document of each run that shares one."""
-    sizes = np.array([len(f) for f in found])
-    least = np.concatenate(found)
-    item = np.repeat(np.arange(len(found)), sizes)
+    item = np.repeat(np.arange(len(sizes)), sizes)
     at = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (item[1:] != item[:-1])]))
     count = np.diff(np.append(at, len(least)))
     return item[at], at - (np.cumsum(sizes) - sizes)[item[at]], count, least[at]
@@ -284,7 +317,7 @@ def _covered(length: int):
         at = np.flatnonzero(fresh)
         strings = frame["fragment"].iloc[at].tolist()
         owner = frame["doc"].to_numpy()[at]
-        item, shift, count, least = _runs_of(_owners(strings, owner, anchor[at], length))
+        item, shift, count, least = _runs_of(*_owners(strings, owner, anchor[at], length))
         # Each place of a string has the string's runs.
         string = np.cumsum(fresh) - 1
         n_runs = np.bincount(item, minlength=len(at))[string]
@@ -315,8 +348,8 @@ def _least_documents(length: int):
         frame = frame.sort_values(["anchor", "bucket", "mark"], ignore_index=True)
         # Strings of one anchor in different buckets are equal nowhere.
         kind = frame.groupby(["anchor", "bucket"], sort=False).ngroup().to_numpy()
-        found = _owners(frame["fragment"].tolist(), frame["owner"].to_numpy(), kind, length)
-        item, shift, count, least = _runs_of(found)
+        found, sizes = _owners(frame["fragment"].tolist(), frame["owner"].to_numpy(), kind, length)
+        item, shift, count, least = _runs_of(found, sizes)
         return pd.DataFrame(
             {
                 "anchor": frame["anchor"].to_numpy()[item],
