@@ -9,6 +9,7 @@ is built-in string functions. It costs some microseconds a word, so it is meant
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -163,3 +164,65 @@ def stems(words: DataFrame, column: str = "term", keep: tuple[str, ...] = ()) ->
         rows = _step(rows, rules)
     found = F.replace(F.col("w"), F.lit("Y"), F.lit("y"))
     return _last_letters(rows).select(*keep, "term", F.coalesce("own", found).alias("stem"))
+
+
+# ---- the same rules for a single word ------------------------------------------------------
+
+_GROUP, _SHORT, _VOWEL = re.compile(f"{OTHER}*{VOWEL}+{OTHER}"), re.compile(SHORT_END), re.compile(VOWEL)
+_PLURAL, _BEGINNING = re.compile(f"{VOWEL}.+s$"), re.compile("|".join(BEGINNINGS))
+_PARTICIPLES = ("eedly", "ingly", "edly", "eed", "ing", "ed")
+_STEPS = [sorted(rules, key=lambda r: -len(r.suffix)) for rules in (DERIVED, RELATED, PLAIN)]
+_SUFFIXES = [tuple(r.suffix for r in rules) for rules in _STEPS]
+# A word with another last letter is its own stem.
+_LAST = {s[-1] for s in ("s", "y", "e", "l", *_PARTICIPLES, *(s for found in _SUFFIXES for s in found), "ied")}
+
+
+def _participle(w: str, r1: int) -> str:
+    end = next(s for s in _PARTICIPLES if w.endswith(s))
+    rest = w[: -len(end)]
+    if end.startswith("eed"):
+        return rest + "ee" if len(rest) >= r1 else w
+    if not _VOWEL.search(rest):
+        return w
+    if rest.endswith(("at", "bl", "iz")):
+        return rest + "e"
+    if re.search(DOUBLE_END, rest):
+        return rest[:-1]
+    return rest + "e" if r1 >= len(rest) and _SHORT.search(rest) else rest
+
+
+def stem(word: str) -> str:
+    """The stem of one lower-case word, as stems() gives it; for tasks that hold words outside the JVM."""
+    if len(word) <= 2 or word[-1] not in _LAST or word in UNCHANGED:
+        return word
+    if word in IRREGULAR:
+        return IRREGULAR[word]
+    w = re.sub(f"(^|{VOWEL})y", r"\1Y", word) if "y" in word else word
+    behind = _BEGINNING.match(w) or _GROUP.match(w)
+    r1 = behind.end() if behind else len(w)
+    behind = _GROUP.match(w, r1)
+    r2 = behind.end() if behind else len(w)
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and _PLURAL.search(w):
+        w = w[:-1]
+    if w in UNCHANGED_AFTER_PLURAL:
+        return w
+    if w.endswith(_PARTICIPLES):
+        w = _participle(w, r1)
+    if w.endswith(("y", "Y")):
+        w = re.sub(f"(.{OTHER})[yY]$", r"\1i", w)
+    for rules, suffixes in zip(_STEPS, _SUFFIXES, strict=True):
+        if w.endswith(suffixes):
+            rule = next(r for r in rules if w.endswith(r.suffix))
+            rest = w[: -len(rule.suffix)]
+            if len(rest) >= (r1 if rule.region == "r1" else r2) and (not rule.before or re.search(rule.before, rest)):
+                w = rest + rule.ending
+    rest = w[:-1]
+    if w.endswith("e"):
+        w = rest if len(rest) >= r2 or len(rest) >= r1 and not _SHORT.search(rest) else w
+    elif w.endswith("ll") and len(rest) >= r2:
+        w = rest
+    return w.replace("Y", "y")

@@ -19,6 +19,7 @@ WS_CHARS = "".join(
 # What lies between words; printable ASCII is ruled out first, by two comparisons.
 GAP = f"(?![!-~])[{WS}]+"
 LEXEME = r"[a-zA-Z0-9\p{L}\p{N}]+"  # ASCII is named too, as that is found in a table of bits
+BETWEEN = r"[^a-zA-Z0-9\p{L}\p{N}]+"  # what is no part of a lexeme
 
 # The stop words dropped from keyword search.
 STOP_WORDS = """
@@ -101,6 +102,15 @@ def singular(term: Column) -> Column:
     )
 
 
+def singular_word(term: str) -> str:
+    """singular() of one word, for tasks that hold words outside the JVM."""
+    if not term.endswith("s"):
+        return term
+    if term.endswith("ies") and len(term) >= 4 and term[-4] not in "ea":
+        return term[:-3] + "y"
+    return term[:-1] if len(term) >= 2 and term[-2] not in "us" else term
+
+
 def fold(term: Column, conf: str) -> Column:
     """What a configuration does to a single kept token."""
     return singular(term) if conf == "english" else term

@@ -75,8 +75,12 @@ def build_postings(
     return found.drop("_part")
 
 
+def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
 def with_term_bucket(df: DataFrame, buckets: int = TERM_BUCKETS) -> DataFrame:
-    return df.withColumn("term_bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    return df.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
 
 
 def build_lengths(

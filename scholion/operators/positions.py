@@ -7,20 +7,26 @@ chunks hold all terms is decided as in any keyword search; places are joined to
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scholion.functions.text import LEXEME, STOP_WORDS, fold
+from scholion.functions.stemming import stem
+from scholion.functions.text import BETWEEN, LEXEME, STOP_WORDS, fold, singular_word
 from scholion.operators.asked import Asked, ask
-from scholion.operators.keyword import keyword_matches, with_term_bucket
-from scholion.operators.vocabulary import stemmed, stemmed_in_parts
-from scholion.session import dealt_by
+from scholion.operators.keyword import keyword_matches, term_bucket, with_term_bucket
+from scholion.operators.vocabulary import stemmed
+from scholion.session import dealt_by, persist_shared, small_side
 
 # The weight of a plain word, the farthest pair that counts, and the damping of distance.
 WEIGHT, FARTHEST = 0.1, 100
 BASE, SLOPE, SCALE, SHIFT = 1.005, 0.05, 1.5, 2.0
 SQUARES = 1.64493406685
 RANK_DECIMALS = 9
+IDS = ["chunk_id", "document_id"]
 
 
 def _placed(rows: DataFrame, text: str, keys: list[str], conf: str) -> DataFrame:
@@ -49,28 +55,88 @@ def from_gaps(gaps: Column) -> Column:
     return F.aggregate(gaps, start, step)["places"]
 
 
-def positional_postings(chunks: DataFrame, conf: str = "stem", text_col: str = "content") -> DataFrame:
+def _posted(conf: str, marked: bool):
+    """The postings of one part's texts, whose words stand apart by one blank."""
+    folded = {"stem": stem, "english": singular_word}.get(conf, lambda word: word)
+    dropped = {""} if conf == "simple" else {"", *STOP_WORDS}
+
+    def run(part: pa.Table) -> pa.Table:
+        ids = [part.column(c).combine_chunks() for c in IDS]
+        first, second = (i.dictionary_encode("encode").indices.to_numpy() for i in ids)
+        # Rows of one chunk count as one, wherever they stand.
+        _, at, chunk = np.unique(first * (int(second.max()) + 1) + second, return_index=True, return_inverse=True)
+        n_chunks = len(at)
+        lists = pc.split_pattern(part.column("words"), " ").chunks
+        sizes = np.concatenate([np.diff(x.offsets) for x in lists]).astype(np.int64)
+        words = pa.chunked_array([x.flatten() for x in lists]).dictionary_encode().unify_dictionaries().chunks
+        distinct = [None if w in dropped else folded(w) for w in words[0].dictionary.to_pylist()]
+        terms = list({t for t in distinct if t is not None})
+        number = {t: i for i, t in enumerate(terms)}
+        of_word = np.array([-1 if t is None else number[t] for t in distinct], dtype=np.int64)
+        term = of_word[np.concatenate([x.indices.to_numpy() for x in words])]
+        held = term >= 0
+        pos = (np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[held]
+        owner = np.repeat(chunk, sizes)[held]
+        length = np.bincount(owner, minlength=n_chunks)
+        key = term[held] * n_chunks + owner
+        bits = int(pos.max(initial=0)).bit_length()
+        if (len(terms) * n_chunks) << bits < 2**63:
+            both = np.sort((key << bits) | pos)
+            key, pos = both >> bits, both & ((1 << bits) - 1)
+        else:
+            order = np.lexsort((pos, key))
+            key, pos = key[order], pos[order]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        gaps = np.diff(pos, prepend=0)
+        gaps[begin] = pos[begin]
+        term, owner = np.divmod(key[begin], n_chunks)
+        ends = np.append(begin, len(pos))
+        if marked:
+            term = np.append(term, np.full(n_chunks, len(terms)))
+            owner = np.append(owner, np.arange(n_chunks))
+            ends = np.append(ends, np.full(n_chunks, len(pos)))
+        return pa.table(
+            {
+                "term": pa.array([*terms, ""], pa.string()).take(pa.array(term)),
+                **{c: i.take(pa.array(at[owner])) for c, i in zip(IDS, ids, strict=True)},
+                "tf": pa.array(np.diff(ends)),
+                "dl": pa.array(length[owner]),
+                "gaps": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gaps, pa.int32())),
+            }
+        )
+
+    return run
+
+
+def positional_postings(
+    chunks: DataFrame, conf: str = "stem", text_col: str = "content", marked: bool = False
+) -> DataFrame:
     """term, chunk_id, document_id, tf, dl, gaps. dl counts the kept words of the chunk.
 
     Texts are dealt by chunk, so places are put together where they were found: neither words nor places
-    are shuffled. Chunks of one id count as one. Null and empty texts have no postings.
+    are shuffled. A part's words are numbered, and numbers are sorted in place of words. Chunks of one id
+    count as one. Null and empty texts have no postings; marked gives each chunk, these too, one more row
+    with an empty term and its length.
+    """
+    if conf not in ("simple", "stop", "english", "stem"):
+        raise ValueError(f"unknown text configuration {conf!r}")
+    texts = dealt_by(chunks.select(*IDS, text_col), "chunk_id", text_col)
+    words = F.btrim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), BETWEEN, " "))
+    fields = {f.name: f.dataType for f in chunks.schema.fields}
+    schema = T.StructType([T.StructField("term", T.StringType()), *[T.StructField(c, fields[c]) for c in IDS]])
+    schema.add("tf", T.LongType()).add("dl", T.LongType()).add("gaps", T.ArrayType(T.IntegerType()))
+    return texts.select("_part", *IDS, words.alias("words")).groupBy("_part").applyInArrow(_posted(conf, marked), schema)
+
+
+def chunk_lengths(postings: DataFrame, chunks: DataFrame, marked: bool = False) -> DataFrame:
+    """chunk_id, document_id, dl of every chunk, those without a word included; reads no text.
+
+    Of marked postings only the rows of the chunks themselves are read.
     """
-    ids = ["chunk_id", "document_id"]
-    texts = dealt_by(chunks.select(*ids, text_col), "chunk_id", text_col)
-    words = _placed(texts, text_col, ["_part", *ids], conf)
-    if conf == "stem":
-        words = words.groupBy("_part", *ids, "term").agg(F.collect_list("pos").alias("at"))
-        words = stemmed_in_parts(words).select("*", F.explode("at").alias("pos"))
-    else:
-        words = _folded(words, conf)
-    terms = words.groupBy("_part", *ids, "term").agg(F.array_sort(F.collect_list("pos")).alias("places"))
-    term = F.struct("term", F.size("places").cast("long").alias("tf"), to_gaps(F.col("places")).alias("gaps"))
-    whole = terms.groupBy("_part", *ids).agg(F.collect_list(term).alias("terms"), F.sum(F.size("places")).alias("dl"))
-    return whole.select(*ids, "dl", F.explode("terms").alias("t")).select("t.term", *ids, "t.tf", "dl", "t.gaps")
-
-
-def chunk_lengths(postings: DataFrame, chunks: DataFrame) -> DataFrame:
-    """chunk_id, document_id, dl of every chunk, those without a word included; reads no text."""
+    if marked:
+        postings = postings.where(F.col("term") == "")
+        if "term_bucket" in postings.columns:
+            postings = postings.where(F.col("term_bucket") == term_bucket(F.lit("")))
     known = postings.groupBy("chunk_id").agg(F.max("dl").alias("dl"))
     return chunks.select("chunk_id", "document_id").join(known, "chunk_id", "left").na.fill(0, ["dl"])
 
@@ -87,21 +153,29 @@ def placed_matches(
 ) -> DataFrame:
     """query_id, chunk_id, document_id, terms of every chunk that holds all of a query's terms.
 
-    terms is an array of (offsets in the query, places in the chunk). Only matched chunks' places are
-    looked up, by term and chunk.
+    terms is an array of (offsets in the query, places in the chunk). What the queries' terms have of the
+    postings is stored, and so are the matches; only matched chunks' places are looked up, by term and chunk.
     """
     asked = ask(queries)
     lengths = chunk_lengths(postings, chunks) if lengths is None else lengths
-    matches = keyword_matches(
-        asked, chunks, docs, conf=conf, postings=postings.drop("gaps"), lengths=lengths
-    ).select("query_id", "chunk_id", "document_id")
     wanted = query_places(asked.queries, conf)
-    keyed = matches.join(asked.hint(wanted), "query_id")
     on, asked_for = ["term", "chunk_id"], wanted.select("term").distinct()
     if "term_bucket" in postings.columns:
-        keyed, asked_for, on = with_term_bucket(keyed), with_term_bucket(asked_for), ["term_bucket", *on]
-    # Only places of words that are asked for go into the join's shuffle.
-    held = postings.select(*on, "gaps").join(asked.hint(asked_for), asked_for.columns, "left_semi")
+        asked_for, on = with_term_bucket(asked_for), ["term_bucket", *on]
+    # The postings are read once: what is stored of them is what the words that are asked for have.
+    asked_of = persist_shared(postings.join(asked.hint(asked_for), asked_for.columns, "left_semi"), "asked")
+    matches = persist_shared(
+        keyword_matches(
+            asked, chunks, docs, conf=conf, postings=asked_of.drop("gaps"), lengths=lengths
+        ).select("query_id", "chunk_id", "document_id"),
+        "matches",
+    )
+    keyed = matches.join(asked.hint(wanted), "query_id")
+    if "term_bucket" in on:
+        keyed = with_term_bucket(keyed)
+    # Only places of chunks that match go into the join's shuffle.
+    matched = small_side(matches.select("chunk_id").distinct())
+    held = asked_of.select(*on, "gaps").join(matched, "chunk_id", "left_semi")
     return (
         keyed.join(held, on)
         .groupBy("query_id", "chunk_id", "document_id")
