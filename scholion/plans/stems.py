@@ -210,10 +210,13 @@ def q8_stemmed(spark, sf):
     return hits.select("query_id", "rank", "chunk_id", "document_id", rounded("score"))
 
 
-def _stored_places(spark, sf):
-    path = scratch_path(spark, "places")
-    keyword.write_postings(positions.positional_postings(chunk_texts(spark, sf)), path)
-    return spark.read.parquet(path)
+def _placed(spark, sf, asking):
+    """The chunks that hold a request's stems, by postings that were stored together with the chunks' lengths."""
+    path, chunks = scratch_path(spark, "places"), chunk_texts(spark, sf)
+    keyword.write_postings(positions.positional_postings(chunks, marked=True), path)
+    postings = spark.read.parquet(path)
+    lengths = positions.chunk_lengths(postings, chunks, marked=True)
+    return positions.placed_matches(asking(spark, sf), chunks, documents(spark, sf), postings, lengths=lengths)
 
 
 @R.add(
@@ -237,10 +240,7 @@ scored AS (SELECT h.query_id, h.chunk_id, round(CASE WHEN t.n > 1 THEN 1 - exp(c
 )
 def q7_distance(spark, sf):
     """Chunks ranked by how near a request's stems stand to each other."""
-    found = positions.placed_matches(
-        requests(spark, sf), chunk_texts(spark, sf), documents(spark, sf), _stored_places(spark, sf)
-    )
-    top = keyword.keyword_topk(positions.ranked_by_distance(found), 100)
+    top = keyword.keyword_topk(positions.ranked_by_distance(_placed(spark, sf, requests)), 100)
     return top.select("query_id", "chunk_id", "keyword_rank", rounded("keyword_score"))
 
 
@@ -257,7 +257,4 @@ def q7_distance(spark, sf):
 )
 def q7_phrases(spark, sf):
     """Documents in which a whole benchmark passage stands as a phrase, and where."""
-    found = positions.placed_matches(
-        whole_requests(spark, sf), chunk_texts(spark, sf), documents(spark, sf), _stored_places(spark, sf)
-    )
-    return positions.phrases(found).select("query_id", "chunk_id", "first", "times")
+    return positions.phrases(_placed(spark, sf, whole_requests)).select("query_id", "chunk_id", "first", "times")
